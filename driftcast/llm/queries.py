@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftcast.llm import decontamination, language_id, mixing, simhash, token_files
+from driftcast.llm import decontamination, html_text, language_id, line_dedup, mixing, simhash, spotsigs, token_counts, token_files, toxicity
 from driftcast.llm.common import table
 
 
@@ -22,11 +22,42 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a smaller doc_id has, too."""
+    got = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from rows whose crc32(doc_id) mod 3 is not 1."""
+    docs, out = table(spark, sf_dir, "documents"), language_id.held_out(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs.filter(~out), table(spark, sf_dir, "labels").filter(~out))
+    got = toxicity.score(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprint of every document and of its edited text."""
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to Arrow files and read back."""
     import public_tokenizers
@@ -40,9 +71,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op6_mixing, op9_token_files, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_decontamination, op3_token_counts, op4_line_dedup, op5_html_text,
+    op6_mixing, op7_toxicity, op8_spotsigs, op9_token_files, op10_simhash)}
 
 ORACLES = {
+    "op4_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+k AS (SELECT doc_id, n, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT k.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM k LEFT JOIN o ON k.key = o.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                   substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 12) AS key FROM documents),
