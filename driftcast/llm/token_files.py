@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,15 +21,25 @@ SEQUENCE = 2048
 BATCH = 64
 
 
+#: Words of lower-case Latin letters, and how a byte-level vocabulary writes their bytes: those
+#: below 0xA1 and 0xAD that are not printable ASCII follow in order from U+0100 on.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_OTHER = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_BYTE = {b: chr(b) for b in range(256)} | {b: chr(0x100 + k) for k, b in enumerate(_OTHER)}
+_BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if c != 0xF7}
+
+
 class WordEncoder:
     """Token ids of whole texts, through ids remembered for single words.
 
-    The tokenizer turns white space into a boundary that no token crosses and drops it, so the
-    ids of a text are those of its words one after another. Only words not seen before are
-    encoded; a task forgets all of them when they pass max_chars.
+    The tokenizer lower-cases, and white space or the end of a run of letters is a boundary that
+    no token crosses, so the ids of a text are those of its words one after another. Arrow
+    splits a batch into words and numbers the distinct ones; only words not seen before are
+    encoded. All are forgotten when they pass max_chars. Texts with the beginning of a special
+    token, whose case matters, are encoded whole.
     """
 
-    def __init__(self, tokenizer, max_chars: int = 64 << 20):
+    def __init__(self, tokenizer, max_chars: int = 8 << 20):
         self.tokenizer, self.max_chars = tokenizer, max_chars
         self.forget()
 
@@ -38,61 +50,106 @@ class WordEncoder:
         self.size = np.zeros(0, np.int64)
         self.chars = 0
 
-    def _learn(self, new: list[str]):
-        got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum()))])
-        self.start, self.size = np.concatenate([self.start, starts]), np.concatenate([self.size, sizes])
-        self.chars += sum(map(len, new))
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return self._flat(got)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and the number of each."""
+    @staticmethod
+    def _flat(got: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words; plain lower-case Latin ones need no normalising and go to the model at once."""
+        plain, tokenize = _PLAIN.fullmatch, self.tokenizer.model.tokenize
+        got = [[t.id for t in tokenize(w.translate(_BYTES))] if plain(w) else None for w in words]
+        rest = [k for k, g in enumerate(got) if g is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch([words[k] for k in rest], add_special_tokens=False)):
+            got[k] = e.ids
+        return self._flat(got)
+
+    def _places(self, words: list[str]) -> np.ndarray:
         if self.chars > self.max_chars:
             self.forget()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        index, known = self.index, len(self.index)
-        place = np.fromiter((index.setdefault(w, len(index)) for p in parts for w in p), np.int64, int(counts.sum()))
-        if len(index) > known:
-            self._learn(list(itertools.islice(index, known, None)))
+        index = self.index
+        place = np.fromiter(map(index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [words[k] for k in missing]
+            place[missing] = np.arange(len(index), len(index) + len(new))
+            index.update(zip(new, place[missing].tolist()))
+            ids, sizes = self._word_ids(new)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, ids])
+            self.chars += sum(map(len, new))
+        return place
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the number of each (null: empty)."""
+        texts = pc.fill_null(texts, "")
+        marked = pc.match_substring(texts, "<|")
+        special = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        plain = pc.ascii_lower(texts.filter(pc.invert(marked)))
+        plain = pc.replace_substring_regex(plain, "([a-z])([.,;:!?])", r"\1 \2")
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        place = self._places(words.dictionary.to_pylist())[words.indices.to_numpy()]
         sizes = self.size[place]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[place] - ends + sizes, sizes) + np.arange(total)]
-        last = np.cumsum(counts) - 1
-        per_text = np.diff(np.concatenate(([0], ends[last]))) if len(last) else np.zeros(0, np.int64)
+        ids = self.flat[np.repeat(self.start[place] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = np.zeros(len(texts), np.int64)
+        counts[~marked.to_numpy(zero_copy_only=False)] = pc.list_value_length(split).to_numpy()
+        bounds = np.concatenate(([0], ends))[np.cumsum(np.concatenate(([0], counts)))]
+        per_text = np.diff(bounds)
+        if len(special):
+            whole, n = self._ids(texts.take(pa.array(special)).to_pylist())
+            ids = np.insert(ids, np.repeat(bounds[special], n), whole)
+            per_text[special] = n
         return ids, per_text
 
 
-def chunks(texts: list, limit: int = 2 << 20):
-    """Slices (start, end) of texts with about limit characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+#: Encoders by tokenizer file, which tasks of one worker process share one after another.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_path: str) -> WordEncoder:
+    """The encoder of this process for a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = WordEncoder(Tokenizer.from_file(tokenizer_path))
+    return _ENCODERS[tokenizer_path]
+
 
+def slices(texts: pa.Array, limit: int = 4 << 20):
+    """Slices of texts with about limit bytes each; a longer text is a slice of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        base = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, base + limit)))
+        yield texts.slice(start, end - start)
+        start = end
 
-def schema(sequence: int) -> pa.Schema:
-    """Equal-length ids and masks (1: an id, 0: filling)."""
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+
+def schema(sequence: int, kind: pa.DataType) -> pa.Schema:
+    """Equal-length ids of a kind of unsigned integer, and masks (true: an id, false: filling)."""
+    return pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 class SequenceWriter:
     """Writes a stream of ids as record batches of fixed-size lists."""
 
-    def __init__(self, sink, sequence: int = SEQUENCE, batch: int = BATCH):
-        self.schema, self.sequence, self.step = schema(sequence), sequence, sequence * batch
+    def __init__(self, sink, sequence: int = SEQUENCE, batch: int = BATCH, kind: pa.DataType = pa.uint32()):
+        self.schema, self.sequence, self.step = schema(sequence, kind), sequence, sequence * batch
+        self.kind = np.dtype(kind.to_pandas_dtype())
         self.file = pa.ipc.new_file(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.size = 0
 
     def add(self, ids: np.ndarray):
-        self.held.append(ids)
+        self.held.append(ids.astype(self.kind, casting="same_kind"))
         self.size += len(ids)
         if self.size >= self.step:
             flat = np.concatenate(self.held)
@@ -102,16 +159,15 @@ class SequenceWriter:
             self.held, self.size = [flat[whole:].copy()], len(flat) - whole
 
     def _batch(self, ids: np.ndarray, real: int):
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(ids)) < real
         self.file.write_batch(pa.RecordBatch.from_arrays(
             [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.sequence)],
             schema=self.schema))
 
     def close(self):
-        flat = np.concatenate([*self.held, np.zeros(0, np.uint32)]).astype(np.uint32)
+        flat = np.concatenate([*self.held, np.zeros(0, self.kind)])
         if len(flat):
-            full = np.zeros(-(-len(flat) // self.sequence) * self.sequence, np.uint32)
+            full = np.zeros(-(-len(flat) // self.sequence) * self.sequence, self.kind)
             full[:len(flat)] = flat
             self._batch(full, len(flat))
         self.file.close()
@@ -123,14 +179,13 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_
 
     Documents are dealt by ranges of doc_id; each task encodes its range and writes one Arrow
     file, first under a name of its own attempt, then under its final one, so a task that runs
-    again leaves the same file. Null text is empty; every document ends with end_id. Returns the
+    again leaves the same file. Ids take
+    16 bits where the vocabulary fits them. Null text is empty; every document ends with end_id. Returns the
     index: file, part, place (order in the file), doc_id, n_tokens, offset (ids before it in
     its file) with one row per document. Null ids come first, repeated ids keep their rows,
     ordered by a hash of
     their text.
     """
-    from tokenizers import Tokenizer
-
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
@@ -145,18 +200,17 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_
         fs.create_dir(base, recursive=True)
         name = f"{base}/part-{part:06d}.arrow"
         mine = f"{base}/.part-{part:06d}-{task.taskAttemptId()}"
-        encoder = None
+        words = encoder(tokenizer_path)
+        kind = pa.uint16() if max(end_id + 1, words.tokenizer.get_vocab_size()) <= 1 << 16 else pa.uint32()
         with fs.open_output_stream(mine) as sink:
-            out = SequenceWriter(sink, sequence)
+            out = SequenceWriter(sink, sequence, kind=kind)
             place = offset = 0
             for b in batches:
-                encoder = encoder or WordEncoder(Tokenizer.from_file(tokenizer_path))
-                texts = b.column(1).to_pylist()
                 sizes = []
-                for lo, hi in chunks(texts):
-                    ids, per_text = encoder.encode(texts[lo:hi])
+                for texts in slices(b.column(1)):
+                    ids, per_text = words.encode(texts)
                     ends = np.cumsum(per_text)
-                    out.add(np.insert(ids, ends, end_id).astype(np.uint32))
+                    out.add(np.insert(ids, ends, end_id))
                     sizes.append(per_text + 1)
                 size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
                 k = len(size)
@@ -221,7 +275,7 @@ class SequenceReader:
     def batch(self, k: int):
         if k != self.at:
             b = self.file.get_batch(k)
-            self.at, self.ids, self.mask = k, b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
+            self.at, self.ids, self.mask = k, b.column(0).flatten().to_numpy(), b.column(1).flatten()
         return self.ids, self.mask
 
     def slices(self, offset: int, size: int):
@@ -230,7 +284,7 @@ class SequenceReader:
             ids, mask = self.batch(offset // self.step)
             lo = offset % self.step
             hi = min(lo + size, len(ids))
-            if lo >= hi or not mask[hi - 1]:
+            if lo >= hi or not mask[hi - 1].as_py():
                 raise ValueError("the file ends before the ids do")
             yield ids[lo:hi]
             size -= hi - lo
@@ -239,7 +293,7 @@ class SequenceReader:
     def crc32(self, offset: int, size: int) -> int:
         got = 0
         for piece in self.slices(offset, size):
-            got = zlib.crc32(piece.astype("<u4", copy=False).view(np.uint8), got)
+            got = zlib.crc32(piece.astype("<u4").view(np.uint8), got)
         return got
 
 
