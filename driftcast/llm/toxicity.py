@@ -35,7 +35,7 @@ class Examples:
     toxic: np.ndarray
     k: int
     base: float
-    edges: np.ndarray
+    places: np.ndarray
     rates: np.ndarray
 
     def vector(self, counts: Counter) -> tuple[list[int], np.ndarray]:
@@ -75,23 +75,29 @@ class Examples:
             best_i, best_s = i[order], s[order]
         return best_i, best_s
 
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of toxic among the neighbours, each weighing 1 / distance; two clean ones of distance 1 are added."""
-        w = 1 / np.maximum(1e-3, 1 - cosine + 1e-3) if len(near) else np.zeros(0)
-        return float((w * self.toxic[near]).sum() / (w.sum() + 2))
+    def vote(self, shared: int, near: np.ndarray, cosine: np.ndarray) -> float:
+        """Share of toxic among the neighbours, each weighing 1 / (0.05 + distance).
+
+        One shared term in passing is weaker evidence than many, so the share counts
+        1 - 2 ** -shared.
+        """
+        if not len(near):
+            return 0.0
+        w = 1 / (1.05 - np.minimum(cosine, 1.0))
+        return float((w * self.toxic[near]).sum() / w.sum()) * (1 - 0.5 ** shared)
 
     def score(self, counts: Counter, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         at, w = self.vector(counts)
         near, cosine = self.nearest(at, w, skip)
-        raw = self.vote(near, cosine) if len(near) else 0.0
-        return float(np.interp(raw, self.edges, self.rates)) if len(self.edges) else self.base, near, cosine
+        raw = self.vote(len(at), near, cosine)
+        return float(np.interp(raw, self.places, self.rates)) if len(self.places) else self.base, near, cosine
 
 
 def _index(texts: list[Counter], toxic: np.ndarray, ids: np.ndarray, share: float, k: int, max_terms: int, least: float) -> Examples:
     """Vocabulary, weights, postings and calibration from the sampled examples.
 
-    The vocabulary holds the terms that differ most between the classes: those whose G statistic
-    over examples passes least. share is the share of toxic rows among all labelled rows.
+    The vocabulary holds the terms that mark toxic examples: those that more of them have, with a G
+    statistic over examples of least or more. Terms of clean ones (copies of one text, say) are no evidence. share is the share of toxic rows among all labelled rows.
     """
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     seen1, seen0 = Counter(), Counter()
@@ -101,7 +107,7 @@ def _index(texts: list[Counter], toxic: np.ndarray, ids: np.ndarray, share: floa
     picked = []
     for w in seen1.keys() | seen0.keys():
         a, b = seen1[w], seen0[w]
-        if a + b < 3 or not n1 or not n0:
+        if a + b < 3 or not n1 or not n0 or a * n0 <= b * n1:
             continue
         table = np.array([[a, n1 - a], [b, n0 - b]], float)
         want = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / n
@@ -121,34 +127,22 @@ def _index(texts: list[Counter], toxic: np.ndarray, ids: np.ndarray, share: floa
         for b in np.unique(i // BLOCK):
             of = i // BLOCK == b
             model.blocks[t].append((int(b), float(w[of].max()), i[of] % BLOCK, w[of]))
-    # Calibration: votes of each example by the others, weighted to the true share, made monotone.
-    raw = np.array([model.vote(*model.nearest(*model.vector(c), skip=i)) for i, c in enumerate(texts)])
-    weight = np.where(toxic == 1, share / max(n1, 1), (1 - share) / max(n0, 1))
-    model.edges, model.rates = isotonic(raw, toxic.astype(float), weight)
+    if n1 and n0:  # calibration: the vote of the others for each example, weighted to the true share
+        found = [model.vector(c) for c in texts]
+        raw = np.array([model.vote(len(at), *model.nearest(at, w, skip=i)) for i, (at, w) in enumerate(found)])
+        model.places, model.rates = isotonic(raw, toxic.astype(float), np.where(toxic == 1, share / n1, (1 - share) / n0))
     return model
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A rising step curve of y over x by pooling adjacent violators: its places and values."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []
-    for i in order:
-        if blocks and blocks[-1][3] == x[i]:
-            blocks[-1][0] += weight[i] * y[i]
-            blocks[-1][1] += weight[i]
-        else:
-            blocks.append([weight[i] * y[i], weight[i], x[i], x[i]])
-    pooled: list[list[float]] = []
-    for b in blocks:
-        pooled.append(list(b))
-        while len(pooled) > 1 and pooled[-2][0] * pooled[-1][1] >= pooled[-1][0] * pooled[-2][1]:
-            last = pooled.pop()
-            pooled[-1] = [pooled[-1][0] + last[0], pooled[-1][1] + last[1], pooled[-1][2], last[3]]
-    edges, rates = [], []
-    for s, w, a, b in pooled:
-        edges += [a, b]
-        rates += [s / w, s / w]
-    return np.array(edges), np.clip(np.array(rates), 0.0, 1.0)
+    """Places and values of the rising curve of y over x that pooling neighbours out of order gives."""
+    pools: list[list[float]] = []  # weighted sum, weight, first and last place
+    for i in np.argsort(x, kind="stable"):
+        pools.append([weight[i] * y[i], weight[i], x[i], x[i]])
+        while len(pools) > 1 and (pools[-2][3] == pools[-1][2] or pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]):
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    return np.array([p for q in pools for p in q[2:]]), np.array([q[0] / q[1] for q in pools for _ in range(2)])
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, chars: int = 20000, k: int = 15,
