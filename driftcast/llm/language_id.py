@@ -134,6 +134,18 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     return df.mapInArrow(run, schema)
 
 
+def keep_clear(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of df that predict() does not reject, with all their columns."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        tools = Compressors(model)
+        for batch in batches:
+            yield batch.filter(pa.array([not tools.classify(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """crc32 of doc_id as text, modulo parts, is part."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))

@@ -107,7 +107,7 @@ def repeated(docs: DataFrame, text: str = "text", length: str = "n_chars", **set
     rows = got.filter("taken > 0").select("_row", "size", rest.alias("rest"), times.alias("times"), F.explode(F.sequence(F.lit(1), times)).alias("round"))
     cut = (F.col("rest") > 0) & (F.col("round") == F.col("times"))
     body = F.col(f"_row.{text}")
-    part = F.regexp_extract(body, F.lit(f"^[{SPACE}]*"), 0)
+    part = F.regexp_extract(body, f"^[{SPACE}]*", 0)
     part = F.concat(part, F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1)), F.lit(1), F.col("rest").cast("int")), ""))
     new = F.when(cut, F.rtrim(part)).otherwise(body)
     cols = []
