@@ -39,7 +39,7 @@ class WordEncoder:
     token, whose case matters, are encoded whole.
     """
 
-    def __init__(self, tokenizer, max_chars: int = 8 << 20):
+    def __init__(self, tokenizer, max_chars: int = 3 << 20):
         self.tokenizer, self.max_chars = tokenizer, max_chars
         self.forget()
 
