@@ -29,8 +29,9 @@ PICTURES = [[BASIS[v][y] * BASIS[u][x] for y in range(8) for x in range(8)] for
 
 
 def _product(values: str, rows: list[list[float]]) -> Column:
-    """A constant matrix times an array."""
-    return F.transform(_matrix(rows), lambda row: F.aggregate(F.zip_with(F.col(values), row, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    """A constant matrix times an array. The array goes through a lambda of its own, which evaluates it once."""
+    times = lambda v: F.transform(_matrix(rows), lambda row: F.aggregate(F.zip_with(v, row, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    return F.element_at(F.transform(F.array(F.col(values)), times), 1)
 
 
 def dct(df: DataFrame, block: str, out: str) -> DataFrame:
