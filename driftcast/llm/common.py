@@ -1,40 +1,18 @@
-"""Helpers that the training-data operators share: tables, shared storage, edges to components."""
+"""Helpers that the training-data operators share: tables and edges to components."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftcast.sources.shared import shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (tests on one machine) /tmp/checkpoints takes its place; on a
-    cluster an absent setting is an error, as no other folder is known to be shared.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftcast.llm.common import written
+
 #: Common words of four languages, after which a signature may start.
 ANCHORS = {
     "en": "a an and are as at be but by for from had has have he her his in is it its not of on or she that the their they this to was were which will with you",
@@ -132,3 +136,50 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """class_id (smallest doc_id), sigs, size, members: one row for all documents of an equal signature set."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    rows = with_signatures(rows, "text", "sigs").select("doc_id", "sigs")
+    each = rows.groupBy("sigs").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    return each.select("class_id", "sigs", F.size("sigs").alias("size"), "members")
+
+
+def similar(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs class_a < class_b of different signature sets of a Jaccard of least or more, and the Jaccard.
+
+    Copies are one class, so they make no pairs. Classes are partitioned by set length: the
+    borders grow by 1 / least, so a pair lies in one partition or in two neighbours. Within a
+    partition a pair must share one of its rarest signatures (the first size - ceil(least * size)
+    + 1 in order of their frequency), as otherwise too few are left to reach least; frequent
+    signatures therefore bring no candidates together unless a set has no others. Candidates
+    are compared once, by the sizes first. Rows without an id take no part.
+    """
+    sets = written(classes(docs, doc_id, text), "signature-sets")
+    tokens = sets.select("class_id", "size", F.explode("sigs").alias("sig"))
+    seen = tokens.groupBy("sig").agg(F.count("*").alias("n"))
+    ranked = tokens.join(seen, "sig")
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("n", "sig"))
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9)) + 1
+    kept = ranked.withColumn("place", place).filter(F.col("place") <= prefix).select("class_id", "size", "sig")
+    # Length l is in partition floor(ln l / ln(1 / least)); the longer of a pair is in that of the shorter or the next.
+    part = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1 / least)) + 1e-9) if least < 1 else F.col("size")
+    kept = kept.withColumn("part", part)
+    a = kept.withColumn("part", F.explode(F.array("part", F.col("part") + 1) if least < 1 else F.array("part"))).select("sig", "part", F.col("class_id").alias("a"), F.col("size").alias("size_a"))
+    b = kept.select("sig", "part", F.col("class_id").alias("b"), F.col("size").alias("size_b"))
+    shorter = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    pairs = a.join(b, ["sig", "part"]).filter(shorter & (F.col("size_a") >= F.col("size_b") * F.lit(least) - 1e-9)).select("a", "b").distinct()
+    left, right = sets.select(F.col("class_id").alias("a"), F.col("sigs").alias("sigs_a")), sets.select(F.col("class_id").alias("b"), F.col("sigs").alias("sigs_b"))
+    got = pairs.join(left, "a").join(right, "b").withColumn("jaccard", likeness(F.col("sigs_a"), F.col("sigs_b"), least)).filter(F.col("jaccard") >= least - 1e-12)
+    return got.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "jaccard")
+
+
+def linked(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, links: each document's class and to how many other classes it is linked."""
+    pairs = similar(docs, least, doc_id, text)
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = with_signatures(rows, "text", "sigs").select("doc_id", F.md5(fingerprint(F.col("sigs"))).alias("key"))
+    ids = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(ids, "key").join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

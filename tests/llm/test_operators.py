@@ -301,6 +301,29 @@ def test_fingerprints_against_brute_force(docs, clashing, empty, spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_similar_sets_against_brute_force(spark, clashing, empty, least):
+    rnd = random.Random(9)
+    base = [" ".join(f"the word{rnd.randrange(50)} thing{k}" for k in range(n)) for n in (3, 6, 10, 20, 40) for _ in range(4)]
+    texts = base + [" ".join(w if rnd.random() > p else f"new{rnd.randrange(99)}" for w in t.split()) for t in base for p in (0.02, 0.1)] + base[:3]
+    data = list(enumerate(texts))
+    got = {(r["class_a"], r["class_b"]): r["jaccard"] for r in spotsigs.similar(spark.createDataFrame(data, "doc_id long, text string"), least).collect()}
+    sets = {}
+    for i, t in data:
+        sets.setdefault(frozenset(brute_sigs(t)), i)
+    items, want = list(sets.items()), {}
+    for x, (a, i) in enumerate(items):
+        for b, j in items[x + 1:]:
+            if len(a & b) / len(a | b) >= least:
+                want[min(i, j), max(i, j)] = len(a & b) / len(a | b)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    if least == 0.8:
+        assert len(want) > 5
+        rows_ = {r["doc_id"]: (r["class_id"], r["links"]) for r in spotsigs.linked(clashing, least).collect()}
+        assert rows_[2][0] == 1 and len(rows_) == len({d[0] for d in rows()})
+        assert spotsigs.similar(empty).count() == 0 and spotsigs.linked(empty).count() == 0
+
+
 # Token files
 
 def test_encoder_matches_the_tokenizer():
