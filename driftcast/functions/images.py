@@ -97,3 +97,15 @@ def predict_residuals(values: np.ndarray, step: float) -> np.ndarray:
         levels[y, x] = np.floor((values[y, x] - guess) / step + 0.5)
         out[y, x] = np.clip(guess + levels[y, x] * step, 0, 255)
     return levels
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """Number of the component of each set sample, neighbours by side or corner: its first sample's place; -1 elsewhere."""
+    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
+    while True:
+        wide = np.pad(label, 1, constant_values=mask.size)
+        low = np.lib.stride_tricks.sliding_window_view(wide, (3, 3)).min(axis=(2, 3))
+        new = np.where(mask, low, mask.size)
+        if (new == label).all():
+            return np.where(mask, label, -1)
+        label = new

@@ -25,16 +25,18 @@ def log_auc(df: DataFrame, group: list[str], t: str, value: str) -> DataFrame:
     return df.groupBy(*group).agg(*at).select(*group, (area / math.log(MARKS[-1])).alias("auc")).filter("auc is not null")
 
 
-def upper_median(x: str) -> Column:
-    """The middle value, the greater of two."""
-    s = F.sort_array(F.collect_list(x))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+def upper_percentile(x: str, p: float) -> Column:
+    """Sorted value number floor(p * n), from 0, or the last.
+
+    A discrete percentile a hair above p is that value; it counts equal values before the
+    shuffle, so a group is never gathered as a list of its rows.
+    """
+    return F.expr(f"percentile_disc({min(1.0, p + 1e-12)!r}D) within group (order by `{x}`)")
 
 
-def upper_percentile(x: str, p: float) -> Column:
-    """Sorted value number floor(p * n), from 0, or the last."""
-    s = F.sort_array(F.collect_list(x))
-    return F.element_at(s, F.least(F.size(s), F.floor(F.size(s) * p).cast("int") + 1))
+def upper_median(x: str) -> Column:
+    """The middle value, the greater of two."""
+    return upper_percentile(x, 0.5)
 
 
 def entropy(df: DataFrame, group: list[str], value: str) -> DataFrame:

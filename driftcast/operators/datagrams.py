@@ -40,7 +40,7 @@ def parse(data: bytes) -> list[tuple[str, int]]:
     return out
 
 
-def bundles(df: DataFrame, key: str, values: str, prefix: str = "/avatar/parameters/p") -> DataFrame:
+def bundles(df: DataFrame, key: str, values: str, prefix: str = "/remote/parameters/p") -> DataFrame:
     """key and the bundle of its values, one message each."""
     def run(batches):
         for pdf in batches:

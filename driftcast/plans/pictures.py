@@ -87,7 +87,7 @@ def shape_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftcast.operators.aggregates import upper_percentile
 
     a, b = F.col("p_size") + 1, F.lit(10)
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(F.greatest(a, b) / F.least(a, b) < 1.1).alias("round_ones"), F.count_if(a < 4).alias("tiny"), upper_percentile("p_size", 0.1).alias("d10"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(F.greatest(a, b) / F.least(a, b) < 1.1).alias("round_ones"), F.count_if(a < 4).alias("tiny"), upper_percentile("p_size", 0.1).cast("int").alias("d10"))
 
 
 @query("AGG-22", "RQC-03", sql=f"""WITH {PX}, m AS (SELECT vec_id, avg(v) AS m, min(v) AS lo, max(v) AS hi FROM p GROUP BY vec_id), q AS (SELECT p.vec_id, v, floor((v - lo) / (hi - lo) * 3 + 0.5) / 3 AS t FROM p JOIN m USING (vec_id)),
@@ -299,3 +299,37 @@ def merged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "customer").filter("c_custkey < 200").select(F.lit(1).alias("kind"), F.col("c_custkey").alias("unit"), (3 * F.col("c_acctbal")).alias("gain"))
     place = F.row_number().over(Window.partitionBy(F.col("unit") % 10).orderBy(F.desc("gain"), "kind", "unit"))
     return a.unionByName(b).select("kind", "unit", place.cast("long").alias("place"))
+
+
+@query("WIN-20")
+def adaptive_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of each vector's levels in a Rice code whose order follows the levels before."""
+    start = F.struct(F.lit(4).cast("long").alias("a"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("bits"))
+
+    def step(s, u):
+        k = F.size(F.filter(F.sequence(F.lit(0), F.lit(14)), lambda j: s["n"] * F.pow(F.lit(2), j) < s["a"]))
+        bits = s["bits"] + F.floor(u / F.pow(F.lit(2), k)) + 1 + k
+        a, n = s["a"] + u, s["n"] + 1
+        half = n >= 64
+        return F.struct(F.when(half, F.floor(a / 2)).otherwise(a).alias("a"), F.when(half, F.floor(n / 2)).otherwise(n).alias("n"), bits.alias("bits"))
+
+    u = F.transform("embedding", lambda x: B.fold(F.round(x.cast("double") * 32).cast("long")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(u, start, step)["bits"].alias("bits"))
+
+
+@query("SET-08")
+def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected bright parts of each picture, with their sizes and boxes."""
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        from driftcast.functions.images import components
+
+        for pdf in batches:
+            labels = [components(np.asarray(b, float).reshape(8, 8) > 140).ravel() for b in pdf["block"]]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "labels": [x.tolist() for x in labels]})
+
+    got = K.blocks(table(spark, sf_dir, "embeddings"), 128.0).select("vec_id", "block").mapInPandas(run, "vec_id long, labels array<int>")
+    each = got.select("vec_id", F.posexplode("labels").alias("i", "part")).filter("part >= 0").withColumn("y", F.floor(F.col("i") / 8)).withColumn("x", F.col("i") % 8)
+    return each.groupBy("vec_id", "part").agg(F.count("*").alias("size"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))

@@ -42,7 +42,7 @@ def test_missing_rows_take_the_nearest(blocks, spark):
 
 
 def test_messages_and_pictures():
-    sent = [("/avatar/parameters/p0", 5), ("/a", -7)]
+    sent = [("/remote/parameters/p0", 5), ("/a", -7)]
     data = D.bundle(sent)
     assert D.parse(data) == sent and len(data) % 4 == 0 and D.parse(data[:-3]) == sent[:1] and D.parse(b"nonsense") == []
     rows = [[random.Random(y * 9 + x).randrange(256) for x in range(7)] for y in range(5)]

@@ -158,6 +158,38 @@ def test_transform_and_back(spark):
     assert K.ZIGZAG[:6] == [0, 1, 8, 16, 9, 2] and sorted(K.ZIGZAG) == list(range(64))
 
 
+def test_adaptive_lengths_and_components(spark):
+    import numpy as np
+
+    from driftcast.functions.images import components, homography, multi_scale, resize
+    from driftcast.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").limit(20).collect()}
+    got = {r["vec_id"]: r["bits"] for r in QUERIES["adaptive_code_lengths"](spark, sf).collect()}
+    for i, v in vectors.items():
+        a, n, bits = 4, 1, 0
+        for x in v:
+            q = int(math.floor(abs(x) * 32 + 0.5)) * (1 if x > 0 else -1)
+            u = 2 * q - 1 if q > 0 else -2 * q
+            k = 0
+            while (n << k) < a and k < 15:
+                k += 1
+            bits += (u >> k) + 1 + k
+            a, n = a + u, n + 1
+            if n >= 64:
+                a, n = a >> 1, n >> 1
+        assert got[i] == bits
+    mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 0, 1]], bool)
+    assert components(mask).tolist() == [[0, -1, -1, 3], [-1, 0, -1, 3], [-1] * 4, [12, 12, -1, 15]]
+    plane = np.add.outer(np.arange(192.0), np.arange(192.0)) / 2
+    assert multi_scale(plane, plane) == pytest.approx(1) and multi_scale(plane, np.floor(plane / 32) * 32) < 0.98 and math.isnan(multi_scale(plane[:100], plane[:100]))
+    assert resize(plane, 64, 48).mean() == pytest.approx(plane.mean()) and resize(plane, 200, 192).shape == (200, 192)
+    h = homography([(0, 0), (1, 0), (1, 1), (0, 1)], [(10, 12), (205, 30), (190, 170), (22, 150)])
+    at = h @ [1, 1, 1]
+    assert at[:2] / at[2] == pytest.approx([190, 170]) and homography([(0, 0)] * 4, [(0, 0)] * 4) is None
+
+
 def test_windows_on_edges(spark):
     df = spark.createDataFrame([(1, 1.0, True), (1, 2.0, True), (1, 3.0, False), (1, 4.0, True), (2, 1.0, False)], "e int, t double, f boolean")
     assert sorted((r["e"], r["first_row"], r["length"]) for r in W.runs(df, ["e"], ["t"], F.col("f")).collect()) == [(1, 1, 2), (1, 4, 1)]
