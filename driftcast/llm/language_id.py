@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Compressible filling around a chunk: without it a text of few words is stored as it is, at one size for all languages.
+_PAD = b" " * 32
 
 
 @dataclass(frozen=True)
