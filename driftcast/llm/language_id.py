@@ -104,7 +104,7 @@ class Compressors:
             return UNKNOWN, 0.0, True
         step = self.model.chunk_bytes
         parts = [data[i:i + step] for i in range(0, len(data), step)]
-        sizes = [(sum(len(c.compress(p)) for p in parts), k) for k, c in enumerate(self.each.values())]
+        sizes = [(sum(len(c.compress(_PAD + p + _PAD)) for p in parts), k) for k, c in enumerate(self.each.values())]
         best, k = min(sizes)
         other = min((s for s, j in sizes if j != k), default=2 * best)
         margin = (other - best) / other
