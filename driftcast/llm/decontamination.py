@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftcast.llm.common import written
+
 WINDOW = 10
 #: Words are runs of [0-9a-z] and of everything beyond ASCII, after A-Z are lower-cased.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -142,65 +145,80 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
-             block_bytes: int = 16 << 20, max_bytes: int = 256 << 20, window: int = WINDOW) -> list[SuffixAutomaton]:
-    """Automata over blocks of items, whose size is checked before anything is collected.
+             block_bytes: int = 4 << 20, window: int = WINDOW) -> Iterator[tuple[SuffixAutomaton, bool]]:
+    """An automaton for each block of about block_bytes of item text, and whether it is the last.
 
-    One automaton takes about block_bytes of item text. Null texts are empty. A benchmark of
-    more than max_bytes is an error: its automata are sent to every executor.
+    The size is summed before anything is collected; the driver and a worker hold one block at
+    a time. Null texts are empty; rows with null ids are left out.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total > max_bytes:
-        raise ValueError(f"the benchmark has {total} bytes; {max_bytes} is the limit for one call")
     n = total // block_bytes + 1
-    out = []
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = block.filter("item_id is not null").orderBy("item_id", "text").collect()
-        out.append(SuffixAutomaton([(r["item_id"], words(r["text"])) for r in rows], window))
-    return out
+        rows = block.orderBy("item_id", "text").collect()
+        yield SuffixAutomaton([(r["item_id"], words(r["text"])) for r in rows], window), k == n - 1
 
 
-def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    The words of the whole text stream through the automata, which track the longest match; a
-    word in any window of an item (an item of fewer words is one window) is hit. Null and empty
-    texts have no words; an empty benchmark hits nothing. Rows of the benchmark with null ids
-    are left out, rows that repeat an id count as one item in n_items. The digest is that of the
-    sorted item ids, comma-joined.
+    The words of the whole text stream through an automaton, which tracks the longest match; a
+    word in any window of an item (an item of fewer words is one window) is hit. A benchmark of
+    one block takes one pass; with more, each pass is written with the spans so far, so that
+    no worker holds more than one automaton. Null and empty texts have no words; an empty
+    benchmark hits nothing; rows that repeat an item id count as one in n_items. The digest is
+    that of the sorted item ids, comma-joined.
     """
-    send = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window=window))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                       F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    for tool, last in automata(benchmark, **settings):
+        rows = _counted(rows, tool) if last else written(_scanned(rows, tool), "benchmark-spans")
+    return rows
+
+
+def _matches(batch, tool: SuffixAutomaton):
+    """Words, spans (starts and ends in turn) and items of each row, with those of earlier passes."""
+    for t, spans, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+        seq = words(t)
+        found, ids = tool.scan(seq)
+        pairs = merged([*zip(spans[::2], spans[1::2]), *found])
+        yield len(seq), pairs, {*items, *(tool.ids[i] for i in ids)}
+
+
+def _scanned(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
+    send = rows.sparkSession.sparkContext.broadcast(tool)
 
     def run(batches):
-        tools = send.value
         for b in batches:
-            cols = [[], [], [], [], []]
-            for t in b.column(1).to_pylist():
-                seq = words(t)
-                spans, ids = [], set()
-                for a in tools:
-                    s, k = a.scan(seq)
-                    spans += s
-                    ids.update(a.ids[i] for i in k)
-                hit = sum(y - x for x, y in merged(spans))
-                row = (len(seq), hit, len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), hit > 0)
-                for c, v in zip(cols, row):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
-
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def clean(text: str | None, tools: list[SuffixAutomaton], max_span: int = 0, max_share: float = 0.5) -> str | None:
+            got = list(_matches(b, send.value))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([[x for p in g[1] for x in p] for g in got], pa.list_(pa.int64())),
+                 pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))], names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _counted(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
+    send = rows.sparkSession.sparkContext.broadcast(tool)
+
+    def run(batches):
+        for b in batches:
+            got = [(n, sum(y - x for x, y in pairs), ids) for n, pairs, ids in _matches(b, send.value)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([len(g[2]) for g in got], pa.int64()),
+                 pa.array([hashlib.sha256(",".join(sorted(g[2])).encode()).hexdigest() for g in got], pa.string()),
+                 pa.array([g[1] > 0 for g in got], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def clean(text: str | None, tool: SuffixAutomaton, max_span: int = 0, max_share: float = 0.5) -> str | None:
     """The text without spans of more than max_span hit words; None if over max_share of its words were hit."""
     first = True
     while text:
         seq = words(text)
-        hit = [(a, b) for a, b in merged([s for t in tools for s in t.scan(seq)[0]]) if b - a > max_span]
+        hit = [(a, b) for a, b in merged(tool.scan(seq)[0]) if b - a > max_span]
         if not hit:
             return text
         if first and sum(b - a for a, b in hit) > max_share * len(seq):
@@ -217,27 +235,35 @@ def clean(text: str | None, tools: list[SuffixAutomaton], max_span: int = 0, max
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str | None = "n_chars",
-                  max_span: int = 0, max_share: float = 0.5, window: int = WINDOW) -> DataFrame:
+                  max_span: int = 0, max_share: float = 0.5, **settings) -> DataFrame:
     """docs without the benchmark: spans of more than max_span hit words are cut out of the text.
 
-    Rows of which over max_share of the words are hit go. Cutting repeats until nothing is hit,
-    as the two ends of a cut may meet. All columns stay; length, if docs has it, is set anew for
+    Rows of which over max_share of the words are hit (by a block of items) go. Cutting repeats
+    until nothing is hit, as the two ends of a cut may meet; a benchmark of several blocks
+    takes one written pass for each. All columns stay; length, if docs has it, is set anew for
     rows that were cut. Null and empty texts and clean texts stay as they are.
     """
-    send = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window=window))
+    for tool, last in automata(benchmark, **settings):
+        docs = _cut(docs, tool, text, length, max_span, max_share)
+        docs = docs if last else written(docs, "decontaminated")
+    return docs
+
+
+def _cut(docs: DataFrame, tool: SuffixAutomaton, text: str, length: str | None, max_span: int, max_share: float) -> DataFrame:
+    send = docs.sparkSession.sparkContext.broadcast(tool)
     at = docs.columns.index(text)
     n_at = docs.columns.index(length) if length in docs.columns else None
 
     def run(batches):
-        tools = send.value
         for b in batches:
             old = b.column(at).to_pylist()
-            new = [clean(t, tools, max_span, max_share) for t in old]
+            new = [clean(t, send.value, max_span, max_share) for t in old]
             cols = list(b.columns)
             cols[at] = pa.array(new, cols[at].type)
             if n_at is not None:
-                cols[n_at] = pa.array([n if a is b_ or a == b_ else len(b_ or "") for a, b_, n in zip(old, new, cols[n_at].to_pylist())], cols[n_at].type)
-            stay = pa.array([a is None or n is not None for a, n in zip(old, new)])
+                sizes = cols[n_at].to_pylist()
+                cols[n_at] = pa.array([n if before == after else len(after or "") for before, after, n in zip(old, new, sizes)], cols[n_at].type)
+            stay = pa.array([before is None or after is not None for before, after in zip(old, new)], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(stay)
 
     return docs.mapInArrow(run, docs.schema)
