@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftcast.sources.shared import shared_dir, written  # noqa: F401
 
@@ -13,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH_BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str | T.StructType, limit: str = "4m") -> DataFrame:
+    """df.mapInArrow(run, schema) with Arrow batches of about limit bytes, however long the texts are.
+
+    Bounds the buffers of executors and Python workers. Spark has this setting for a session only; one
+    that differs from Spark's default is the user's and stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES) == _DEFAULT:
+        conf.set(_BATCH_BYTES, limit)
+    return df.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

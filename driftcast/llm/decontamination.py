@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import written
+from driftcast.llm.common import map_batches, written
 
 WINDOW = 10
 #: Words are runs of [0-9a-z] and of everything beyond ASCII, after A-Z are lower-cased.
@@ -196,7 +196,7 @@ def _scanned(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
                 [b.column(0), b.column(1), pa.array([[x for p in g[1] for x in p] for g in got], pa.list_(pa.int64())),
                  pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))], names=b.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_batches(rows, run, rows.schema)
 
 
 def _counted(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
@@ -210,7 +210,7 @@ def _counted(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
                  pa.array([hashlib.sha256(",".join(sorted(g[2])).encode()).hexdigest() for g in got], pa.string()),
                  pa.array([g[1] > 0 for g in got], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_batches(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def clean(text: str | None, tool: SuffixAutomaton, max_span: int = 0, max_share: float = 0.5) -> str | None:
@@ -266,4 +266,4 @@ def _cut(docs: DataFrame, tool: SuffixAutomaton, text: str, length: str | None,
             stay = pa.array([before is None or after is not None for before, after in zip(old, new)], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(stay)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from driftcast.llm.common import map_batches
+
 #: Elements whose content is no text, elements that begin and end a block, and
 #: elements that a page's frame consists of.
 SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "audio", "video")
@@ -259,4 +261,4 @@ def extract(pages: DataFrame, column: str = "html", tree: Tree | None = None) ->
             got = [main_text(p, tree) for p in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=names)
 
-    return pages.mapInArrow(run, f"{fields}, text string, n_chars long")
+    return map_batches(pages, run, f"{fields}, text string, n_chars long")

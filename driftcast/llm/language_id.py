@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftcast.llm.common import map_batches
+
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Compressible filling around a chunk: without it a text of few words is stored as it is, at one size for all languages.
@@ -133,7 +135,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                 [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                  pa.array([g[2] for g in got], pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def keep_clear(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -145,7 +147,7 @@ def keep_clear(df: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for batch in batches:
             yield batch.filter(pa.array([not tools.classify(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

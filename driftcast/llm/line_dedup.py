@@ -135,6 +135,19 @@ def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
     return shards
 
 
+def gathered(batches, limit: int = 32 << 20):
+    """Batches joined to about limit bytes, so that a shard is read for many documents at once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield rest[0]
+
+
 class Shards:
     """Index shards of a task, the last few read staying in memory."""
 
@@ -172,7 +185,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     def run(batches):
         index = Shards(folder)
         digest = xxhash.xxh64_intdigest
-        for b in batches:
+        for b in gathered(batches):
             ids = b.column(at_id).to_pylist()
             docs_lines, owner_of, line_of, a, c = [], [], [], [], []
             for d, t in enumerate(b.column(at_text).to_pylist()):

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftcast.llm.common import map_batches
+
 LIMIT = 4096
 
 
@@ -86,4 +88,4 @@ def count_tokens(df: DataFrame, model_file: str, doc_id: str = "doc_id", text: s
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(src, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import shared_dir, written
+from driftcast.llm.common import map_batches, shared_dir, written
 
 END_ID = 2
 SEQUENCE = 2048
@@ -122,7 +122,7 @@ def encoder(tokenizer_path: str) -> WordEncoder:
     return _ENCODERS[tokenizer_path]
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20):
+def slices(texts: pa.Array, limit: int = 1 << 20):
     """Slices of texts with about limit bytes each; a longer text is a slice of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
@@ -227,7 +227,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_
         else:
             fs.delete_file(mine)
 
-    index = src.mapInArrow(run, "file string, part long, place long, doc_id long, n_tokens long, offset long")
+    index = map_batches(src, run, "file string, part long, place long, doc_id long, n_tokens long, offset long")
     return written(index, "token-index")
 
 
@@ -259,7 +259,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             start = np.array(d["base"], np.int64) + np.array(d["offset"], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(3), pa.array(start), b.column(4), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class SequenceReader:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftcast.llm.common import map_batches
+
 _WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 128
 
@@ -195,4 +197,4 @@ def score(df: DataFrame, model: Examples, text: str = "text", threshold: float =
                 [*b.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= threshold) for g in got], pa.int32()), pa.array(why, kind)],
                 names=names)
 
-    return df.mapInArrow(run, f"{fields}, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double>>")
+    return map_batches(df, run, f"{fields}, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double>>")
