@@ -47,3 +47,44 @@ def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def five_word_groups(texts):
+    """The index of the first text of each text's group, by all pairs of exact Jaccard."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(len(texts))], pairs
+
+
+def test_near_copies_of_five_words_go(spark):
+    import random
+
+    rnd, texts = random.Random(8), []
+    for k in range(60):
+        base = [f"w{k}x{rnd.randrange(500)}" for _ in range(rnd.randint(80, 300))]
+        for edits in (0, 1, 2, 4, 8):
+            own = list(base)
+            for _ in range(edits):
+                own[rnd.randrange(len(own))] = f"edit{rnd.randrange(10**6)}"
+            texts.append(" ".join(own))
+    want, pairs = five_word_groups(texts)
+    assert len(pairs) > 100
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    got = {r["doc_id"] for r in stage(spark, docs, "").collect()}
+    found = sum(j not in got or i not in got for i, j in pairs)
+    print("recall of pairs", found / len(pairs))
+    assert got == set(want)
