@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftcast.llm.common import map_batches, written
 
@@ -213,6 +214,17 @@ def _counted(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
     return map_batches(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def without(text: str, hit: list[tuple[int, int]]) -> str:
+    """The text without the words of disjoint spans, and what stands between the words of one."""
+    data = text.encode()
+    at = [m.span() for m in _WORD.finditer(data)]
+    out, done = [], 0
+    for a, b in hit:
+        out.append(data[done:at[a][0]])
+        done = at[b - 1][1]
+    return b"".join([*out, data[done:]]).decode()
+
+
 def clean(text: str | None, tool: SuffixAutomaton, max_span: int = 0, max_share: float = 0.5) -> str | None:
     """The text without spans of more than max_span hit words; None if over max_share of its words were hit."""
     first = True
@@ -224,13 +236,7 @@ def clean(text: str | None, tool: SuffixAutomaton, max_span: int = 0, max_share:
         if first and sum(b - a for a, b in hit) > max_share * len(seq):
             return None
         first = False
-        data = text.encode()
-        at = [m.span() for m in _WORD.finditer(data)]
-        out, done = [], 0
-        for a, b in hit:
-            out.append(data[done:at[a][0]])
-            done = at[b - 1][1]
-        text = b"".join([*out, data[done:]]).decode()
+        text = without(text, hit)
     return text
 
 
@@ -238,15 +244,69 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", len
                   max_span: int = 0, max_share: float = 0.5, **settings) -> DataFrame:
     """docs without the benchmark: spans of more than max_span hit words are cut out of the text.
 
-    Rows of which over max_share of the words are hit (by a block of items) go. Cutting repeats
-    until nothing is hit, as the two ends of a cut may meet; a benchmark of several blocks
-    takes one written pass for each. All columns stay; length, if docs has it, is set anew for
-    rows that were cut. Null and empty texts and clean texts stay as they are.
+    Rows of which over max_share of the words are hit go. Cutting repeats until nothing is hit,
+    as the two ends of a cut may meet. With a benchmark of several blocks, the spans of all
+    blocks are gathered first, a written pass for each, so that limits and cuts see their union
+    as one automaton would; rows that were cut go round again until no block hits them. All
+    columns stay; length, if docs has it, is set anew for rows that were cut. Null and empty
+    texts and clean texts stay as they are.
     """
-    for tool, last in automata(benchmark, **settings):
-        docs = _cut(docs, tool, text, length, max_span, max_share)
-        docs = docs if last else written(docs, "decontaminated")
-    return docs
+    tools = automata(benchmark, **settings)
+    tool, last = next(tools)
+    if last:
+        return _cut(docs, tool, text, length, max_span, max_share)
+    own, spans = docs.columns, "_spans"
+    while spans in own:
+        spans += "_"
+    state, live, done = f"{spans}cut", docs, None
+    while True:
+        live = live.withColumn(spans, F.array().cast("array<long>"))
+        live = written(_gathered(live, tool, text), "benchmark-spans")
+        for tool, _ in tools:
+            live = written(_gathered(live, tool, text), "benchmark-spans")
+        step = written(_cut_spans(live, text, length, state, max_span, max_share if done is None else None), "decontaminated")
+        still = step.filter(~F.col(state)).select(*[f"`{c}`" for c in own])
+        done = still if done is None else done.unionByName(still)
+        live = step.filter(F.col(state)).select(*[f"`{c}`" for c in own])
+        if not live.take(1):
+            return done
+        tools = automata(benchmark, **settings)
+        tool, _ = next(tools)
+
+
+def _gathered(docs: DataFrame, tool: SuffixAutomaton, text: str) -> DataFrame:
+    """docs with the spans of this block's hits merged into the last column."""
+    send = docs.sparkSession.sparkContext.broadcast(tool)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            got = [merged([*zip(s[::2], s[1::2]), *send.value.scan(words(t))[0]]) for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[x for p in g for x in p] for g in got], pa.list_(pa.int64()))], names=b.schema.names)
+
+    return map_batches(docs, run, docs.schema)
+
+
+def _cut_spans(docs: DataFrame, text: str, length: str | None, state: str, max_span: int, max_share: float | None) -> DataFrame:
+    """docs without the spans of the last column, in place of which state tells if the row was cut."""
+    at, fields = docs.columns.index(text), docs.schema.fields[:-1]
+    n_at = docs.columns.index(length) if length in docs.columns else None
+
+    def run(batches):
+        for b in batches:
+            old, new, stay = b.column(at).to_pylist(), [], []
+            for t, s in zip(old, b.column(b.num_columns - 1).to_pylist()):
+                hit = [(x, y) for x, y in zip(s[::2], s[1::2]) if y - x > max_span]
+                stay.append(not hit or max_share is None or sum(y - x for x, y in hit) <= max_share * len(words(t)))
+                new.append(without(t, hit) if hit and stay[-1] else t)
+            cols = list(b.columns[:-1])
+            cols[at] = pa.array(new, cols[at].type)
+            cut = [x != y for x, y in zip(old, new)]
+            if n_at is not None:
+                cols[n_at] = pa.array([len(t) if c else n for c, t, n in zip(cut, new, cols[n_at].to_pylist())], cols[n_at].type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.bool_())], names=[*b.schema.names[:-1], state]).filter(pa.array(stay, pa.bool_()))
+
+    return map_batches(docs, run, T.StructType([*fields, T.StructField(state, T.BooleanType())]))
 
 
 def _cut(docs: DataFrame, tool: SuffixAutomaton, text: str, length: str | None, max_span: int, max_share: float) -> DataFrame:

@@ -105,6 +105,23 @@ def test_removal_keeps_clean_rows(clashing, benchmark, empty):
     assert decontamination.clean("a b c d", tool) is None
 
 
+def test_blocks_of_items_are_judged_together(spark):
+    items = [("p", "p0 p1 p2 p3"), ("q", "q0 q1 q2 q3"), ("r", "q3 r0 r1 r2")]
+    texts = ["p0 p1 p2 p3 q0 q1 q2 q3 x y",  # each less than half, together more
+             "a b c d e f g h p0 p1 q0 q1 q2 q3 p2 p3 i j k l m n",  # ends of a cut meet in a window of another
+             "a b c d e f g h q0 q1 p0 p1 p2 p3 q2 q3 i j k l m n",
+             "a b c d e f g h q0 q1 q2 q3 r0 r1 r2 i j k l m n",  # windows of two items overlap
+             "nothing of it", None, ""]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = [(i, decontamination.clean(t, decontamination.SuffixAutomaton([(k, decontamination.words(x)) for k, x in items], window=4))) for i, t in enumerate(texts)]
+    want = [(i, c, len(c or "")) for i, c in want if c is not None or texts[i] is None]
+    assert [w[0] for w in want] == [1, 2, 3, 4, 5, 6]
+    for size in (1 << 20, 9, 2, 1):
+        got = decontamination.decontaminate(docs, bench, block_bytes=size, window=4)
+        assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == want, size
+
+
 # Token counts
 
 def test_piece_counts_match_the_tokenizer(clashing, empty):
