@@ -88,3 +88,11 @@ def test_near_copies_of_five_words_go(spark):
     found = sum(j not in got or i not in got for i, j in pairs)
     print("recall of pairs", found / len(pairs))
     assert got == set(want)
+
+
+def test_near_copies_keep_rows_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    data = [(1, a), (1, b), (None, c), (None, c), (None, d), (2, d), (1, a)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (1, b), (None, c), (2, d)], key=repr)
