@@ -137,11 +137,10 @@ SELECT slot, {_carousel('slot', 50, 4)} AS carousel, slot % 50 AS plain, CASE WH
 CASE WHEN slot % 4 = 3 THEN b % 8 WHEN j % 43 < 42 THEN 8 + j % 43 ELSE (j // 43) % 8 END AS dual,
 CASE WHEN slot % 2 = 0 THEN {_carousel('slot // 2', 50, 1)} ELSE (CASE (slot // 2) % 4 WHEN 0 THEN (slot // 8) % 4 WHEN 1 THEN 4 + (slot // 8) % 8 WHEN 2 THEN 12 + (slot // 8) % 16 ELSE 28 + (slot // 8) % 22 END) END AS tier FROM k JOIN j USING (slot)""")
 def plain_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed-form schedules of 50 units."""
-    k = F.col("slot")
-    return S.slots(spark, 5000).select(
-        "slot", S.carousel(k, 50, 4).alias("carousel"), S.carousel(k, 50, extra=False).alias("plain"), S.priority(k, 50, 6, 4).alias("prio"),
-        S.dual(k, 50, 8, 4).alias("dual"), S.tiers(k, 50).alias("tier"))
+    """Cyclic schedules of 50 units."""
+    got = S.by_phases(S.slots(spark, 5000), {
+        "carousel": S.carousel(50, 4), "plain": S.lap(0, 50), "prio": S.priority(50, 6, 4), "dual": S.dual(50, 8, 4), "tier": S.tiers(50)})
+    return got.select("slot", "carousel", "plain", "prio", "dual", "tier")
 
 
 SQRT = """WITH u AS (SELECT s_suppkey AS unit, sqrt(greatest(gain, (SELECT min(g) FROM (SELECT abs(s_acctbal) + 1 AS g FROM supplier) WHERE g > 0) * 1e-3)) AS f
@@ -293,11 +292,11 @@ def block_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.filter("chunk is not null").select("block", "chunk").unionByName(edge).filter(F.col("block") - F.col("chunk") < 5)
 
 
-@query("JOI-16", "JOI-17", sql="""WITH b AS (SELECT p_partkey AS id, (p_partkey * 37 % 500) AS x, (p_partkey * 91 % 500) AS y, 1 + p_size % 9 AS r FROM part WHERE p_partkey < 400)
+@query("JOI-16", "JOI-17", sql="""WITH b AS (SELECT p_partkey AS id, (p_partkey * 37 % 97) AS x, p_partkey AS y, 1 + p_size % 9 AS r FROM part)
 SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.id < b.id AND abs(a.x - b.x) <= a.r + b.r AND abs(a.y - b.y) <= a.r + b.r""")
 def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of boxes that overlap, found over cells of a grid instead of all pairs."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 400").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 500).alias("x"), (F.col("p_partkey") * 91 % 500).alias("y"), (1 + F.col("p_size") % 9).alias("r"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 97).alias("x"), F.col("p_partkey").alias("y"), (1 + F.col("p_size") % 9).alias("r"))
     return L.overlaps(p)
 
 

@@ -291,12 +291,12 @@ def memoised_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(once, "state").select("image", "codec", "mark", "state", "score")
 
 
-@query("COD-11", "COD-12", "SRT-01", sql="""WITH u AS (SELECT 0 AS kind, s_suppkey AS unit, s_acctbal AS gain FROM supplier UNION ALL SELECT 1, c_custkey, 3 * c_acctbal FROM customer WHERE c_custkey < 200)
+@query("COD-11", "COD-12", "SRT-01", sql="""WITH u AS (SELECT 0 AS kind, s_suppkey AS unit, s_acctbal AS gain FROM supplier UNION ALL SELECT 1, c_custkey, 3 * c_acctbal FROM customer)
 SELECT kind, unit, row_number() OVER (PARTITION BY unit % 10 ORDER BY gain DESC, kind, unit) AS place FROM u""")
 def merged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams of units merged by gain; residuals count threefold."""
     a = table(spark, sf_dir, "supplier").select(F.lit(0).alias("kind"), F.col("s_suppkey").alias("unit"), F.col("s_acctbal").alias("gain"))
-    b = table(spark, sf_dir, "customer").filter("c_custkey < 200").select(F.lit(1).alias("kind"), F.col("c_custkey").alias("unit"), (3 * F.col("c_acctbal")).alias("gain"))
+    b = table(spark, sf_dir, "customer").select(F.lit(1).alias("kind"), F.col("c_custkey").alias("unit"), (3 * F.col("c_acctbal")).alias("gain"))
     place = F.row_number().over(Window.partitionBy(F.col("unit") % 10).orderBy(F.desc("gain"), "kind", "unit"))
     return a.unionByName(b).select("kind", "unit", place.cast("long").alias("place"))
 
