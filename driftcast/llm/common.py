@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,35 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_BATCH_BYTES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+def pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in order, halved until each has about limit bytes or one row."""
+    if batch.num_rows < 2 or batch.nbytes <= limit:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), limit)
+    yield from pieces(batch.slice(half), limit)
 
 
-def map_batches(df: DataFrame, run: Callable, schema: str | T.StructType, limit: str = "4m") -> DataFrame:
-    """df.mapInArrow(run, schema) with Arrow batches of about limit bytes, however long the texts are.
+def map_batches(df: DataFrame, run: Callable, schema: str | T.StructType, limit: int = 4 << 20) -> DataFrame:
+    """df.mapInArrow(run, schema), where run gets slices of about limit bytes, however long the texts are.
 
-    Bounds the buffers of executors and Python workers. Spark has this setting for a session only; one
-    that differs from Spark's default is the user's and stays.
+    What a worker copies out of Arrow and what it sends back at once is so bounded by limit or by its longest
+    row. No setting of the session changes.
     """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_BYTES) == _DEFAULT:
-        conf.set(_BATCH_BYTES, limit)
-    return df.mapInArrow(run, schema)
 
+    def sliced(batches):
+        return run(part for b in batches for part in pieces(b, limit))
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    return df.mapInArrow(sliced, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: columns a, b (long, no nulls). Returns node, root: every node that occurs, and the
     smallest node that can be reached from it. Each step is a min() per node, which combines
     before the shuffle, and a join of edges with one row per node. Every round is written to
-    the shared folder; the loop ends when a round changes nothing.
+    the shared folder; the loop ends only when a round changes nothing, which takes about the
+    logarithm of the longest path in rounds.
     """
     cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     cur = written(cur, "links")
     mark = _digest(cur)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftcast.llm.common import map_batches
+from driftcast.llm.common import map_batches, written
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 #: Compressible filling around a chunk: without it a text of few words is stored as it is, at one size for all languages.
 _PAD = b" " * 32
 
@@ -35,57 +34,44 @@ def letters_only(text: str) -> bytes:
     return " ".join(_LETTERS.findall(text.lower())).encode()
 
 
-def fit(labelled: DataFrame, per_lang: int = 256, chars: int = 4000, dict_bytes: int = 16384,
-        max_langs: int = 200, **settings) -> LanguageModel:
+def fit(labelled: DataFrame, per_lang: int = 256, dict_bytes: int = 16384, max_langs: int = 200, **settings) -> LanguageModel:
     """Dictionaries from the columns text and lang of labelled rows.
 
-    The fit reads a bounded sample: about per_lang texts of each language (those with the
-    smallest hash of their text, so repeated rows count once), chars characters of each. A
-    dictionary holds the words that more of the language's sampled texts have than those of any
-    other language, the most telling nearest its end, so single mislabelled rows do not matter.
-    Rows with null lang or text teach nothing. More than max_langs languages are an error.
+    The fit reads a bounded sample: about per_lang distinct texts of each language, those with the
+    smallest hashes; copies of a text are one text however many rows they have. A language of fewer
+    texts, or of copies of one text only, is learnt from what it has. The sampled texts are read
+    whole: their words are counted where the texts are, and the driver gets one dictionary of at most
+    dict_bytes for each language. A dictionary holds the words that more of the language's sampled
+    texts have than those of any other language, the most telling nearest its end, so single
+    mislabelled rows do not matter. Rows with null lang or text teach nothing. More than max_langs
+    languages are an error.
     """
-    rows = labelled.select("text", "lang").filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()
+    span = 1 << 40
+    rows = labelled.select("lang", "text").filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts"))
+    counts = counts.orderBy(F.desc("rows"), "lang").limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not counts:
         return LanguageModel({}, **settings)
-    span = 1 << 40
-    bar = F.lit(0)
-    for r in counts:
-        bar = F.when(F.col("lang") == r["lang"], F.lit(min(span, span * 2 * per_lang // r["count"] + 1))).otherwise(bar)
-    h = F.pmod(F.xxhash64("text"), F.lit(span))
-    found = (rows.withColumn("h", h).filter(F.col("h") < bar)
-             .groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
-             .orderBy("h").limit(2 * per_lang * len(counts) + 1000).collect())
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
-    for r in found:
-        if len(texts[r["lang"]]) < per_lang:
-            texts[r["lang"]].append(r["text"])
-    return LanguageModel(dictionaries(texts, dict_bytes), **settings)
-
-
-def dictionaries(texts: dict[str, list[str]], dict_bytes: int) -> dict[str, bytes]:
-    """A dictionary of telling words for each language, from a few texts of each."""
-    share = {}
-    for lang, docs in texts.items():
-        seen: Counter[bytes] = Counter()
-        for d in docs:
-            seen.update(set(letters_only(d).split()))
-        share[lang] = {w: n / max(len(docs), 1) for w, n in seen.items() if n >= min(2, len(docs))}
-    out = {}
-    for lang, own in share.items():
-        rest = [s for k, s in share.items() if k != lang]
-        led = sorted(((p - max((s.get(w, 0.0) for s in rest), default=0.0), w) for w, p in own.items()), reverse=True)
-        words, size = [], 0
-        for lead, w in led:
-            if lead <= 0 or size + len(w) + 1 > dict_bytes:
-                break
-            words.append(w)
-            size += len(w) + 1
-        out[lang] = b" " + b" ".join(reversed(words)) + b" "
-    return out
+    bars = labelled.sparkSession.createDataFrame(
+        [(r["lang"], min(span, span * per_lang // max(1, r["texts"]) + 1)) for r in counts], "lang string, bar long")  # a row for each language
+    few = rows.join(F.broadcast(bars), "lang").filter(F.pmod("h", F.lit(span)) < F.col("bar"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", words.alias("words"))
+    few = written(few, "language-sample")
+    sizes = {r["lang"]: r["n"] for r in few.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    size = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, n)])
+    seen = few.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    seen = seen.withColumn("docs", size[F.col("lang")]).filter("n >= least(2, docs)").withColumn("share", F.col("n") / F.col("docs"))
+    top = seen.groupBy("word").agg(F.max_by("lang", "share").alias("first"), F.sort_array(F.collect_list("share"), asc=False).alias("shares"))
+    led = top.select(F.col("first").alias("lang"), "word", (F.get("shares", F.lit(0)) - F.coalesce(F.get("shares", F.lit(1)), F.lit(0.0))).alias("lead")).filter("lead > 0")
+    best = Window.partitionBy("lang").orderBy(F.desc("lead"), F.desc("word"))
+    led = led.withColumn("bytes", F.sum(F.octet_length("word") + 1).over(best)).filter(F.col("bytes") <= dict_bytes)
+    found: dict[str, list[str]] = {r["lang"]: [] for r in counts}
+    for r in led.orderBy("lang", "lead", "word").collect():
+        found[r["lang"]].append(r["word"])
+    return LanguageModel({lang: f" {' '.join(words)} ".encode() for lang, words in found.items()}, **settings)
 
 
 class Compressors:
