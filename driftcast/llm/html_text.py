@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,32 +15,34 @@ from pyspark.sql import DataFrame
 
 from driftcast.llm.common import map_batches
 
-#: Elements whose content is no text, elements that begin and end a block, and
-#: elements that a page's frame consists of.
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "audio", "video")
+#: Elements whose content is no text of the page, elements that begin and end a block, and elements
+#: that stand for the frame of a page.
+SILENT = set("script style noscript template svg iframe object canvas textarea select title audio video".split())
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 FRAME = set("nav header footer aside form menu dialog button label fieldset".split())
-CONTAINERS = BLOCKS - set("hr p li dt dd h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot caption".split()) | {"button", "label", "span"}
-#: Words in class, id or role that mark such frames, and those that mark the article.
-FRAME_WORDS = set("""ad ads advert advertisement adverts advertising adbox adsense alert author-box banner bio breadcrumb breadcrumbs captcha comment
-comments consent contentinfo cookie cookies copyright disclaimer discussion disqus donate feedback foot footer form gdpr header login masthead menu
-menubar message modal nav navbar navigation navigationbar newsletter notice notices notification overlay pager pagination paywall popup promo
-promotion promoted related recommended replies reply respond rail register search share sharing sidebar side signup skip social sponsor sponsored
-subscribe subscription tags toc toolbar topbar trending warning widget complementary dialog tablist""".split())
-ARTICLE_WORDS = set("article post entry story content main body text".split())
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<quiet>" + "|".join(SILENT) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=quiet)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+)>|<[!?/a-zA-Z][^>]*>", re.S | re.I)
+#: Block elements that hold other blocks: what is said of them holds for all in them.
+CONTAINERS = BLOCKS - set("hr p li dt dd h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot caption".split()) | {"button", "label"}
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAMES = re.compile(r"[^a-z0-9]+")
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "item", "in_article", "in_frame")
+_WORD = re.compile(r"[a-z0-9]+")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
+            "heading", "item", "in_article", "frame", "name_inside", "name_outside")
+
+
+class Names(dict):
+    """How much more often a word of class, id or role stands over main text than over the rest: log odds, learnt."""
+
+    def of(self, words: frozenset[str]) -> float:
+        """The sum over an element's words; words that were not learnt count nothing."""
+        return sum(self.get(w, 0.0) for w in words)
 
 
 @dataclass
 class Block:
-    """A flat text block: its text, features of its own, and the label of a training page."""
+    """A flat text block: its text, counts of its words, what it stands in, and the label of a training page."""
 
     text: str
     words: int
@@ -45,114 +50,154 @@ class Block:
     heading: int
     item: int
     in_article: int
-    in_frame: int
-    label: int | None = None
+    frame: int
+    inside: tuple[frozenset[str], ...]
+    outside: tuple[frozenset[str], ...]
+    label: int = 0
+
+
+@dataclass(frozen=True)
+class _Place:
+    """An open container: whether in an article and in the page's frame, and names of it and of those around it."""
+
+    tag: str = ""
+    in_article: int = 0
+    frame: int = 0
+    inside: tuple[frozenset[str], ...] = ()
+    outside: tuple[frozenset[str], ...] = ()
 
 
 def _attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(rest)}
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(rest)} if rest and not rest.isspace() else {}
+
 
+def _names(attrs: dict[str, str]) -> frozenset[str]:
+    return frozenset(w for k in ("class", "id", "role") if k in attrs for w in _WORD.findall(attrs[k].lower()))
 
-def _frame(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element belongs to the page's frame rather than to what the page says."""
-    names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()
-    words = {w for n in names.split() for w in [n, *_NAMES.split(n)] if w}
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in FRAME and not (tag == "header" and in_article):
-        return True
-    if tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "reply"}:
-        return False
-    found = words & FRAME_WORDS
-    if found <= {"header", "text", "body"} and (in_article or words & ARTICLE_WORDS):
-        return False
-    return bool(found)
 
+def _entered(at: _Place, tag: str, attrs: dict[str, str]) -> _Place:
+    """The place inside an element. An article's names come anew: those around it are outside."""
+    names = _names(attrs)
+    hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    frame = int(at.frame or hidden or tag in FRAME and not (tag == "header" and at.in_article))
+    if tag in ("article", "main") and not at.in_article:
+        return _Place(tag, 1, frame, (names,) if names else (), at.outside + at.inside)
+    return _Place(tag, at.in_article, frame, (*at.inside, names) if names else at.inside, at.outside)
 
-def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page in order, empty ones left out.
+
+def markup(page: str):
+    """The parts of a page in order: (text, None, False, "") or ("", tag, whether it closes, attributes as written).
+
+    Comments, declarations and what stands in silent elements are left out. Each part is looked at once, so time
+    grows with the page's length: what is not closed ends with the page, and after one tag whose quotes do not end
+    the first ">" ends every tag.
+    """
+    at, n, last, quotes, cdata = 0, len(page), page.rfind(">"), True, True
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            if text := page[at:lt if lt >= 0 and _NAME.match(page, lt + 1) else n]:
+                yield text, None, False, ""
+            return
+        mark = page[lt + 1:lt + 2]
+        if mark not in "!?/" and not mark.isalpha():
+            yield page[at:lt + 1], None, False, ""
+            at = lt + 1
+            continue
+        if lt > at:
+            yield page[at:lt], None, False, ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+        elif cdata and page.startswith("<![CDATA[", lt) and (end := page.find("]]>", lt)) >= 0:
+            at = end + 3
+        elif not (name := _NAME.match(page, lt + 1)):
+            cdata = cdata and not page.startswith("<![CDATA[", lt)
+            at = page.find(">", lt) + 1
+        else:
+            m = _OPEN.match(page, lt) if quotes else None
+            quotes = m is not None
+            end = m.end() if m else page.find(">", lt) + 1
+            tag, close = name[1].lower(), mark == "/"
+            rest = m[3] if m else page[name.end():end - 1]
+            at = end
+            if tag not in SILENT:
+                yield "", tag, close, rest
+            elif not close and not rest.endswith("/"):
+                stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, end)
+                at = page.find(">", stop.start()) + 1 or n if stop else n
+
+
+def blocks(page: str, label: str | None = None) -> list[Block]:
+    """The flat text blocks of a page in order, empty ones left out; label names the attribute of marked blocks.
 
     A block ends where a block element starts or ends. Its text is that of the page without
     markup, with character references decoded and runs of white space as one space. Elements
     left open end with what encloses them.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # containers: tag, whether in a frame, whether in an article
+    stack: list[_Place] = [_Place()]
+    depth: Counter[str] = Counter()
     parts: list[str] = []
-    link = 0
     linked: list[str] = []
-    heading = item = 0
-    label: int | None = None
+    link = False
+    own, heading, item, mark = stack[0], 0, 0, 0
 
     def flush():
-        nonlocal parts, linked, link, label
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            frame, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, len(text.split()), len(html.unescape(" ".join(linked)).split()), heading, item, int(article), int(frame), label))
-        parts, linked, label = [], [], None
-
-    def add(text: str):
-        parts.append(text)
-        if link:
-            linked.append(text)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at:m.start()])
-        at = m.end()
-        if m["quiet"]:
-            continue
-        if not m["tag"]:
-            continue
-        tag, close = m["tag"].lower(), bool(m["close"])
-        if tag == "a":
-            link = 0 if close else 1
-            continue
-        if tag in ("br", "wbr", "img"):
-            if tag == "br":
-                add(" ")
-            continue
-        attrs = _attributes(m["rest"]) if m["rest"].strip() and not close else {}
-        if tag in CONTAINERS:
-            if tag in BLOCKS or tag in FRAME:
-                flush()
-                link = heading = item = 0
-            if close:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        if any(s[1] for s in stack[k:]) and tag not in BLOCKS and tag not in FRAME:
-                            flush()
-                        del stack[k:]
-                        break
-            elif not m["rest"].endswith("/"):
-                frame, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                own = _frame(tag, attrs, article)
-                if own and tag == "span":
-                    flush()
-                stack.append((tag, frame or own, article or tag in ("article", "main")))
+            out.append(Block(text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()) if linked else 0,
+                             heading, item, own.in_article, own.frame, own.inside, own.outside, mark))
+        parts.clear()
+        linked.clear()
+
+    for text, tag, close, rest in markup(page):
+        if tag is None:
+            parts.append(text)
+            if link:
+                linked.append(text)
+        elif tag == "a":
+            link = not close
+        elif tag == "br":
+            parts.append(" ")
+        elif tag in CONTAINERS:
+            flush()
+            link, heading, item, mark = False, 0, 0, 0
+            if not close:
+                if not rest.endswith("/"):
+                    stack.append(_entered(stack[-1], tag, _attributes(rest)))
+                    depth[tag] += 1
+            elif depth[tag]:
+                while (gone := stack.pop().tag) != tag:
+                    depth[gone] -= 1
+                depth[tag] -= 1
+            own = stack[-1]
         elif tag in BLOCKS:
             flush()
-            link = 0
-            heading = int(not close and tag[0] == "h" and tag[1:].isdigit())
-            item = int(not close and tag == "li")
-            if not close and attrs and _frame(tag, attrs, stack[-1][2] if stack else False):
-                item = 1
-        if not close and "data-main" in attrs:
-            label = int(attrs["data-main"])
-    if at < len(page):
-        add(page[at:])
+            link, own, mark = False, stack[-1], 0
+            heading, item = int(not close and tag[0] == "h" and tag[1:].isdigit()), int(not close and tag == "li")
+            if not close and (attrs := _attributes(rest)):
+                own = _entered(own, tag, attrs)
+                mark = int(label is not None and label in attrs)
     flush()
     return out
 
 
-def features(found: list[Block]) -> np.ndarray:
+def features(found: list[Block], names: Names) -> np.ndarray:
     """One row of FEATURES for each block."""
-    own = np.array([[b.words, b.linked / b.words] for b in found]).reshape(-1, 2)
+    own = np.array([[b.words, min(1.0, b.linked / b.words)] for b in found]).reshape(-1, 2)
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
-    rest = np.array([[b.heading, b.item, b.in_article, b.in_frame] for b in found]).reshape(-1, 4)
+    memo: dict[tuple, float] = {(): 0.0}
+
+    def least(around: tuple[frozenset[str], ...]) -> float:
+        """The lowest of the elements' log odds, as one sidebar makes a sidebar of all in it; the highest if none is below 0."""
+        if around not in memo:
+            each = [names.of(w) for w in around]
+            memo[around] = min(each) if min(each) < 0 else max(each)
+        return memo[around]
+
+    rest = np.array([[b.heading, b.item, b.in_article, b.frame, least(b.inside), least(b.outside)] for b in found]).reshape(-1, 6)
     return np.concatenate([own, before, after, rest], axis=1)[: len(found)]
 
 
@@ -175,7 +220,7 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 12) -> Tree:
     """A tree that splits by Gini impurity; ties go to the earlier feature and lower threshold."""
     share = float(y.mean()) if len(y) else 0.0
     if depth == 0 or share in (0.0, 1.0):
@@ -198,67 +243,143 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
     return Tree(share, best[1], float(best[2]), grow(x[left], y[left], depth - 1, least), grow(x[~left], y[~left], depth - 1, least))
 
 
-#: A small labelled table: data-main marks main text (1); blocks without it are 0.
-LABELLED = [
-    """<nav><ul><li><a href=1>Home</a></li><li><a href=2>News of today</a></li></ul></nav><div class="ad">Buy two lamps and get the third one for nothing today</div>
-<article><h1 data-main=1>Rain fills the dams</h1><p data-main=1>After a dry spring it rained for two weeks in the hills, and the dams are full again.</p>
-<p data-main=1>Good.</p><p data-main=1>Farmers had feared for their wheat, which needs water in May and sun in July, as the head of the board said.</p></article>
-<footer>&copy; hill.example &middot; All rights reserved by the printers of this page</footer>""",
-    """<header class="site-header"><h2>The Hill Post</h2><p>A paper for the hills and for the plains since 1903, printed each week</p></header>
-<main><h1 data-main=1>A bridge opens</h1><p data-main=1>The bridge over the river was opened on Monday.</p><ul><li data-main=1>It is ninety metres long</li>
-<li data-main=1>It has two lanes and a path</li></ul><blockquote data-main=1>We waited long for it, said one who lives on the far side.</blockquote></main>
-<aside><h3>More to read</h3><p>Our ten best walks along the river, with maps and with places to eat and to sleep on the way</p></aside>""",
-    """<body><div class="cookie-notice"><p>We use cookies to make this site work and to learn how people read it; you can say no.</p><button>Accept</button></div>
-<div id="content"><h1 data-main=1>How to keep bees</h1><p data-main=1>Bees need a dry box, water near by and flowers from March until the autumn.</p>
-<h2 data-main=1>The box</h2><p data-main=1>A box of pine lasts ten years if it stands on stones. Paint the outside only, with a colour that is light.</p></div>
-<div id="comments"><h3>Comments</h3><div class="comment"><p>I have kept bees for years and never painted a box, and they are all well, thank you.</p></div>
-<div class="comment"><p>Nice one!</p></div></div><form><label>Your name</label><input><p>Write what you think about this article in the box below</p></form></body>""",
-    """<div><a href=1>Front</a> | <a href=2>Sport</a> | <a href=3>Weather</a> | <a href=4>About us</a></div>
-<div><p data-main=1>A page without marks of its parts has long paragraphs in its middle, which hold most of its words and few of its links.</p>
-<p data-main=1>Each of them stands beside others of its kind, and a reader knows them at once by their length and by their sentences.</p>
-<p data-main=1>Some have <a href=9>one link</a> among many words, as this paragraph does, and they are text all the same to anybody who reads.</p></div>
-<div><a href=5>Terms</a> <a href=6>Privacy</a> <a href=7>Contact</a></div><p>Printed in the hills</p>""",
-    """<div class="sidebar"><p>Most read this week: the bridge, the bees, the dams and the long road to the sea in the south</p><ul><li><a href=1>The road</a></li></ul></div>
-<article class="post"><header><h1 data-main=1>Winter songs</h1></header><p data-main=1>Three choirs sang.</p><p data-main=1>The hall was cold but full, and the last song was sung by all.</p>
-<table><tr><td data-main=1>First choir</td><td data-main=1>Nine songs</td></tr></table><div class="ad">Sponsored: warm coats at half the price until Sunday in all our shops</div>
-<p data-main=1>Next year there will be four.</p><div class="share"><a href=3>Share this</a></div></article>
-<section class="related"><h3>Related stories</h3><p>Summer songs were sung at the lake by two choirs and a band last year in June</p></section>""",
-    """<div role="banner">Notice: this site moves to a new address next month, please note it now</div><div class="post-content"><h2 data-main=1>Soup</h2>
-<pre data-main=1>two onions one carrot salt</pre><p data-main=1>Cook all for an hour.</p><p data-main=1>Serve hot with bread, and keep what is left for the next day, when it is better.</p></div>
-<footer><p>Write to us at the old mill, or ring in the mornings from nine until noon on working days</p><a href=1>Imprint</a></footer>""",
+#: The labelled table, one row for each kind of part: whether it is main text, elements that it comes as, names that it
+#: comes with (class, id or role, one or two at a time; "" is none), and its fillings.
+PARTS = [
+    (0, "nav div ul", "menu nav navbar navigation menubar toolbar tabs links", "links"),
+    (0, "nav div ol", "breadcrumb breadcrumbs crumbs trail", "links"),
+    (0, "header div", "header masthead banner top topbar branding logo site", "line links"),
+    (0, "footer div", "footer foot bottom copyright contentinfo colophon legal imprint", "line prose links"),
+    (0, "aside div section", "sidebar side rail widget complementary aside box", "teaser prose links"),
+    (0, "section div aside", "related recommended trending more popular latest also read next", "teaser links entries"),
+    (0, "div section aside", "ad ads advert advertisement adbox sponsored sponsor promo promoted promotion banner", "prose line"),
+    (0, "div section", "cookie cookies consent notice notices alert gdpr warning popup modal overlay notification message disclaimer paywall", "prose line"),
+    (0, "form div", "form search login register signup newsletter subscribe subscription donate captcha feedback", "line prose"),
+    (0, "div ul", "share sharing social tags tag pager pagination follow", "links"),
+    (0, "section div article", "comment comments reply replies respond discussion disqus responses", "prose entries line"),
+    (1, "article main div section", "article post entry story content body text main page hentry", "article"),
+    (1, "article main div section", "", "article"),
 ]
+#: Names of containers within an article, which say little of themselves.
+WITHIN = "text body content story lead intro summary figure caption quote note message list table section chapter column feature free post tags".split()
+_TALK = "rain hill dam river bridge road house bee garden music winter market boat school doctor paper stone light field horse train letter window bread".split()
+
+
+def labelled_pages(n: int = 2000, seed: int = 5) -> list[str]:
+    """Pages drawn from the labelled table by a seed: parts of a frame around an article, whose blocks carry data-main.
+
+    A fifth of the pages have no names and no telling elements, only div and p, so that there words and links must tell.
+    """
+    rnd = random.Random(seed)
+    frame, main = [p for p in PARTS if not p[0]], [p for p in PARTS if p[0]]
+
+    def talk(lo: int, hi: int) -> str:
+        return " ".join(rnd.choices(_TALK, k=rnd.randint(lo, hi))).capitalize() + rnd.choice(". . ? !".split())
+
+    def linked(text: str) -> str:
+        return f"<a href=/x>{text}</a>"
+
+    def filling(kind: str) -> str:
+        if kind == "links":
+            return rnd.choice(["", "<ul>"]) + rnd.choice([" ", " | ", "<li>"]).join(linked(talk(1, 4)) for _ in range(rnd.randint(2, 7)))
+        if kind == "line":
+            return f"<p>{talk(2, 12)}" + (f" {linked(talk(1, 3))}" if rnd.random() < 0.3 else "")
+        if kind == "teaser":
+            return f"<h3>{talk(2, 4)}</h3>" + "".join(f"<p>{linked(talk(3, 9))} {talk(0, 9)}</p>" for _ in range(rnd.randint(1, 3)))
+        if kind == "entries":
+            return "".join(f"<article><h4>{linked(talk(1, 3))}</h4><p>{talk(5, 40)}</p></article>" for _ in range(rnd.randint(1, 4)))
+        return "".join(f"<p>{talk(8, 30)}</p>" for _ in range(rnd.randint(1, 2)))
+
+    def article(marked: bool) -> str:
+        out = [f"<h1 data-main>{talk(2, 8)}</h1>"] if rnd.random() < 0.9 else []
+        for _ in range(rnd.randint(2, 8)):
+            draw = rnd.random()
+            some = "".join(f"<p data-main>{talk(1 if rnd.random() < 0.2 else 10, 60)}</p>" for _ in range(rnd.randint(1, 2)))
+            if draw < 0.1:
+                some = "<ul>" + "".join(f"<li data-main>{talk(1, 12)}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>"
+            elif draw < 0.2:
+                some = f"<h2 data-main>{talk(1, 6)}</h2>{some}"
+            elif draw < 0.3:
+                some = f"<{(t := rnd.choice('blockquote pre figcaption td dd'.split()))} data-main>{talk(2, 25)}</{t}>"
+            elif draw < 0.4:
+                some = f"<p data-main>{talk(4, 20)} {linked(talk(1, 3))} {talk(4, 20)}</p>"
+            elif draw < 0.6 and marked:
+                some = f'<div class="{"-".join(rnd.sample(WITHIN, rnd.randint(1, 3)))}">{some}</div>'
+            elif draw < 0.7 and marked:
+                some += part(rnd.choice([p for p in frame if "ad" in p[2].split() or "related" in p[2] or "share" in p[2] or "newsletter" in p[2]]))
+            out.append(some)
+        return "".join(out)
+
+    def part(row: tuple, marked: bool = True) -> str:
+        label, tags, names, kinds = row
+        tag = rnd.choice(tags.split()) if marked else "div"
+        words = rnd.sample(names.split(), min(len(names.split()), rnd.choice([1, 1, 2]))) if names and marked and (label or tag in ("div", "section", "ul", "ol", "article") or rnd.random() < 0.5) else []
+        words += rnd.sample(["wrapper", "inner", "box", "block", "container", "item", "area"], 1) if marked and rnd.random() < 0.2 else []
+        attr = f' {rnd.choice(["class", "class", "id"])}="{rnd.choice([" ", "-", "_"]).join(words)}"' if words else ""
+        body = article(marked) if label else filling(rnd.choice(kinds.split()) if marked else "links")
+        return f"<{tag}{attr}>{body}</{tag}>" if marked or not label or rnd.random() < 0.5 else body
+
+    def page() -> str:
+        marked = rnd.random() < 0.8
+        kinds = frame if marked else [p for p in frame if "links" in p[3]]
+        fill = [part(rnd.choice(kinds), marked) for _ in range(rnd.randint(0, 4))] + [part(rnd.choice(main), marked)]
+        fill += [part(rnd.choice(kinds), marked) for _ in range(rnd.randint(0, 4))]
+        around = f'<div class="{rnd.choice("page wrapper container site layout feature trending main".split())}">' if marked and rnd.random() < 0.3 else ""
+        return f"<html><body>{around}{''.join(fill)}</body></html>"
+
+    return [page() for _ in range(n)]
+
+
+def learnt_names(pages: list[list[Block]], least: int = 3) -> Names:
+    """Log odds of every name that least blocks or more stand under."""
+    seen = (Counter(), Counter())
+    for found in pages:
+        for b in found:
+            seen[b.label].update({w for names in b.inside + b.outside for w in names})
+    n = [sum(b.label == y for found in pages for b in found) for y in (0, 1)]
+    return Names({w: math.log((seen[1][w] + 0.5) / (n[1] + 1) / ((seen[0][w] + 0.5) / (n[0] + 1))) for w in sorted(seen[0] | seen[1]) if seen[0][w] + seen[1][w] >= least})
+
+
+@dataclass(frozen=True)
+class Extractor:
+    """What tells main text: the log odds of names, and the tree over the features."""
 
+    names: Names
+    tree: Tree
 
-def labelled_table(pages: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of the labelled pages."""
-    each = [blocks(p) for p in pages or LABELLED]
-    return np.concatenate([features(b) for b in each]), np.array([b.label or 0 for bs in each for b in bs], float)
+    @classmethod
+    def fit(cls, pages: list[str] | None = None) -> Extractor:
+        """Learns from pages whose main blocks carry data-main (by default those of the labelled table)."""
+        found = [blocks(p, "data-main") for p in pages or labelled_pages()]
+        names = learnt_names(found)
+        return cls(names, grow(np.concatenate([features(b, names) for b in found]), np.array([b.label for bs in found for b in bs], float)))
 
+    def main(self, found: list[Block]) -> np.ndarray:
+        """Which blocks are main text; a share of one half counts as main text."""
+        return self.tree.predict(features(found, self.names)) >= 0.5 if found else np.zeros(0, bool)
 
-def main_text(page: str | None, tree: Tree) -> str:
-    """The main text of a page; if the tree takes no block, that of a page without marks is empty."""
-    found = blocks(page) if page else []
-    if not found:
-        return ""
-    take = tree.predict(features(found)) >= 0.5
-    return "\n".join(b.text for b, t in zip(found, take) if t)
+    def text(self, page: str | None) -> str:
+        """The main text of a page, one line for each block."""
+        found = blocks(page) if page else []
+        return "\n".join(b.text for b, take in zip(found, self.main(found)) if take)
 
 
-def extract(pages: DataFrame, column: str = "html", tree: Tree | None = None) -> DataFrame:
+def extract(pages: DataFrame, column: str = "html", extractor: Extractor | None = None) -> DataFrame:
     """pages with text (main text) and n_chars (its code points) from each whole page.
 
-    The tree is grown from LABELLED, unless one is given. Null and empty pages give empty text.
-    Columns named text and n_chars are replaced; others stay; repeated rows are kept.
+    The extractor is learnt from the labelled table, unless one is given. Null and empty pages
+    give empty text; pages of any length and any malformed markup give what can be read. Columns
+    named text and n_chars are replaced; others stay; repeated rows are kept.
     """
     pages = pages.drop("text", "n_chars")
-    tree = tree or grow(*labelled_table())
+    tool = extractor or Extractor.fit()
     at = pages.columns.index(column)
     names = [*pages.columns, "text", "n_chars"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
 
     def run(batches):
         for b in batches:
-            got = [main_text(p, tree) for p in b.column(at).to_pylist()]
+            got = [tool.text(p) for p in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=names)
 
     return map_batches(pages, run, f"{fields}, text string, n_chars long")

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import map_batches
+from driftcast.llm.common import map_batches, written
 
 _WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 128
@@ -24,15 +25,21 @@ def terms(text: str | None) -> Counter:
 
 @dataclass
 class Examples:
-    """Inverted index of labelled examples, in blocks, and what turns a vote into a score.
+    """Inverted index of labelled examples in blocks, and what turns a vote into a score.
 
-    blocks[t] lists (block, largest weight, places in the block, weights) of term t; an
-    example's weights have length 1.
+    Entries lie by term and block: entries of term t are first[t] to first[t + 1], each with its
+    block, the largest weight in it, and where its postings begin; a posting has a place in the
+    block and a weight. An example's weights have length 1.
     """
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    blocks: list[list[tuple[int, float, np.ndarray, np.ndarray]]]
+    weigh: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    top: np.ndarray
+    begin: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     k: int
@@ -40,99 +47,119 @@ class Examples:
     places: np.ndarray
     rates: np.ndarray
 
-    def vector(self, counts: Counter) -> tuple[list[int], np.ndarray]:
-        """Terms of the vocabulary in a text and their weights, of length 1 together."""
-        found = [(self.vocabulary[w], n) for w, n in counts.items() if w in self.vocabulary]
-        if not found:
-            return [], np.zeros(0)
-        at = [t for t, _ in found]
-        w = (1 + np.log([n for _, n in found])) * self.idf[at]
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index in a text and their TF-IDF weights, of length 1 together."""
+        at = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
+        known = at >= 0
+        at, n = at[known], np.fromiter(counts.values(), np.int64, len(counts))[known]
+        if not len(at):
+            return at, np.zeros(0)
+        w = (1 + np.log(n)) * self.weigh[at]
         return at, w / np.sqrt((w * w).sum())
 
-    def nearest(self, at: list[int], weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosines above 0 (ties: the earlier), and the cosines.
 
-        A block's terms' largest weights bound its cosines. Blocks are read in falling order of
-        their bounds until the next bound is below the k-th cosine so far, so the result is exact.
+        A block's cosines are bounded by the text's weights times the largest weights of its terms.
+        Blocks are read in falling order of their bounds, a few at a time, until the next bound is
+        below the k-th cosine so far, so the result is exact.
         """
-        bound: dict[int, float] = {}
-        reads: dict[int, list] = {}
-        for t, w in zip(at, weights):
-            for block, top, places, values in self.blocks[t]:
-                bound[block] = bound.get(block, 0.0) + w * top
-                reads.setdefault(block, []).append((w, places, values))
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for block, limit in sorted(bound.items(), key=lambda x: (-x[1], x[0])):
-            if len(best_s) == self.k and limit < best_s[-1] - 1e-9:
+        entry, of = _ranges(self.first[at], self.first[at + 1])
+        if not len(entry):
+            return best_i, best_s
+        w, block = weights[of], self.block[entry]
+        bound = np.bincount(block, w * self.top[entry])
+        blocks = np.argsort(-bound, kind="stable")
+        rank = np.empty(len(bound), np.int64)
+        rank[blocks] = np.arange(len(bound))
+        by_rank = np.argsort(rank[block], kind="stable")
+        entry, w = entry[by_rank], w[by_rank]
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(block, minlength=len(bound))[blocks])))
+        done, step = 0, 2
+        while done < len(blocks):
+            least = max(1e-12, best_s[-1] - 1e-9 if len(best_s) == self.k else 0)
+            more = int((bound[blocks[done:done + step]] >= least).sum())  # bounds fall
+            if not more:
                 break
-            sums = np.zeros(BLOCK)
-            for w, places, values in reads[block]:
-                sums[places] += w * values
-            if 0 <= skip - block * BLOCK < BLOCK:
-                sums[skip - block * BLOCK] = 0
-            mine = np.flatnonzero(sums > 1e-12)
-            i = np.concatenate([best_i, mine + block * BLOCK])
-            s = np.concatenate([best_s, sums[mine]])
+            mine, some = entry[cuts[done]:cuts[done + more]], w[cuts[done]:cuts[done + more]]
+            post, of = _ranges(self.begin[mine], self.begin[mine + 1])
+            sums = np.bincount((rank[self.block[mine]] - done)[of] * BLOCK + self.place[post], some[of] * self.weight[post], more * BLOCK)
+            near = np.flatnonzero(sums >= least)
+            i = blocks[done + near // BLOCK] * BLOCK + near % BLOCK
+            i, s = np.concatenate([best_i, i[i != skip]]), np.concatenate([best_s, sums[near][i != skip]])
             order = np.lexsort((i, -np.round(s, 9)))[: self.k]
             best_i, best_s = i[order], s[order]
+            done, step = done + more, step * 4
         return best_i, best_s
 
-    def vote(self, shared: int, near: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of toxic among the neighbours, each weighing 1 / (0.05 + distance).
-
-        One shared term in passing is weaker evidence than many, so the share counts
-        1 - 2 ** -shared.
-        """
+    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
+        """Share of toxic among the neighbours, each weighing 1 / (0.05 + distance)."""
         if not len(near):
             return 0.0
         w = 1 / (1.05 - np.minimum(cosine, 1.0))
-        return float((w * self.toxic[near]).sum() / w.sum()) * (1 - 0.5 ** shared)
+        return float((w * self.toxic[near]).sum() / w.sum())
 
     def score(self, counts: Counter, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, w = self.vector(counts)
-        near, cosine = self.nearest(at, w, skip)
-        raw = self.vote(len(at), near, cosine)
-        return float(np.interp(raw, self.places, self.rates)) if len(self.places) else self.base, near, cosine
+        near, cosine = self.nearest(*self.vector(counts), skip)
+        return float(np.interp(self.vote(near, cosine), self.places, self.rates)) if len(self.places) else self.base, near, cosine
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [lo, hi), and which range each is of."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (lo - np.cumsum(size) + size)[of], of
+
+
+def association(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G statistic of each term's occurrence in a of n1 and b of n0 examples against the class."""
+    total, out = n1 + n0, np.zeros(len(a))
+    for have, n, seen in ((a, n1, a + b), (n1 - a, n1, total - a - b), (b, n0, a + b), (n0 - b, n0, total - a - b)):
+        ok = have > 0
+        out[ok] += 2 * have[ok] * np.log(have[ok] * total / (n * seen[ok]))
+    return np.maximum(out, 0)
 
 
-def _index(texts: list[Counter], toxic: np.ndarray, ids: np.ndarray, share: float, k: int, max_terms: int, least: float) -> Examples:
-    """Vocabulary, weights, postings and calibration from the sampled examples.
+def _index(texts: list[Counter], toxic: np.ndarray, ids: np.ndarray, share: float, k: int, half: float = 25.0) -> Examples:
+    """Index of all terms of all examples, and the calibration of votes.
 
-    The vocabulary holds the terms that mark toxic examples: those that more of them have, with a G
-    statistic over examples of least or more. Terms of clean ones (copies of one text, say) are no evidence. share is the share of toxic rows among all labelled rows.
+    A term weighs its inverse document frequency times g / (g + half), where g is the G statistic
+    of its occurrence against the class (and a thousandth at least, so that no term is without
+    weight): terms that tell the classes apart lead the cosine, and texts that have none of them
+    are still near those that they share words with. share is the share of toxic rows among all
+    labelled rows. Examples lie in the order of their heaviest terms, so that blocks differ.
     """
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    seen1, seen0 = Counter(), Counter()
+    words = sorted(set().union(*texts)) if texts else []
+    vocabulary = {w: t for t, w in enumerate(words)}
+    seen = np.zeros((2, len(words)))
     for c, y in zip(texts, toxic):
-        (seen1 if y else seen0).update(c.keys())
-    n = n1 + n0
-    picked = []
-    for w in seen1.keys() | seen0.keys():
-        a, b = seen1[w], seen0[w]
-        if a + b < 3 or not n1 or not n0 or a * n0 <= b * n1:
-            continue
-        table = np.array([[a, n1 - a], [b, n0 - b]], float)
-        want = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / n
-        ok = table > 0
-        g = 2 * float((table[ok] * np.log(table[ok] / want[ok])).sum())
-        if g >= least:
-            picked.append((-g, w))
-    vocabulary = {w: t for t, (_, w) in enumerate(sorted(picked)[:max_terms])}
-    idf = np.array([np.log((1 + n) / (seen1[w] + seen0[w])) + 1e-6 for w in vocabulary])
-    model = Examples(vocabulary, idf, [[] for _ in vocabulary], ids, toxic.astype(float), k, share, np.zeros(0), np.zeros(0))
-    postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-    for i, c in enumerate(texts):
-        for t, w in zip(*model.vector(c)):
-            postings[t].append((i, w))
-    for t, rows in enumerate(postings):
-        i, w = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
-        for b in np.unique(i // BLOCK):
-            of = i // BLOCK == b
-            model.blocks[t].append((int(b), float(w[of].max()), i[of] % BLOCK, w[of]))
+        seen[y, [vocabulary[w] for w in c]] += 1
+    g = association(seen[1], seen[0], n1, n0) if n1 and n0 else np.full(len(words), half)
+    weigh = np.log((1 + n1 + n0) / np.maximum(1, seen.sum(0))) * np.maximum(g / (g + half), 1e-3) ** 2
+    none = np.zeros(0)
+    model = Examples(vocabulary, weigh, *[none] * 6, ids, toxic.astype(float), k, share, none, none)
+    each = [model.vector(c) for c in texts]
+    lead = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in each]
+    order = np.lexsort((ids, lead)) if len(texts) else np.zeros(0, np.int64)
+    model.ids, model.toxic = ids[order], model.toxic[order]
+    each = [each[i] for i in order]
+    term = np.concatenate([at for at, _ in each]) if each else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(each)), [len(at) for at, _ in each])
+    weight = np.concatenate([w for _, w in each]) if each else none
+    by = np.lexsort((of, term))
+    term, of, model.weight = term[by], of[by], weight[by]
+    model.place = of % BLOCK
+    key = term * (len(each) // BLOCK + 1) + of // BLOCK
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    model.begin = np.concatenate((starts, [len(key)]))
+    model.block = (of // BLOCK)[starts]
+    model.top = np.maximum.reduceat(model.weight, starts) if len(starts) else none
+    model.first = np.searchsorted(term[starts], np.arange(len(words) + 1))
     if n1 and n0:  # calibration: the vote of the others for each example, weighted to the true share
-        found = [model.vector(c) for c in texts]
-        raw = np.array([model.vote(len(at), *model.nearest(at, w, skip=i)) for i, (at, w) in enumerate(found)])
-        model.places, model.rates = isotonic(raw, toxic.astype(float), np.where(toxic == 1, share / n1, (1 - share) / n0))
+        raw = np.array([model.vote(*model.nearest(at, w, skip=i)) for i, (at, w) in enumerate(each)])
+        model.places, model.rates = isotonic(raw, model.toxic, np.where(model.toxic == 1, share / n1, (1 - share) / n0))
     return model
 
 
@@ -147,14 +174,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p for q in pools for p in q[2:]]), np.array([q[0] / q[1] for q in pools for _ in range(2)])
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, chars: int = 20000, k: int = 15,
-        max_terms: int = 4096, least: float = 25.0) -> Examples:
-    """Examples from a bounded sample of labelled rows: per_class of each class, chars characters each.
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1000, max_bytes: int = 16 << 20, k: int = 15) -> Examples:
+    """Examples from a bounded sample of labelled rows: of each class per_class texts and max_bytes of text.
 
-    documents: doc_id, text; labels: doc_id, toxic, both already without held-out rows. The
-    sample takes the rows with the smallest hashes of their ids; the share of toxic rows is
-    counted over all labelled rows. Null labels and texts teach nothing; without both classes
-    every score is the share of toxic rows (0 without labels).
+    documents: doc_id, text; labels: doc_id, toxic, both already without held-out rows. The sample
+    takes whole texts, those with the smallest hashes of their ids, until either bound is reached;
+    the share of toxic rows is counted over all labelled rows. Null labels and texts teach
+    nothing; without both classes every score is the share of toxic rows (0 without labels).
     """
     known = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -163,22 +189,21 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, chars: i
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("example")), F.lit(span))
     bars = {y: min(span, span * 2 * per_class // max(1, n) + 1) for y, n in sizes.items()}
     bar = F.when(F.col("toxic") == 1, F.lit(bars.get(1, 0))).otherwise(F.lit(bars.get(0, 0)))
-    few = known.withColumn("h", h).filter(F.col("h") < bar)
-    few = few.join(documents.select("doc_id", F.substring("text", 1, chars).alias("text")).filter("text is not null"), "doc_id")
-    few = few.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
-    rows = []
-    for y in (0, 1):
-        rows += few.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class).collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
-    return _index([terms(r["text"]) for r in rows], np.array([int(r["toxic"]) for r in rows], int), np.array([r["doc_id"] for r in rows], np.int64),
-                  share, k, max_terms, least)
+    few = known.withColumn("h", h).filter(F.col("h") < bar)  # about 2 * per_class ids of each class, as a text may be missing
+    few = F.broadcast(written(few, "label-sample"))
+    first = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    rows = few.join(documents.select("doc_id", "text").filter("text is not null"), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(first)).withColumn("bytes", F.sum(F.octet_length("text")).over(first))
+    rows = rows.filter(f"n <= {per_class} and (n = 1 or bytes <= {max_bytes})").select("doc_id", "toxic", "text").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return _index([terms(r["text"]) for r in rows], np.array([int(r["toxic"]) for r in rows], int), np.array([r["doc_id"] for r in rows], np.int64), share, k)
 
 
 def score(df: DataFrame, model: Examples, text: str = "text", threshold: float = 0.7, evidence: int = 3) -> DataFrame:
     """df with score, predicted and evidence (doc_id and cosine of the nearest examples).
 
-    The whole text is scored. Texts without a term of the vocabulary, empty and null texts get
-    the rate of examples without neighbours. The index is bounded by fit()'s parameters, which
+    The whole text is scored. Texts without a term of any example, empty and null texts get
+    the rate of a vote of 0. The index is bounded by fit()'s parameters, which
     is why it may be sent to all executors. Columns with these names are replaced.
     """
     df = df.drop("score", "predicted", "evidence")
