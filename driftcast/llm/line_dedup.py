@@ -1,25 +1,23 @@
-"""Line deduplication: sharded minimal perfect hashes over the hashes of repeated lines."""
+"""Line deduplication: sharded minimal perfect hashes over the hashes of all distinct lines."""
 
 from __future__ import annotations
 
 import io
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import shared_dir, written
+from driftcast.llm.common import map_batches, shared_dir, written
 
 MIN_CHARS = 10
 SPACE = " \t\n\x0b\x0c\r"
-SEED = 42
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLD = str.maketrans(_UPPER, _LOWER)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LAST = 2**63 - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -29,7 +27,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class LineIndex:
-    """A minimal perfect hash with arrays of fingerprints, owners and counts in its order.
+    """A minimal perfect hash with arrays of 32-bit fingerprints, owners and counts (up to 255) in its order.
 
     A level is a bit per place, about two places a key. Keys alone at their place stay, the
     others go on to the next level. A key's slot is the number of bits before its own.
@@ -59,15 +57,16 @@ class LineIndex:
         placed = np.setdiff1d(np.arange(len(h1)), left)
         order = np.concatenate([placed[np.argsort(place[placed])], left])
         return cls(dict(sizes=np.array(sizes, np.int64), words=words, ranks=ranks.astype(np.uint32),
-                        print1=h1[order[len(order) - len(left):]], print2=h2[order], owner=owner[order], count=count[order].astype(np.uint32)))
+                        left1=h1[left], left2=h2[left], print=(h2[order] >> np.uint64(32)).astype(np.uint32), owner=owner[order],
+                        count=np.minimum(count[order], 255).astype(np.uint8)))
 
     @staticmethod
     def _at(h1: np.ndarray, h2: np.ndarray, level: int, m: int) -> np.ndarray:
         salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
         return (_mix(_mix(h1 ^ salt) + h2) % np.uint64(m)).astype(np.int64)
 
-    def owners(self, h1: np.ndarray, h2: np.ndarray, none: int) -> np.ndarray:
-        """The owner of each key, none where the key is not in the index."""
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and count of each key; the count is 0 where the fingerprint says that it is not in the index."""
         slot = np.full(len(h1), -1, np.int64)
         left, base = np.arange(len(h1)), 0
         with np.errstate(over="ignore"):
@@ -78,14 +77,14 @@ class LineIndex:
                 low = self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))
                 slot[left[hit]] = (self.ranks[word].astype(np.int64) + np.bitwise_count(low))[hit]
                 left, base = left[~hit], base + int(m)
-        first = len(self.print2) - len(self.print1)
-        for j in range(len(self.print1)):
-            slot[left[(h1[left] == self.print1[j]) & (h2[left] == self.print2[first + j])]] = first + j
+        first = len(self.print) - len(self.left1)
+        for j in range(len(self.left1)):
+            slot[left[(h1[left] == self.left1[j]) & (h2[left] == self.left2[j])]] = first + j
         known = slot >= 0
-        known[known] = self.print2[slot[known]] == h2[known]
-        out = np.full(len(h1), none, np.int64)
-        out[known] = self.owner[slot[known]]
-        return out
+        known[known] = self.print[slot[known]] == (h2[known] >> np.uint64(32)).astype(np.uint32)
+        owner, count = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.uint8)
+        owner[known], count[known] = self.owner[slot[known]], self.count[slot[known]]
+        return owner, count
 
     def dump(self) -> bytes:
         out = io.BytesIO()
@@ -98,21 +97,25 @@ class LineIndex:
             return cls({k: z[k] for k in z.files})
 
 
-def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text",
-                min_chars: int = MIN_CHARS, shard_keys: int = 1 << 19) -> int:
-    """Writes the index of all lines that two documents or more have; returns the number of shards.
+def line_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """d, t, line, h1, h2: two hashes of the key of every line whose key has min_chars code points or more.
 
-    Line hashes (two of 64 bits) meet in a min, max and count, which combine before the shuffle,
-    so a line that a third of all documents have is no hot key. A shard holds about shard_keys
-    lines and is built by one task, which writes one file: first under its attempt's name.
+    d is the doc_id (null: the last), t a hash of the text, as rows may share an id, and line counts from 0.
+    """
+    key = F.translate(F.btrim(F.col("line_text"), F.lit(SPACE)), _UPPER, _LOWER)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text).alias("t"),
+                       F.posexplode(F.split(F.col(text), "\n")).alias("line", "line_text"))
+    rows = rows.select("d", "t", "line", key.alias("key")).filter(F.char_length("key") >= min_chars)
+    return rows.select("d", "t", "line", F.xxhash64("key").alias("h1"), F.xxhash64(F.concat("key", F.lit("\x01"))).alias("h2"))
+
+
+def build_index(lines: DataFrame, folder: str, shards: int) -> None:
+    """Writes the index of all distinct lines, a file for each shard.
+
+    Lines of one key meet in a min and a count, which combine before the shuffle, so a line that a
+    third of all documents have is no hot key. A shard is built by one task, which writes one
+    file: first under its attempt's name, so a task that runs again leaves the same file.
     """
-    key = F.translate(F.btrim(F.col("line"), F.lit(SPACE)), _UPPER, _LOWER)
-    lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("d"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    lines = lines.select("d", key.alias("key")).filter(F.char_length("key") >= min_chars)
-    lines = lines.select("d", F.xxhash64("key").alias("h1"), F.xxhash64(F.concat("key", F.lit("\x01"))).alias("h2"))
-    found = lines.groupBy("h1", "h2").agg(F.min("d").alias("owner"), F.max("d").alias("last"), F.count("*").alias("n"))
-    found = written(found.filter("owner < last").drop("last"), "repeated-lines")
-    shards = found.count() // shard_keys + 1
 
     def save(t: pa.Table) -> pa.Table:
         from pyspark import TaskContext
@@ -128,94 +131,82 @@ def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
         if fs.get_file_info(name).type != pafs.FileType.NotFound:
             fs.delete_file(name)
         fs.move(mine, name)
-        return pa.table({"shard": [shard], "bytes": [len(data)]})
-
-    cut = found.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)))
-    cut.groupBy("shard").applyInArrow(save, "shard long, bytes long").agg(F.sum("bytes")).collect()
-    return shards
-
+        return pa.table({"shard": [shard], "keys": [len(h1)]})
 
-def gathered(batches, limit: int = 32 << 20):
-    """Batches joined to about limit bytes, so that a shard is read for many documents at once."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):
-        yield rest[0]
+    found = lines.groupBy("h1", "h2").agg(F.min("d").alias("owner"), F.count("*").alias("n"))
+    found = found.withColumn("shard", F.pmod("h1", F.lit(shards)))
+    found.groupBy("shard").applyInArrow(save, "shard long, keys long").agg(F.sum("keys")).collect()
 
 
-class Shards:
-    """Index shards of a task, the last few read staying in memory."""
-
-    def __init__(self, folder: str, keep: int = 8):
-        self.fs, self.base = pafs.FileSystem.from_uri(folder)
-        self.keep, self.held = keep, OrderedDict()
-
-    def get(self, shard: int) -> LineIndex | None:
-        if shard not in self.held:
-            name = f"{self.base}/{shard}.npz"
-            there = self.fs.get_file_info(name).type != pafs.FileType.NotFound
-            self.held[shard] = LineIndex.load(self.fs.open_input_stream(name).read()) if there else None
-            if len(self.held) > self.keep:
-                self.held.popitem(last=False)
-        self.held.move_to_end(shard)
-        return self.held[shard]
+def probe(lines: DataFrame, folder: str, shards: int, parts: int) -> DataFrame:
+    """d, t, line of every line that goes: its key has more than one line, and a smaller document has it.
 
+    Hashes are dealt by ranges of shard and of a hash of their place, so every task gets as many,
+    however often one line occurs, and reads the few shards of its range one after another.
+    """
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        held, index = None, None
+        for b in batches:
+            d, shard = b.column(0).to_numpy(), b.column(5).to_numpy()
+            h1, h2 = (b.column(k).to_numpy().view(np.uint64) for k in (3, 4))
+            gone = np.zeros(len(d), bool)
+            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(d) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held != shard[lo]:
+                    with fs.open_input_stream(f"{base}/{shard[lo]}.npz") as src:
+                        held, index = shard[lo], LineIndex.load(src.read())
+                owner, count = index.find(h1[lo:hi], h2[lo:hi])
+                gone[lo:hi] = (count > 1) & (owner != d[lo:hi])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)], names=["d", "t", "line"]).filter(pa.array(gone))
+
+    dealt = lines.select("d", "t", "line", "h1", "h2", F.pmod("h1", F.lit(shards)).alias("shard"))
+    dealt = dealt.repartitionByRange(parts, "shard", F.xxhash64("d", "t", "line")).sortWithinPartitions("shard")
+    return map_batches(dealt, run, "d long, t long, line int")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, shard_keys: int = 1 << 19) -> DataFrame:
     """docs with new columns kept_text, n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of
     min_chars code points or more that two documents or more have lose all their lines but in
-    the smallest doc_id. Documents probe index shards on shared storage; lines are not joined. A
-    null or empty text is one empty line. Rows that share a doc_id are one document; a null
-    doc_id comes after all others. Columns of these names are replaced, others stay.
+    the smallest doc_id. The hashes of lines, with their places, probe the index of all distinct
+    lines where its shards are (a shard has about shard_keys lines at most); only the places of
+    lines that go travel back, to meet their documents by id. A null or empty text is one empty
+    line; lines of any number and length count whole. Rows that share a doc_id are one document;
+    a null doc_id comes after all others. Columns of these names are replaced, others stay.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    folder = shared_dir(docs.sparkSession, "line-index")
-    shards = build_index(docs, folder, doc_id, text, min_chars)
-    at_id, at_text = docs.columns.index(doc_id), docs.columns.index(text)
+    spark = docs.sparkSession
+    lines = written(line_hashes(docs, doc_id, text, min_chars), "lines")
+    n = lines.count()
+    shards, folder = n // shard_keys + 1, shared_dir(spark, "line-index")
+    build_index(lines, folder, shards)
+    gone = probe(lines, folder, shards, max(n >> 20, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    gone = gone.groupBy("d", "t").agg(F.collect_set("line").alias("gone"))  # at most the lines of one document
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("_d"), F.xxhash64(text).alias("_t"), F.struct(*docs.columns).alias("_row"))
+    rows = own.join(gone.hint("merge"), (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left").select("_row.*", F.col("gone").alias("_gone"))
+    at = docs.columns.index(text)
     names = [*docs.columns, "kept_text", "n_lines", "n_dropped"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
-        index = Shards(folder)
-        digest = xxhash.xxh64_intdigest
-        for b in gathered(batches):
-            ids = b.column(at_id).to_pylist()
-            docs_lines, owner_of, line_of, a, c = [], [], [], [], []
-            for d, t in enumerate(b.column(at_text).to_pylist()):
-                lines = (t or "").split("\n")
-                docs_lines.append(lines)
-                for k, line in enumerate(lines):
-                    key = line.strip(SPACE)
-                    if len(key) >= min_chars:
-                        data = key.translate(_FOLD).encode() if not key.islower() else key.encode()
-                        owner_of.append(d)
-                        line_of.append(k)
-                        a.append(digest(data, SEED))
-                        c.append(digest(data + b"\x01", SEED))
-            h1, h2 = np.array(a, np.uint64), np.array(c, np.uint64)
-            mine = np.array([2**63 - 1 if i is None else i for i in ids], np.int64)[np.array(owner_of, np.int64)] if a else np.zeros(0, np.int64)
-            shard = np.mod(h1.view(np.int64), shards)
-            drop = np.zeros(len(h1), bool)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.unique(shard):
-                rows = order[cuts[s]:cuts[s + 1]]
-                if (part := index.get(int(s))) is not None:
-                    owner = part.owners(h1[rows], h2[rows], -1 << 63)
-                    drop[rows] = (owner != -1 << 63) & (owner != mine[rows])
-            gone: dict[int, set[int]] = {}
-            for j in np.flatnonzero(drop):
-                gone.setdefault(owner_of[j], set()).add(line_of[j])
-            kept = ["\n".join(x if d not in gone else [s for k, s in enumerate(x) if k not in gone[d]]) for d, x in enumerate(docs_lines)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(kept, pa.string()), pa.array([len(x) for x in docs_lines], pa.int64()),
-                 pa.array([len(gone.get(d, ())) for d in range(len(docs_lines))], pa.int64())], names=names)
-
-    return docs.mapInArrow(run, f"{fields}, kept_text string, n_lines long, n_dropped long")
+        for b in batches:
+            texts = pc.fill_null(b.column(at), "")
+            n_lines = pc.add(pc.cast(pc.count_substring(texts, "\n"), pa.int64()), 1)
+            drops = b.column(b.num_columns - 1)
+            some = np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False))
+            kept = []
+            for t, lines_gone in zip(texts.take(pa.array(some)).to_pylist(), drops.take(pa.array(some)).to_pylist()):
+                each = t.split("\n")
+                stay = np.ones(len(each), bool)
+                stay[lines_gone] = False
+                kept.append("\n".join([each[k] for k in np.flatnonzero(stay)]))
+            mask = np.zeros(b.num_rows, bool)
+            mask[some] = True
+            new = pc.replace_with_mask(texts, pa.array(mask), pa.array(kept, texts.type))
+            n_gone = pc.cast(pc.fill_null(pc.list_value_length(drops), 0), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new, n_lines, n_gone], names=names)
+
+    return map_batches(rows, run, f"{fields}, kept_text string, n_lines long, n_dropped long")
