@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftcast.functions.transforms import apply_matrix
+
 #: Orthonormal cosine basis: row u, place x.
 BASIS = [[(math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)]
 #: Quantiser step of each coefficient, wider for higher frequencies.
@@ -20,28 +23,18 @@ def blocks(embeddings: DataFrame, offset: float = 0.0) -> DataFrame:
     return embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 127 + F.lit(offset)).alias("block"))
 
 
-def _matrix(rows: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(x) for x in row]) for row in rows])
-
-
 #: Row v * 8 + u holds the two-dimensional basis picture of a coefficient.
 PICTURES = [[BASIS[v][y] * BASIS[u][x] for y in range(8) for x in range(8)] for v in range(8) for u in range(8)]
 
 
-def _product(values: str, rows: list[list[float]]) -> Column:
-    """A constant matrix times an array. The array goes through a lambda of its own, which evaluates it once."""
-    times = lambda v: F.transform(_matrix(rows), lambda row: F.aggregate(F.zip_with(v, row, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
-    return F.element_at(F.transform(F.array(F.col(values)), times), 1)
-
-
 def dct(df: DataFrame, block: str, out: str) -> DataFrame:
     """df with the two-dimensional cosine transform of a block."""
-    return df.withColumn(out, _product(block, PICTURES))
+    return apply_matrix(df, block, np.array(PICTURES), out)
 
 
 def idct(df: DataFrame, coefficients: str, out: str) -> DataFrame:
     """df with the block of a transform."""
-    return df.withColumn(out, _product(coefficients, [list(c) for c in zip(*PICTURES)]))
+    return apply_matrix(df, coefficients, np.array(PICTURES).T, out)
 
 
 def quantise(values: Column | str, steps: list[float]) -> Column:
@@ -71,5 +64,5 @@ def prefix_sum(values: str, n: int) -> Column:
 
 
 def ycc(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Luma and chroma of full range."""
+    """Luma and chroma of full range (fixed values: the weights of BT.601)."""
     return (0.299 * r + 0.587 * g + 0.114 * b, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b)

@@ -1,4 +1,4 @@
 """Registered queries with their SQL."""
 
-from driftcast.plans import packets, pictures, reports, storage, telemetry  # noqa: F401
+from driftcast.plans import codings, packets, pictures, reports, storage, telemetry  # noqa: F401
 from driftcast.plans.registry import COVERS, QUERIES, SQL  # noqa: F401

@@ -28,7 +28,7 @@ def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pixels(spark, sf_dir).filter("y between 2 and 5 and x between 1 and 4").select("vec_id", (F.col("y") - 2).alias("y"), (F.col("x") - 1).alias("x"), F.round("v", 9).alias("v"))
 
 
-@query("MTH-04", "EVL-10", "EVL-17", sql=f"""WITH {PX}, w AS (SELECT i, o, (least(i + 1, (o + 1) * 8 / 3.0::DOUBLE) - greatest(i, o * 8 / 3.0::DOUBLE)) * 3 / 8 AS part FROM range(8) a(i), range(3) b(o)),
+@query("MTH-04", sql=f"""WITH {PX}, w AS (SELECT i, o, (least(i + 1, (o + 1) * 8 / 3.0::DOUBLE) - greatest(i, o * 8 / 3.0::DOUBLE)) * 3 / 8 AS part FROM range(8) a(i), range(3) b(o)),
 k AS (SELECT * FROM w WHERE part > 1e-12) SELECT vec_id, b.o AS y, a.o AS x, round(sum(v * a.part * b.part), 6) AS v FROM p JOIN k a ON a.i = p.x JOIN k b ON b.i = p.y GROUP BY ALL""")
 def area_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of 8 x 8 averaged down to 3 x 3."""
@@ -36,7 +36,7 @@ def area_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("vec_id", "y", "x", F.round("v", 6).alias("v"))
 
 
-@query("COD-01", "COD-17", sql=f"""WITH {PX}, h AS (SELECT vec_id, y, x, v FROM p WHERE (y % 4 = 0 AND x % 4 = 0) OR (vec_id + 3 * y + 5 * x) % 7 < 3),
+@query("COD-01", sql=f"""WITH {PX}, h AS (SELECT vec_id, y, x, v FROM p WHERE (y % 4 = 0 AND x % 4 = 0) OR (vec_id + 3 * y + 5 * x) % 7 < 3),
 s AS (SELECT DISTINCT vec_id, a.y, b.x FROM h, range(8) a(y), range(8) b(x)), f AS (SELECT s.vec_id, s.y, s.x, st, h.v FROM s CROSS JOIN (SELECT unnest([1, 2, 4, 8]) AS st)
 LEFT JOIN h ON h.vec_id = s.vec_id AND h.y = s.y - s.y % st AND h.x = s.x - s.x % st) SELECT vec_id, y, x, round(arg_min(v, st) FILTER (v IS NOT NULL), 9) AS v FROM f GROUP BY ALL""")
 def lattice_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def endpoint_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", F.round(F.expr("av * bb - bv * ab") / det, 5).alias("low"), F.round(F.expr("bv * aa - av * ab") / det, 5).alias("high"))
 
 
-@query("RQC-01", "RQC-02", "MTH-12", sql=f"""WITH {PX}, q AS (SELECT vec_id, bits, v, floor(greatest(0, least(255, v)) / 255 * ((1 << bits) - 1) + 0.5) * 255 / ((1 << bits) - 1) AS r FROM p CROSS JOIN (SELECT unnest([4, 5, 8])::INTEGER AS bits))
+@query("RQC-01", "MTH-12", sql=f"""WITH {PX}, q AS (SELECT vec_id, bits, v, floor(greatest(0, least(255, v)) / 255 * ((1 << bits) - 1) + 0.5) * 255 / ((1 << bits) - 1) AS r FROM p CROSS JOIN (SELECT unnest([4, 5, 8])::INTEGER AS bits))
 SELECT vec_id, bits, (64 * bits)::INTEGER AS total_bits, round(avg((v - r) * (v - r)), 6) AS mse,
 round((2 * avg(v) * avg(r) + 6.5025) / (avg(v) * avg(v) + avg(r) * avg(r) + 6.5025) * (2 * covar_pop(v, r) + 58.5225) / (var_pop(v) + var_pop(r) + 58.5225), 6) AS ssim FROM q GROUP BY ALL""")
 def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def predicted_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("vec_id").agg(F.sum(B.exp_golomb_length(B.fold(F.col("r")), 1)).alias("bits"), F.count_if(F.col("r") == 0).alias("zeros"))
 
 
-@query("MTH-10", "MTH-13", "MTH-14", "RQC-09", "EVL-09", "EVL-11", "EVL-18")
+@query("MTH-10", "MTH-13", "MTH-14", "RQC-09")
 def picture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a drawn picture of 192 x 192 at several quantiser steps."""
     n = 192
@@ -240,13 +240,13 @@ def bursty_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.select("seed", (F.aggregate(steps, first, step)["lost"] / 2000).alias("loss"))
 
 
-@query("EVL-01", "EVL-02", sql=f"WITH {R} SELECT codec AS variant, policy AS joined, t, round(avg(metric), 6) AS q, count(DISTINCT image) AS images FROM r GROUP BY ALL")
+@query("EVL-02", sql=f"WITH {R} SELECT codec AS variant, policy AS joined, t, round(avg(metric), 6) AS q, count(DISTINCT image) AS images FROM r GROUP BY ALL")
 def variant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean quality per variant, kind of join and mark."""
     return results(spark, sf_dir).groupBy(F.col("codec").alias("variant"), F.col("policy").alias("joined"), "t").agg(F.round(F.avg("metric"), 6).alias("q"), F.count_distinct("image").alias("images"))
 
 
-@query("EVL-04", "EVL-05", "EVL-08", sql=f"""WITH {R}, d AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY image, codec, t ORDER BY seed DESC, metric DESC, quality DESC, bpp DESC, policy) = 1),
+@query("EVL-04", "EVL-05", sql=f"""WITH {R}, d AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY image, codec, t ORDER BY seed DESC, metric DESC, quality DESC, bpp DESC, policy) = 1),
 a AS (SELECT codec, t, round(avg(metric), 6) AS all_rows FROM r GROUP BY ALL) SELECT d.codec, d.t, round(avg(metric), 6) AS last_rows, max(all_rows) AS all_rows FROM d JOIN a ON a.codec = d.codec AND a.t = d.t GROUP BY ALL""")
 def appended_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over the last appended row of each key, and over all rows."""
@@ -255,7 +255,7 @@ def appended_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(r.groupBy("codec", "t").agg(F.round(F.avg("metric"), 6).alias("all_rows")), ["codec", "t"])
 
 
-@query("EVL-06", "EVL-07", sql=f"""WITH {R}, m AS (SELECT image || '-' || codec || '-n' || policy AS name, t, round(sum(metric), 6) AS v FROM r GROUP BY ALL), x AS (SELECT *, max(v) OVER (PARTITION BY name ORDER BY t) AS run FROM m),
+@query("EVL-06", sql=f"""WITH {R}, m AS (SELECT image || '-' || codec || '-n' || policy AS name, t, round(sum(metric), 6) AS v FROM r GROUP BY ALL), x AS (SELECT *, max(v) OVER (PARTITION BY name ORDER BY t) AS run FROM m),
 l AS (SELECT *, lag(t) OVER w AS pt, lag(run) OVER w AS pv FROM x WINDOW w AS (PARTITION BY name ORDER BY t)),
 h AS (SELECT name, min(CASE WHEN pt IS NULL THEN t ELSE pt * pow(t / pt, (1.0 - pv) / (run - pv)) END) AS secs FROM l WHERE run >= 1.0 AND (pv IS NULL OR pv < 1.0) GROUP BY name)
 SELECT regexp_extract(name, '^(\\d+)-(\\w+)-n(\\w+)$', 2) AS variant, regexp_extract(name, '^(\\d+)-(\\w+)-n(\\w+)$', 3) AS n, count(secs) AS reached, round(avg(secs), 6) AS seconds FROM (SELECT DISTINCT name FROM m) LEFT JOIN h USING (name) GROUP BY ALL""")
@@ -281,7 +281,7 @@ def shape_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 59 + 16).alias("bits"))
 
 
-@query("CHN-13", "EVL-15", sql=f"""WITH {R}, a AS (SELECT image, codec, t AS mark, list_sort(list(DISTINCT seed % 16)) AS state FROM r GROUP BY ALL), d AS (SELECT DISTINCT state FROM a), q AS (SELECT state, list_sum(list_transform(state, lambda s: s * s))::BIGINT AS score FROM d)
+@query("UDF-02", sql=f"""WITH {R}, a AS (SELECT image, codec, t AS mark, list_sort(list(DISTINCT seed % 16)) AS state FROM r GROUP BY ALL), d AS (SELECT DISTINCT state FROM a), q AS (SELECT state, list_sum(list_transform(state, lambda s: s * s))::BIGINT AS score FROM d)
 SELECT image, codec, mark, sha1(array_to_string(a.state, ',')) AS state, score FROM a JOIN q ON a.state = q.state""")
 def memoised_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A costly score computed once for each distinct state and joined back."""
@@ -291,7 +291,7 @@ def memoised_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(once, "state").select("image", "codec", "mark", "state", "score")
 
 
-@query("COD-11", "COD-12", "SRT-01", sql="""WITH u AS (SELECT 0 AS kind, s_suppkey AS unit, s_acctbal AS gain FROM supplier UNION ALL SELECT 1, c_custkey, 3 * c_acctbal FROM customer)
+@query("SRT-01", sql="""WITH u AS (SELECT 0 AS kind, s_suppkey AS unit, s_acctbal AS gain FROM supplier UNION ALL SELECT 1, c_custkey, 3 * c_acctbal FROM customer)
 SELECT kind, unit, row_number() OVER (PARTITION BY unit % 10 ORDER BY gain DESC, kind, unit) AS place FROM u""")
 def merged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams of units merged by gain; residuals count threefold."""

@@ -221,11 +221,11 @@ def distinct_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("first_id")).orderBy("first_id")
 
 
-@query("SET-04", sql="SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_linestatus = 'O'")
+@query("SET-04", sql="SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def never_received(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units that no row has."""
-    got = table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_linestatus = 'O'").select(F.col("l_suppkey").alias("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey").exceptAll(got.distinct())
+    got = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(got.distinct())
 
 
 @query("SET-07", sql="SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
@@ -256,11 +256,31 @@ def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").filter("c_acctbal > 0 and nullif(c_mktsegment, 'MACHINERY') is not null").select("c_custkey")
 
 
-@query("PRJ-14", sql=r"""SELECT page_id, nullif(replace(regexp_extract(html, '<img[^>]*?\ssrc\s*=\s*["'']?((?:https?://|data:image)[^"''\s>]*)', 1), '&amp;', '&'), '') AS image_url FROM pages""")
+#: Character references in addresses, the ampersand's last so that nothing is decoded twice.
+_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#38;", "&"), ("&amp;", "&")]
+
+
+def _decoded_sql(expr: str) -> str:
+    for name, char in _REFERENCES:
+        expr = f"replace({expr}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return expr
+
+
+#: Every page with a picture before its own: by address, quoted or not, with references, and as data.
+_WITH_PICTURE = """(SELECT page_id, html, CASE page_id % 4 WHEN 0 THEN '<img alt=x src="https://pics.example/a?b=1&amp;c=&quot;d&quot;&#38;e=2">' WHEN 1 THEN '<IMG src=data:image/png;base64,QUJD>'
+ WHEN 2 THEN '<img src="ftp://no.example/x"><img src=''http://pics.example/&lt;n&gt;''>' ELSE '' END || html AS page FROM pages)"""
+
+
+@query("PRJ-14", sql=f"""SELECT page_id, nullif({_decoded_sql("regexp_extract(page, '(?i)<img[^>]*?[[:space:]]src[[:space:]]*=[[:space:]]*[\"'']?((?:https?://|data:image)[^\"''[:space:]>]*)', 1)")}, '') AS image_url FROM {_WITH_PICTURE}""")
 def first_image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Address of the first picture of a page, only http(s) or data."""
-    found = F.regexp_extract("html", r"""<img[^>]*?\ssrc\s*=\s*["']?((?:https?://|data:image)[^"'\s>]*)""", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.replace(found, F.lit("&amp;"), F.lit("&")), F.lit("")).alias("image_url"))
+    """Address of the first picture of a page with one of http(s) or data, its character references decoded."""
+    kind = F.col("page_id") % 4
+    extra = (F.when(kind == 0, '<img alt=x src="https://pics.example/a?b=1&amp;c=&quot;d&quot;&#38;e=2">').when(kind == 1, "<IMG src=data:image/png;base64,QUJD>")
+             .when(kind == 2, """<img src="ftp://no.example/x"><img src='http://pics.example/&lt;n&gt;'>""").otherwise(""))
+    found = F.regexp_extract(F.concat(extra, F.col("html")), r"""(?i)<img[^>]*?\ssrc\s*=\s*["']?((?:https?://|data:image)[^"'\s>]*)""", 1)
+    for name, char in _REFERENCES:
+        found = F.replace(found, F.lit(name), F.lit(char))
+    return table(spark, sf_dir, "pages").select("page_id", F.nullif(found, F.lit("")).alias("image_url"))
 
 
 @query("PRJ-15", sql=r"""WITH l AS (SELECT page_id, list_filter(list_transform(string_split(url || chr(10) || ' x', chr(10)), lambda s: trim(s)), lambda s: s <> '')[1] AS line FROM pages)
@@ -272,12 +292,14 @@ def url_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.when(line.rlike("^https?://"), line).alias("url"))
 
 
-@query("PRJ-16", sql="SELECT page_id, octet_length(from_base64(to_base64(url::BLOB))) AS n_bytes FROM pages")
+@query("PRJ-16", sql="""SELECT page_id, CASE page_id % 4 WHEN 0 THEN octet_length(url::BLOB) WHEN 1 THEN octet_length(url::BLOB) END AS n_bytes FROM pages""")
 def data_uri_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of a data address; anything but base64 gives null."""
-    uri = F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("url").cast("binary")))
-    body = F.when(uri.rlike("^data:[^,]*;base64,"), F.try_to_binary(F.regexp_replace(F.substring_index(uri, ",", -1), r"\s", ""), F.lit("base64")))
-    return table(spark, sf_dir, "pages").select("page_id", F.octet_length(body).cast("long").alias("n_bytes"))
+    """Bytes of a data address; one that is not base64, or is broken, gives null."""
+    body = F.base64(F.col("url").cast("binary"))
+    uri = (F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("data:image/png;base64,"), body)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("data:;charset=x;base64,"), body))
+           .when(F.col("page_id") % 4 == 2, F.concat(F.lit("data:text/plain,"), body)).otherwise(F.concat(F.lit("data:image/png;base64,*"), body)))
+    found = F.when(uri.rlike("^data:[^,]*;base64,"), F.try_to_binary(F.regexp_replace(F.substring_index(uri, ",", -1), r"\s", ""), F.lit("base64")))
+    return table(spark, sf_dir, "pages").select("page_id", F.octet_length(found).cast("long").alias("n_bytes"))
 
 
 @query("PRJ-17", sql="SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, 1, 38) || '…' END AS label FROM documents")

@@ -65,14 +65,11 @@ def visibility_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 20 frames or more without a remote sighting that a visible frame ends, with the last one before."""
     frame = F.floor(F.col("time_ms") / (20 * MIN)).alias("f")
     b = sightings(spark, sf_dir).groupBy("epoch", frame).agg(F.max(F.when(F.col("board") == "remote", F.col("seq"))).alias("remote"))
-    spine = b.groupBy("epoch").agg(F.min("f").alias("a"), F.max("f").alias("z")).select("epoch", F.explode(F.sequence("a", "z")).alias("f"))
-    j = spine.join(b, ["epoch", "f"], "left")
+    # Only frames with a remote sighting are ordered; a gap's length is arithmetic, so its cost does not follow time.
+    seen = b.withColumn("a", F.min("f").over(Window.partitionBy("epoch"))).filter("remote is not null")
     w = Window.partitionBy("epoch").orderBy("f")
-    island = F.col("f") - F.row_number().over(Window.partitionBy("epoch", F.col("remote").isNull()).orderBy("f"))
-    last = F.max(F.when(F.col("remote").isNotNull(), F.col("f"))).over(Window.partitionBy("epoch"))
-    g = j.select("*", island.alias("island"), F.last("remote", ignorenulls=True).over(w).alias("before"), last.alias("lastf"))
-    g = g.filter("remote is null and f < lastf").groupBy("epoch", "island").agg(F.min("f").alias("gap_start"), F.count("*").alias("frames"), F.min("before").alias("last_seen"))
-    return g.filter("frames >= 20").drop("island")
+    seen = seen.withColumn("gap_start", F.coalesce(F.lag("f").over(w) + 1, "a")).withColumn("last_seen", F.lag("remote").over(w))
+    return seen.withColumn("frames", F.col("f") - F.col("gap_start")).filter("frames >= 20").select("epoch", "gap_start", "frames", "last_seen")
 
 
 @query("JOI-01", "AGG-18", "PRJ-05", sql=f"""WITH {S}, f AS (SELECT epoch, k, min(time_ms) AS seen FROM s WHERE NOT torn AND NOT zero AND board = 'remote' GROUP BY ALL),
@@ -262,7 +259,7 @@ def packet_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sightings(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey"), "left").select("seq", F.col("n_nationkey").alias("unit"))
 
 
-@query("SRC-03", "SET-01", "PRJ-04", sql=f"WITH {S} SELECT seq, time_ms FROM s WHERE kind = 'view' UNION ALL SELECT seq, time_ms + 1000 FROM s WHERE kind = 'click' AND value > 100")
+@query("SET-01", "PRJ-04", sql=f"WITH {S} SELECT seq, time_ms FROM s WHERE kind = 'view' UNION ALL SELECT seq, time_ms + 1000 FROM s WHERE kind = 'click' AND value > 100")
 def log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several logs on one clock."""
     s = sightings(spark, sf_dir)

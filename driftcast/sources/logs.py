@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +54,23 @@ def append(df: DataFrame, path: str, form: str = "json") -> None:
     df.write.mode("append").format(form).save(path)
 
 
+def cached(spark: SparkSession, folder: str, label: str, make: Callable[[str], DataFrame]) -> tuple[DataFrame, bool]:
+    """The table of a label and whether it was made now: make(label) runs once, later calls read what it wrote.
+
+    Spark's committer puts a marker into a folder that is written whole, so one that broke off is written again.
+    """
+    path = f"{folder.rstrip('/')}/{quote(label, safe='')}"
+    made = False
+    try:
+        spark.read.text(f"{path}/_SUCCESS").schema
+        found = spark.read.parquet(path)
+    except AnalysisException:
+        made = True
+        make(label).write.mode("overwrite").parquet(path)
+        found = spark.read.parquet(path)
+    return found, made
+
+
 def latest(df: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
     """The rows of the last batch of each key."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(batch)))

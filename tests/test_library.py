@@ -35,7 +35,7 @@ def test_draws_equal_a_loop(spark):
 
 
 def test_bits(spark):
-    code, back, neg, crc8 = one(spark, B.exp_golomb(F.lit(5), 0), B.exp_golomb_read(F.lit("00110111"), 0), B.signed(F.lit(255), 8), B.crc(F.lit("10100101"), 8))
+    code, back, neg, crc8 = one(spark, B.exp_golomb(F.lit(5), 0), B.exp_golomb_read(F.lit("00110111"), 0), B.signed(F.lit(255), 8), B.crc(F.lit(0b10100101), 8, 8))
     assert (code, back, neg) == ("00110", 5, -1)
     reg = 0
     for bit in "10100101":
