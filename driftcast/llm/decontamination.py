@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from driftcast.llm.common import map_batches, written
+from driftcast.llm.common import map_batches, shared_dir
 
 WINDOW = 10
 #: Words are runs of [0-9a-z] and of everything beyond ASCII, after A-Z are lower-cased.
@@ -145,73 +147,103 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
-             block_bytes: int = 4 << 20, window: int = WINDOW) -> Iterator[tuple[SuffixAutomaton, bool]]:
-    """An automaton for each block of about block_bytes of item text, and whether it is the last.
+@dataclass(frozen=True)
+class Automata:
+    """The automata of a benchmark, one file in the shared folder for each block of its items."""
+
+    folder: str
+    blocks: tuple[int, ...]
+
+    def each(self) -> Iterator[SuffixAutomaton]:
+        """One automaton after another; a process keeps the last one that it read."""
+        for k in self.blocks:
+            name = f"{self.folder}/{k}.pickle"
+            if _HELD.get("name") != name:
+                _HELD.clear()
+                fs, path = pafs.FileSystem.from_uri(name)
+                with fs.open_input_stream(path) as src:
+                    _HELD.update(tool=pickle.loads(src.read()), name=name)
+            yield _HELD["tool"]
+
+    def hits(self, texts: list[str | None]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+        """Disjoint spans of hit words and the items that occur, for each text, over all blocks."""
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        for tool in self.each():
+            for i, t in enumerate(texts):
+                found, ids = tool.scan(words(t))
+                if found:
+                    spans[i] = merged(spans[i] + found)
+                    items[i].update(tool.ids[k] for k in ids)
+        return spans, items
 
-    The size is summed before anything is collected; the driver and a worker hold one block at
-    a time. Null texts are empty; rows with null ids are left out.
-    """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("item_id is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = total // block_bytes + 1
-    for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = block.orderBy("item_id", "text").collect()
-        yield SuffixAutomaton([(r["item_id"], words(r["text"])) for r in rows], window), k == n - 1
+    @property
+    def batch_bytes(self) -> int:
+        """Text that is scanned at once: with several blocks more, as each is read for every batch."""
+        return 4 << 20 if len(self.blocks) < 2 else 32 << 20
 
 
-def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+#: The automaton that this process holds, and the name of its file.
+_HELD: dict = {}
 
-    The words of the whole text stream through an automaton, which tracks the longest match; a
-    word in any window of an item (an item of fewer words is one window) is hit. A benchmark of
-    one block takes one pass; with more, each pass is written with the spans so far, so that
-    no worker holds more than one automaton. Null and empty texts have no words; an empty
-    benchmark hits nothing; rows that repeat an item id count as one in n_items. The digest is
-    that of the sorted item ids, comma-joined.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
-                       F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for tool, last in automata(benchmark, **settings):
-        rows = _counted(rows, tool) if last else written(_scanned(rows, tool), "benchmark-spans")
-    return rows
 
+def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
+             block_bytes: int = 2 << 20, window: int = WINDOW) -> Automata:
+    """Builds an automaton for each block of about block_bytes of item text, each in a task of its own.
 
-def _matches(batch, tool: SuffixAutomaton):
-    """Words, spans (starts and ends in turn) and items of each row, with those of earlier passes."""
-    for t, spans, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-        seq = words(t)
-        found, ids = tool.scan(seq)
-        pairs = merged([*zip(spans[::2], spans[1::2]), *found])
-        yield len(seq), pairs, {*items, *(tool.ids[i] for i in ids)}
+    Items are dealt to blocks by a hash; a task builds the automaton of a block and writes it
+    under its attempt's name, then under its final one. So neither the driver nor a worker holds
+    more than one block, and documents are read once, whatever the size of the benchmark. Null
+    texts are empty; rows with null ids are left out.
+    """
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("item_id is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    folder = shared_dir(benchmark.sparkSession, "automata")
 
+    def save(t: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
 
-def _scanned(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
-    send = rows.sparkSession.sparkContext.broadcast(tool)
+        block = t["block"][0].as_py()
+        rows = sorted(zip(t["item_id"].to_pylist(), t["text"].to_pylist()))
+        data = pickle.dumps(SuffixAutomaton([(i, words(x)) for i, x in rows], window), protocol=5)
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        mine, name = f"{base}/.{block}-{TaskContext.get().taskAttemptId()}", f"{base}/{block}.pickle"
+        with fs.open_output_stream(mine) as out:
+            out.write(data)
+        if fs.get_file_info(name).type != pafs.FileType.NotFound:
+            fs.delete_file(name)
+        fs.move(mine, name)
+        return pa.table({"block": [block]})
 
-    def run(batches):
-        for b in batches:
-            got = list(_matches(b, send.value))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([[x for p in g[1] for x in p] for g in got], pa.list_(pa.int64())),
-                 pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))], names=b.schema.names)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(total // block_bytes + 1)))
+    done = dealt.groupBy("block").applyInArrow(save, "block long").collect()  # a number for each block
+    return Automata(folder, tuple(sorted(r["block"] for r in done)))
 
-    return map_batches(rows, run, rows.schema)
 
+def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-def _counted(rows: DataFrame, tool: SuffixAutomaton) -> DataFrame:
-    send = rows.sparkSession.sparkContext.broadcast(tool)
+    The words of the whole text, of any length, stream through each automaton, which tracks the
+    longest match; a word in any window of an item (an item of fewer words is one window) is hit.
+    Documents are read once. Null and empty texts have no words; an empty benchmark hits nothing;
+    rows that repeat an item id count as one in n_items. The digest is that of the sorted item
+    ids, comma-joined.
+    """
+    tools = automata(benchmark, **settings)
 
     def run(batches):
         for b in batches:
-            got = [(n, sum(y - x for x, y in pairs), ids) for n, pairs, ids in _matches(b, send.value)]
+            texts = b.column(1).to_pylist()
+            spans, items = tools.hits(texts)
+            n_hit = [sum(y - x for x, y in s) for s in spans]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([len(g[2]) for g in got], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(sorted(g[2])).encode()).hexdigest() for g in got], pa.string()),
-                 pa.array([g[1] > 0 for g in got], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                [b.column(0), pa.array([len(words(t)) for t in texts], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(list(map(len, items)), pa.int64()),
+                 pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return map_batches(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_batches(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", tools.batch_bytes)
 
 
 def without(text: str, hit: list[tuple[int, int]]) -> str:
@@ -225,105 +257,46 @@ def without(text: str, hit: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[done:]]).decode()
 
 
-def clean(text: str | None, tool: SuffixAutomaton, max_span: int = 0, max_share: float = 0.5) -> str | None:
-    """The text without spans of more than max_span hit words; None if over max_share of its words were hit."""
-    first = True
-    while text:
-        seq = words(text)
-        hit = [(a, b) for a, b in merged(tool.scan(seq)[0]) if b - a > max_span]
-        if not hit:
-            return text
-        if first and sum(b - a for a, b in hit) > max_share * len(seq):
-            return None
-        first = False
-        text = without(text, hit)
-    return text
+def clean(texts: list[str | None], tools: Automata, max_span: int = 0, max_share: float = 0.5) -> tuple[list[str | None], list[bool]]:
+    """The texts without spans of more than max_span hit words, and which stay: those with at most max_share of their words in such spans.
+
+    Spans of all blocks are judged together. Cutting goes on until nothing is hit, as the two ends of a cut may meet.
+    """
+    new, stay, left, first = list(texts), [True] * len(texts), list(range(len(texts))), True
+    while left:
+        spans, _ = tools.hits([new[i] for i in left])
+        again = []
+        for i, found in zip(left, spans):
+            hit = [(a, b) for a, b in found if b - a > max_span]
+            if hit and first and sum(b - a for a, b in hit) > max_share * len(words(new[i])):
+                stay[i] = False
+            elif hit:
+                new[i] = without(new[i], hit)
+                again.append(i)
+        left, first = again, False
+    return new, stay
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str | None = "n_chars",
                   max_span: int = 0, max_share: float = 0.5, **settings) -> DataFrame:
     """docs without the benchmark: spans of more than max_span hit words are cut out of the text.
 
-    Rows of which over max_share of the words are hit go. Cutting repeats until nothing is hit,
-    as the two ends of a cut may meet. With a benchmark of several blocks, the spans of all
-    blocks are gathered first, a written pass for each, so that limits and cuts see their union
-    as one automaton would; rows that were cut go round again until no block hits them. All
-    columns stay; length, if docs has it, is set anew for rows that were cut. Null and empty
-    texts and clean texts stay as they are.
+    Rows of which over max_share of the words are hit go. All columns stay; length, if docs has
+    it, is set anew for rows that were cut. Null and empty texts and clean texts stay as they are.
     """
     tools = automata(benchmark, **settings)
-    tool, last = next(tools)
-    if last:
-        return _cut(docs, tool, text, length, max_span, max_share)
-    own, spans = docs.columns, "_spans"
-    while spans in own:
-        spans += "_"
-    state, live, done = f"{spans}cut", docs, None
-    while True:
-        live = live.withColumn(spans, F.array().cast("array<long>"))
-        live = written(_gathered(live, tool, text), "benchmark-spans")
-        for tool, _ in tools:
-            live = written(_gathered(live, tool, text), "benchmark-spans")
-        step = written(_cut_spans(live, text, length, state, max_span, max_share if done is None else None), "decontaminated")
-        still = step.filter(~F.col(state)).select(*[f"`{c}`" for c in own])
-        done = still if done is None else done.unionByName(still)
-        live = step.filter(F.col(state)).select(*[f"`{c}`" for c in own])
-        if not live.take(1):
-            return done
-        tools = automata(benchmark, **settings)
-        tool, _ = next(tools)
-
-
-def _gathered(docs: DataFrame, tool: SuffixAutomaton, text: str) -> DataFrame:
-    """docs with the spans of this block's hits merged into the last column."""
-    send = docs.sparkSession.sparkContext.broadcast(tool)
-    at = docs.columns.index(text)
-
-    def run(batches):
-        for b in batches:
-            got = [merged([*zip(s[::2], s[1::2]), *send.value.scan(words(t))[0]]) for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([[x for p in g for x in p] for g in got], pa.list_(pa.int64()))], names=b.schema.names)
-
-    return map_batches(docs, run, docs.schema)
-
-
-def _cut_spans(docs: DataFrame, text: str, length: str | None, state: str, max_span: int, max_share: float | None) -> DataFrame:
-    """docs without the spans of the last column, in place of which state tells if the row was cut."""
-    at, fields = docs.columns.index(text), docs.schema.fields[:-1]
-    n_at = docs.columns.index(length) if length in docs.columns else None
-
-    def run(batches):
-        for b in batches:
-            old, new, stay = b.column(at).to_pylist(), [], []
-            for t, s in zip(old, b.column(b.num_columns - 1).to_pylist()):
-                hit = [(x, y) for x, y in zip(s[::2], s[1::2]) if y - x > max_span]
-                stay.append(not hit or max_share is None or sum(y - x for x, y in hit) <= max_share * len(words(t)))
-                new.append(without(t, hit) if hit and stay[-1] else t)
-            cols = list(b.columns[:-1])
-            cols[at] = pa.array(new, cols[at].type)
-            cut = [x != y for x, y in zip(old, new)]
-            if n_at is not None:
-                cols[n_at] = pa.array([len(t) if c else n for c, t, n in zip(cut, new, cols[n_at].to_pylist())], cols[n_at].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.bool_())], names=[*b.schema.names[:-1], state]).filter(pa.array(stay, pa.bool_()))
-
-    return map_batches(docs, run, T.StructType([*fields, T.StructField(state, T.BooleanType())]))
-
-
-def _cut(docs: DataFrame, tool: SuffixAutomaton, text: str, length: str | None, max_span: int, max_share: float) -> DataFrame:
-    send = docs.sparkSession.sparkContext.broadcast(tool)
     at = docs.columns.index(text)
     n_at = docs.columns.index(length) if length in docs.columns else None
 
     def run(batches):
         for b in batches:
             old = b.column(at).to_pylist()
-            new = [clean(t, send.value, max_span, max_share) for t in old]
+            new, stay = clean(old, tools, max_span, max_share)
             cols = list(b.columns)
             cols[at] = pa.array(new, cols[at].type)
             if n_at is not None:
                 sizes = cols[n_at].to_pylist()
                 cols[n_at] = pa.array([n if before == after else len(after or "") for before, after, n in zip(old, new, sizes)], cols[n_at].type)
-            stay = pa.array([before is None or after is not None for before, after in zip(old, new)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(stay)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(stay, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, tools.batch_bytes)

@@ -95,17 +95,18 @@ def markup(page: str):
     at, n, last, quotes, cdata = 0, len(page), page.rfind(">"), True, True
     while at < n:
         lt = page.find("<", at)
-        if lt < 0 or lt > last:
-            if text := page[at:lt if lt >= 0 and _NAME.match(page, lt + 1) else n]:
-                yield text, None, False, ""
+        if lt < 0:
+            yield page[at:], None, False, ""
             return
         mark = page[lt + 1:lt + 2]
-        if mark not in "!?/" and not mark.isalpha():
+        if mark not in "!?/" and not mark.isalpha() or not mark:
             yield page[at:lt + 1], None, False, ""
             at = lt + 1
             continue
         if lt > at:
             yield page[at:lt], None, False, ""
+        if lt > last:
+            return
         if page.startswith("<!--", lt):
             end = page.find("-->", lt + 4)
             at = end + 3 if end >= 0 else n
@@ -322,7 +323,7 @@ def labelled_pages(n: int = 2000, seed: int = 5) -> list[str]:
     def page() -> str:
         marked = rnd.random() < 0.8
         kinds = frame if marked else [p for p in frame if "links" in p[3]]
-        fill = [part(rnd.choice(kinds), marked) for _ in range(rnd.randint(0, 4))] + [part(rnd.choice(main), marked)]
+        fill = [part(rnd.choice(kinds), marked) for _ in range(rnd.choice([0, 0, 1, 2, 3, 4]))] + [part(rnd.choice(main), marked)]
         fill += [part(rnd.choice(kinds), marked) for _ in range(rnd.randint(0, 4))]
         around = f'<div class="{rnd.choice("page wrapper container site layout feature trending main".split())}">' if marked and rnd.random() < 0.3 else ""
         return f"<html><body>{around}{''.join(fill)}</body></html>"

@@ -43,6 +43,45 @@ def test_language_held_out_and_odd_rows(docs, clashing, empty):
     assert {r["lang_pred"] for r in table(language_id.predict(docs, none))} == {"und"}
 
 
+def test_language_of_copies_is_learnt(spark):
+    en = [("en", f"the old house by the river number {w}") for w in "one two three four five six seven eight nine ten".split()] * 2000
+    de = [("de", f"das alte haus am fluss nummer {k} und der hund {k}") for k in range(300)]
+    model = language_id.fit(spark.createDataFrame(en + de, "lang string, text string"))
+    assert language_id.Compressors(model).classify("the old house by the river number one")[::2] == ("en", False)
+    same = language_id.fit(spark.createDataFrame([("xx", "lorem ipsum dolor")] * 50 + de, "lang string, text string"))
+    assert language_id.Compressors(same).classify("lorem ipsum dolor")[0] == "xx"
+
+
+def test_words_at_the_end_of_long_texts_teach(spark):
+    data = [("en", "the a of " * 3000 + f"latecomer{k} zebra stripes") for k in "abcdef"] + [("de", "der die das " * 3000 + f"nachsatz{k} gurke") for k in "abcdef"]
+    model = language_id.fit(spark.createDataFrame(data, "lang string, text string"))
+    assert b"zebra" in model.dictionaries["en"] and b"gurke" in model.dictionaries["de"]
+
+
+def test_language_against_plain_loop(docs):
+    import unicodedata
+
+    import zstandard
+
+    model = language_id.fit(docs)
+    texts = [d[1] for d in rows()] + ["½ ²", "Ⅷ 3", "½ der", "x", "_", "Der hund und the cat " * 400, "漢字 the"]
+    tools = language_id.Compressors(model)
+    for t in texts:
+        low_text = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower())
+        data = " ".join(low_text.split()).encode()
+        got = tools.classify(t)
+        if not data:
+            assert got == ("und", 0.0, True)
+            continue
+        sizes = {}
+        for lang, raw in model.dictionaries.items():
+            c = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                         write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(b" " * 32 + data[i:i + model.chunk_bytes] + b" " * 32)) for i in range(0, len(data), model.chunk_bytes))
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[got[0]] == first and got[2] == ((second - first) / second < model.narrow)
+
+
 def test_language_needs_bounded_labels(docs):
     with pytest.raises(ValueError):
         language_id.fit(docs, max_langs=1)
@@ -80,12 +119,12 @@ def test_windows_against_brute_force():
 def test_report_and_odd_rows(docs, clashing, benchmark, empty):
     items = [("i1", benchmark.first()["text"]), ("i4", "Short item of words")]
     for r, d in zip(table(decontamination.report(clashing, benchmark)), rows()):
-        n, hit, found = brute_hits(d[1], items) if d[0] != 6 else (r["n_words"], 0, set())
+        n, hit, found = (len(d[1].split()), 0, set()) if d[0] == 6 else brute_hits(d[1], items)  # row 6: words in ASCII, none of an item
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0)
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     assert table(decontamination.report(empty, benchmark)) == []
     assert not any(r["n_hit"] for r in table(decontamination.report(docs, benchmark.limit(0))))
-    assert len(list(decontamination.automata(benchmark, block_bytes=20))) > 1
+    assert len(decontamination.automata(benchmark, block_bytes=20).blocks) > 1
     one, many = (table(decontamination.report(docs, benchmark, block_bytes=b)) for b in (1 << 20, 20))
     assert sorted(one, key=repr) == sorted(many, key=repr) and any(r["n_hit"] for r in one)
 
@@ -100,9 +139,38 @@ def test_removal_keeps_clean_rows(clashing, benchmark, empty):
             assert (r["text"], r["n_chars"]) == (d[1], d[4])
     assert table(decontamination.decontaminate(empty, benchmark)) == []
     assert sorted(table(decontamination.decontaminate(clashing, benchmark, block_bytes=20)), key=repr) == sorted(got, key=repr)
-    tool = decontamination.SuffixAutomaton([("x", b"a b c d".split())], window=4)
-    assert decontamination.clean("x a b a b c d c d y z 1 2 3 4 5 6 7 8 9", tool) == "x  y z 1 2 3 4 5 6 7 8 9"
-    assert decontamination.clean("a b c d", tool) is None
+    tools = decontamination.automata(benchmark.sparkSession.createDataFrame([("x", "a b c d")], "item_id string, text string"), window=4)
+    texts = ["x a b a b c d c d y z 1 2 3 4 5 6 7 8 9", "a b c d", None]
+    assert decontamination.clean(texts, tools) == (["x  y z 1 2 3 4 5 6 7 8 9", "a b c d", None], [True, False, True])
+
+
+def test_ten_blocks_and_a_long_text(spark):
+    rnd = random.Random(11)
+    items = [(f"i{k}", " ".join(f"w{rnd.randrange(400)}" for _ in range(30))) for k in range(40)] + [("s", "single")]
+    body = [f"w{rnd.randrange(400)}" for _ in range(30000)]
+    for at in (0, 777, 15000, 29970):
+        body[at:at + 12] = items[at % 40][1].split()[:12]
+    texts = [" ".join(body), " ".join(body[:50]), "none of it, single", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert len(decontamination.automata(bench, block_bytes=300).blocks) >= 10
+    want = {}
+    for i, t in enumerate(texts):
+        words, hit, found = (t or "").replace(",", "").split(), set(), set()
+        windows = {}
+        for name, item in items:
+            w = item.split()
+            for k in range(max(1, len(w) - 9)):
+                windows.setdefault(tuple(w[k:k + 10]), set()).add(name)
+        for size in (1, 10):
+            for j in range(len(words) - size + 1):
+                if names := windows.get(tuple(words[j:j + size])):
+                    hit.update(range(j, j + size))
+                    found |= names
+        want[i] = (len(words), len(hit), len(found))
+    for size in (1 << 20, 300):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.report(docs, bench, block_bytes=size).collect()}
+        assert got == want and got[0][1] >= 48
 
 
 def test_blocks_of_items_are_judged_together(spark):
@@ -114,8 +182,8 @@ def test_blocks_of_items_are_judged_together(spark):
              "nothing of it", None, ""]
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     bench = spark.createDataFrame(items, "item_id string, text string")
-    want = [(i, decontamination.clean(t, decontamination.SuffixAutomaton([(k, decontamination.words(x)) for k, x in items], window=4))) for i, t in enumerate(texts)]
-    want = [(i, c, len(c or "")) for i, c in want if c is not None or texts[i] is None]
+    whole, stay = decontamination.clean(texts, decontamination.automata(bench, window=4))
+    want = [(i, c, len(c or "")) for i, (c, keep) in enumerate(zip(whole, stay)) if keep]
     assert [w[0] for w in want] == [1, 2, 3, 4, 5, 6]
     for size in (1 << 20, 9, 2, 1):
         got = decontamination.decontaminate(docs, bench, block_bytes=size, window=4)
@@ -159,13 +227,19 @@ def brute_lines(data):
 
 
 def test_lines_against_brute_force(clashing, empty, spark):
-    got = table(line_dedup.dedup(clashing))
-    assert [(r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got] == brute_lines(rows())
+    key = lambda r: tuple(map(repr, r))
+    want = sorted([(d[0], d[1], *b) for d, b in zip(rows(), brute_lines(rows()))], key=key)
+    for size in (1 << 19, 1):  # one shard, and about one for each line
+        got = table(line_dedup.dedup(clashing, shard_keys=size))
+        assert sorted([(r["doc_id"], r["text"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got], key=key) == want
+        assert {r["fp"] for r in got} == {"own fp"} and {r["key"] for r in got} == {"own key"}
     assert table(line_dedup.dedup(empty)) == []
     rnd = random.Random(3)
     data = [(i, "\n".join(f"{rnd.choice(['Line', ' line', 'LINE '])} number {rnd.randint(0, 30)}" for _ in range(rnd.randint(0, 6)))) for i in range(60)]
-    got = table(line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string")))
-    assert [(r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got] == brute_lines(data)
+    long = (99, "\n".join(f"Row {k} of a long text" for k in range(30000)) + "\nrow 7 of a long text")
+    data += [long, (98, "x\nROW 29999 of a long text\n row 7 of a long text ")] + [(200 + i, "one very common line\nown line number %d" % i) for i in range(300)]
+    got = {r["doc_id"]: (r["kept_text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"), shard_keys=600).collect()}
+    assert [got[d[0]] for d in data] == brute_lines(data)
 
 
 def test_line_index_finds_only_its_keys():
@@ -173,18 +247,60 @@ def test_line_index_finds_only_its_keys():
     h = rnd.integers(0, 2**64, (5000, 2), dtype=np.uint64)
     h[:4, 0] = h[0, 0]  # equal first hashes
     index = line_dedup.LineIndex.load(line_dedup.LineIndex.build(h[:4000, 0], h[:4000, 1], np.arange(4000), np.ones(4000, np.int64)).dump())
-    got = index.owners(h[:, 0], h[:, 1], -1)
-    assert (got[:4000] == np.arange(4000)).all() and (got[4000:] == -1).all()
+    owner, count = index.find(h[:, 0], h[:, 1])
+    assert (owner[:4000] == np.arange(4000)).all() and (count[:4000] == 1).all() and (count[4000:] == 0).all()
     none = line_dedup.LineIndex.build(h[:0, 0], h[:0, 1], np.arange(0), np.arange(0))
-    assert (none.owners(h[:, 0], h[:, 1], -1) == -1).all()
+    assert (none.find(h[:, 0], h[:, 1])[1] == 0).all()
 
 
 # HTML
 
-def test_labelled_blocks_are_learnt():
-    x, y = html_text.labelled_table()
-    tree = html_text.grow(x, y)
-    assert ((tree.predict(x) >= 0.5) == (y == 1)).mean() > 0.97
+@pytest.fixture(scope="module")
+def extractor():
+    return html_text.Extractor.fit()
+
+
+def test_blocks_of_held_out_pages(extractor):
+    found = [html_text.blocks(p, "data-main") for p in html_text.labelled_pages(150, seed=77)]
+    label, got = (np.concatenate(x) for x in ([[b.label for b in f] for f in found], [extractor.main(f) for f in found]))
+    assert len(label) > 1000 and (label == got).mean() > 0.96
+
+
+def splits(tree):
+    return set() if tree.feature < 0 else {html_text.FEATURES[tree.feature]} | splits(tree.low) | splits(tree.high)
+
+
+def test_words_and_links_of_neighbours_carry_the_tree(extractor):
+    assert {"words", "link_density", "words_before", "link_density_before", "link_density_after"} <= splits(extractor.tree)
+
+
+LONG = "A long paragraph of an article goes on for a while with many words and no links at all in it, as they do."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<div class="main-menu-free-story"><h1>Head of it</h1><p>{LONG}</p><p>{LONG}</p></div>', f"Head of it\n{LONG}\n{LONG}"),
+    (f'<div class="post-tags-text"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+    (f'<div id="feature-trending"><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article></div>', f"Head\n{LONG}\n{LONG}"),
+    (f'<article><p>{LONG}</p><div class="message"><p>{LONG}</p></div><p>{LONG}</p></article>', f"{LONG}\n{LONG}\n{LONG}"),
+    (f"<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {LONG}</p></article>", f"So x=2 holds. {LONG}"),
+    (f"<nav><a href=1>One</a> <a href=2>Two</a></nav><p>{LONG}</p><p>{LONG}</p><div><a href=3>Terms</a> <a href=4>Contact</a></div>", f"{LONG}\n{LONG}"),
+    (f'<article><h1>Head</h1><p>{LONG}</p></article><div id="comments"><article class="comment"><p>I like it, and say so here in some more words.</p></article></div>', f"Head\n{LONG}"),
+    (f'<p data-main="x">{LONG}</p>', LONG), (f"<p data-main>{LONG}</p>", LONG), (f"<p title=don't>{LONG}</p><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+    ("<script>var x = '<p>no</p>'", ""), ("<!-- open", ""), ("a &lt; b &amp; c", "a < b & c")])
+def test_snippets(extractor, page, want):
+    assert extractor.text(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<![CDATA[", '<p x="', "<p ", "<!--", "<script>", '<p a=">"', "<div>", "</div>", "<div></section>", "<p x='>", "&#", "<a <b "])
+def test_time_grows_with_the_page(extractor, unit):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        extractor.text(unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 0.5  # eight times the length
 
 
 def test_pages(spark):
@@ -244,21 +360,73 @@ def test_mix_meets_targets(clashing, docs, empty):
 
 # Toxicity
 
-def test_nearest_is_exact():
+def brute_scores(texts, toxic, share, k, queries, half=25.0):
+    """Vote and score of each query by dense vectors over all terms, no index; queries name the example to leave out, or None."""
+    n, n1 = len(texts), int(sum(toxic))
+    seen = {w: [sum(w in t for t, y in zip(texts, toxic) if y == c) for c in (0, 1)] for w in set().union(*texts)}
+
+    def weight(w):
+        b, a = seen[w]
+        g = sum(2 * x * np.log(x * n / (m * tot)) for x, m, tot in ((a, n1, a + b), (n1 - a, n1, n - a - b), (b, n - n1, a + b), (n - n1 - b, n - n1, n - a - b)) if x)
+        return np.log((1 + n) / (a + b)) * max(max(g, 0) / (max(g, 0) + half), 1e-3) ** 2
+
+    weights = {w: weight(w) for w in seen}
+
+    def vector(t):
+        v = {w: (1 + np.log(c)) * weights[w] for w, c in t.items() if w in weights}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [vector(t) for t in texts]
+
+    def vote(v, skip):
+        cos = [(sum(x * u.get(w, 0.0) for w, x in v.items()), i) for i, u in enumerate(vectors) if i != skip]
+        best = sorted(((c, i) for c, i in cos if c > 1e-12), key=lambda x: -round(x[0], 9))
+        cut = best[:k]
+        ties = len(best) > k and abs(best[k][0] - cut[-1][0]) < 1e-8
+        w = [1 / (1.05 - min(c, 1.0)) for c, _ in cut]
+        return (sum(x * toxic[i] for x, (_, i) in zip(w, cut)) / sum(w) if w else 0.0), ties, [c for c, _ in cut]
+
+    return [vote(vector(t), skip) for t, skip in queries]
+
+
+def test_nearest_and_scores_against_dense_vectors():
     rnd = random.Random(6)
-    words = [f"w{i}" for i in range(40)]
-    texts = [toxicity.Counter(rnd.choices(words, k=rnd.randint(1, 12))) for _ in range(400)]
-    toxic = np.array([int("w1" in t or "w2" in t or rnd.random() < 0.1) for t in texts])
-    m = toxicity._index(texts, toxic, np.arange(400), 0.2, 5, 100, 0.0)
-    dense = np.zeros((400, len(m.vocabulary)))
-    for i, t in enumerate(texts):
-        at, w = m.vector(t)
-        dense[i, at] = w
-    for i in range(0, 400, 7):
-        near, cosine = m.nearest(*m.vector(texts[i]))
-        all_cos = dense @ dense[i]
-        order = sorted((j for j in range(400) if all_cos[j] > 1e-12), key=lambda j: (-round(all_cos[j], 9), j))[:5]
-        assert near.tolist() == order and np.allclose(cosine, all_cos[order])
+    words = [f"w{i}" for i in range(60)]
+    texts = [toxicity.Counter(rnd.choices(words, k=rnd.randint(1, 12)) + [f"rare{i}"]) for i in range(300)]
+    toxic = [int("w1" in t or "w2" in t or rnd.random() < 0.1) for t in texts]
+    m = toxicity._index(texts, np.array(toxic), np.arange(300), 0.2, 5)
+    assert len(m.vocabulary) == len(set().union(*texts)) and sorted(m.ids) == list(range(300))
+    want = brute_scores(texts, toxic, 0.2, 5, [(t, None) for t in texts[::7]])
+    same = 0
+    for t, (vote, ties, cosines) in zip(texts[::7], want):
+        near, cosine = m.nearest(*m.vector(t))
+        assert np.allclose(cosine, cosines)
+        if not ties:
+            same += 1
+            assert m.vote(near, cosine) == pytest.approx(vote)
+            assert m.score(t)[0] == pytest.approx(np.interp(vote, m.places, m.rates))
+    assert same > 20
+    left_out = brute_scores(texts, toxic, 0.2, 5, [(t, i) for i, t in enumerate(texts)])
+    raw = [m.vote(*m.nearest(*m.vector(texts[i]), skip=p)) for p, i in enumerate(m.ids)]
+    assert all(ties or r == pytest.approx(vote) for r, (vote, ties, _) in zip(raw, (left_out[i] for i in m.ids)))
+
+
+def test_copy_of_a_toxic_example_of_rare_words_scores_high():
+    rnd = random.Random(12)
+    texts = [toxicity.Counter(f"x{rnd.randrange(3000)}" for _ in range(30)) for _ in range(400)]
+    toxic = np.array([int(i % 4 == 0) for i in range(400)])
+    for i in range(0, 400, 4):
+        texts[i].update(["vile"] if i else [])
+    m = toxicity._index(texts, toxic, np.arange(400), 0.25, 15)
+    assert abs(m.nearest(*m.vector(texts[0]))[1][0] - 1) < 1e-9 and m.ids[m.nearest(*m.vector(texts[0]))[0][0]] == 0
+    assert m.score(toxicity.Counter(["vile", "x1"]))[0] > 0.7 and m.score(toxicity.Counter(["x1", "x2"]))[0] < 0.3
+
+
+def test_words_after_many_characters_teach(spark):
+    data = [(i, "word " * 8000 + f"t{i} " + ("vile scum" if i % 2 else "kind deed")) for i in range(40)]
+    model = toxicity.fit(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert model.score(toxicity.terms("vile"))[0] > 0.7 > 0.3 > model.score(toxicity.terms("kind"))[0]
 
 
 def test_isotonic_rises():
@@ -383,7 +551,8 @@ def test_files_round_trip(clashing, empty, spark, tmp_path):
 def brute_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", low(text))
     shingles = [" ".join(words[k:k + 3]) for k in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
-    return sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1 for s in shingles) > len(shingles))
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def brute_components(fps):
@@ -410,6 +579,8 @@ def test_fingerprints_and_groups(clashing, empty):
             assert r["fp"] & (2**64 - 1) == want[r["doc_id"]]
     comp = {r["doc_id"]: r["component_id"] for r in got}
     assert comp[2] == 1 and comp[5] == 4 and comp[9] == 4 and comp[6] == 6
+    long = " ".join(f"Word{i * i % 7919}" for i in range(140_000))  # more shingles than are summed at once, twice over
+    assert simhash.simhash(long) == brute_simhash(long) and simhash.simhash(rows()[5][1]) == brute_simhash(rows()[5][1])
     assert table(simhash.near_duplicates(empty)) == []
 
 
@@ -433,7 +604,22 @@ def test_links_against_brute_force(spark, tile):
 def test_components_of_a_long_chain(spark):
     from driftcast.llm.common import components
 
-    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)] + [(5000, 5001), (7, 7)] + [(6000, 6001 + i) for i in range(500)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
-    assert all(got[i] == 0 for i in range(201)) and got[501] == 500 and len(got) == 203
+    assert all(got[i] == 0 for i in range(3001)) and got[5001] == 5000 and all(got[6001 + i] == 6000 for i in range(500)) and len(got) == 3001 + 2 + 501
     assert components(edges.limit(0)).count() == 0
+
+
+def test_batches_are_cut_without_a_session_setting(spark):
+    from driftcast.llm.common import map_batches
+
+    before = {k: v for k, v in spark.conf.getAll.items() if "arrow" in k.lower()}
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    df = spark.range(3000).select(F.repeat(F.lit("x"), 2000).alias("t")).union(spark.range(1).select(F.repeat(F.lit("y"), 500_000)))
+    got = map_batches(df, run, "n long, size long", 100_000).collect()
+    assert sum(r["n"] for r in got) == 3001 and all(r["size"] <= 100_000 or r["n"] == 1 for r in got)
+    assert {k: v for k, v in spark.conf.getAll.items() if "arrow" in k.lower()} == before
