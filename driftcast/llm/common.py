@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(df: DataFrame, text: str, part_bytes: int = 128 << 20) -> int:
+    """How many partitions of about part_bytes of text df fills; the session's number of shuffle partitions at least."""
+    total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+
+
 def pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch in order, halved until each has about limit bytes or one row."""
     if batch.num_rows < 2 or batch.nbytes <= limit:

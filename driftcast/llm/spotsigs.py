@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import written
+from driftcast.llm.common import partitions, written
 
 #: Common words of four languages, after which a signature may start.
 ANCHORS = {
@@ -89,7 +89,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_p
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = min(max_buckets, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = min(max_buckets, per_partition * partitions(rows, "text"))
     ids = rows.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
@@ -105,7 +105,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_p
         bucket = F.lit(0)
     heads = [r for r in ids.select("doc_id", bucket.alias("b")).groupBy("b").agg(F.max("doc_id").alias("head")).orderBy("b").collect()]
     pairs = [(r["head"], heads[(k + 1) % len(heads)]["b"]) for k, r in enumerate(heads)]  # at most one row per bucket
-    ghosts = spark.createDataFrame(pairs, "head long, ghost int")
+    ghosts = spark.createDataFrame(pairs, "head long, ghost int")  # max_buckets rows at most, so it may be broadcast
     rows = rows.withColumn("b", bucket).join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("head")), "left")
     places = F.when(F.col("ghost").isNull(), F.array(F.struct(F.col("b"), F.lit(0).alias("extra")))).otherwise(
         F.array(F.struct(F.col("b"), F.lit(0).alias("extra")), F.struct(F.col("ghost").alias("b"), F.lit(1).alias("extra"))))

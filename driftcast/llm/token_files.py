@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import map_batches, shared_dir, written
+from driftcast.llm.common import map_batches, partitions, shared_dir, written
 
 END_ID = 2
 SEQUENCE = 2048
@@ -186,7 +186,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, doc_id: str = "doc_
     ordered by a hash of
     their text.
     """
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or partitions(docs, text)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     src = src.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     src = src.select("doc_id", "text")
@@ -242,7 +242,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("ids"))
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = files.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count())
     rows = index.join(F.broadcast(starts), "part")  # one row per file, at most as many as the writer had tasks
     rows = rows.select("part", "file", "place", "doc_id", "n_tokens", "offset", "base").repartition(n, "part").sortWithinPartitions("part", "place")
 

@@ -192,22 +192,41 @@ def test_blocks_of_items_are_judged_together(spark):
 
 # Token counts
 
-def test_piece_counts_match_the_tokenizer(clashing, empty):
+def test_piece_counts_match_the_tokenizer(spark, clashing, empty):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_FILE)
     counts, rnd = token_counts.PieceCounts(sp), random.Random(2)
-    parts = ["a", "B", "é", " ", "  ", "\n", "▁", "<s>", "<0x0A>", "İ", ".", "漢", "\t", "the", " the", "\0", "\r", " ", "1"]
+    assert not counts.whole
+    parts = ["a", "B", "é", " ", "  ", "\n", "▁", "<s>", "<0x0A>", "İ", ".", "漢", "\t", "the", " the", "\0", "\r", " ", "1"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(5000)]
-    assert counts.count(texts) == [len(sp.encode(t)) for t in texts]
-    small = token_counts.PieceCounts(sp, max_chars=3)
-    assert [small.count([t])[0] for t in texts[:200]] == [len(sp.encode(t)) for t in texts[:200]]
-    for r, d in zip(table(token_counts.count_tokens(clashing, PIECE_FILE)), rows()):
-        n = len(sp.encode(d[1] or ""))
-        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((d[1] or "").encode()), n, n > 4096)
+    assert [counts.count(t) for t in texts] == [len(sp.encode(t)) for t in texts]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:600])] + [(9000, "word " * 40000), (9001, "x" * 50000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(odd, PIECE_FILE, bucket_bytes=2000).collect()}
+    assert got == {r["doc_id"]: len(sp.encode(r["text"])) for r in odd.collect()}
+    want = sorted((repr(d[0]), len((d[1] or "").encode()), n := len(sp.encode(d[1] or "")), n > 4096) for d in rows())
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in table(token_counts.count_tokens(clashing, PIECE_FILE))) == want
     assert table(token_counts.count_tokens(empty, PIECE_FILE)) == []
 
 
+class Crossing:
+    """A tokenizer with a piece that goes across a space."""
+
+    def get_piece_size(self):
+        return 2
+
+    def id_to_piece(self, i):
+        return ["▁a", "▁a▁b"][i]
+
+    def encode(self, x, num_threads=1):
+        return [self.encode(t) for t in x] if isinstance(x, list) else [0] * len(x.replace("a b", "a").split())
+
+
+def test_a_vocabulary_that_crosses_spaces_is_counted_by_whole_texts():
+    counts = token_counts.PieceCounts(Crossing())
+    assert counts.whole and counts.count("a b a b c") == 3 and counts.count("") == 0
+
+
 # Line dedup
 
 def brute_lines(data):
