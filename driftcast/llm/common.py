@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ def map_batches(df: DataFrame, run: Callable, schema: str | T.StructType, limit:
     return df.mapInArrow(sliced, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of about rows rows of batches that are sorted by key, none of which parts a key; only a longer key makes a longer table."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        k = t[key].to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut).combine_chunks()
+        held, size = rest.to_batches(), 0 if cut else size // 2
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

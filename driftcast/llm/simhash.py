@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import components, map_batches, written
+from driftcast.llm.common import components, map_batches, whole_groups, written
 
 RADIUS = 2
 SEED = 42
@@ -40,6 +42,30 @@ def simhash(text: str | None, words: int = 3, seed: int = SEED) -> int:
     return int(np.packbits(sums * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def wide_simhash(hashes: np.ndarray, words: int = 4) -> np.ndarray:
+    """SimHash of 64 * words bits of 64-bit hashes, as words numbers: each has the bits of the hashes mixed anew."""
+    out = np.zeros(words, np.uint64)
+    for k in range(words if len(hashes) else 0):
+        x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        sums = np.zeros(64, np.int64)
+        for at in range(0, len(x), 65536):
+            part = (x ^ (x >> np.uint64(31)))[at:at + 65536]
+            sums += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(sums * 2 > len(x), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def radius_of(similarity: float, bits: int, slack: float = 4.0) -> int:
+    """Differing bits that two sets of a Jaccard similarity have at most, but for slack standard deviations.
+
+    The sets' cosine is 2 s / (1 + s) at least, and a bit differs with the angle over pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every whole text."""
 
@@ -161,21 +187,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = 1024) -> DataFrame
     dealt = dealt.select(key, "id", "fp", F.col("t.side").alias("side")).repartition(n, "key").sortWithinPartitions("key")
 
     def run(batches):
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size < 200_000:
-                continue
-            t = pa.Table.from_batches(held)
-            k = t["key"].to_numpy()
-            cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-            if cut:
-                yield from emit(t.slice(0, cut))
-            rest = t.slice(cut).combine_chunks()
-            held, size = rest.to_batches(), 0 if cut else size // 2
-        if held:
-            yield from emit(pa.Table.from_batches(held))
+        for t in whole_groups(batches, "key"):
+            yield from emit(t)
 
     def emit(t):
         ids, fp = t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
