@@ -43,7 +43,7 @@ def wavelet_matrix(n: int) -> np.ndarray:
                 step[i, min(j, 2 * (n - 1) - j) if j >= 0 else -j] += a
         total = step @ total
     order = [*range(0, n, 2), *range(1, n, 2)]
-    scale = np.diag([1 / SCALE] * (n // 2) + [SCALE] * (n // 2))
+    scale = np.diag([SCALE] * (n // 2) + [1 / SCALE] * (n // 2))
     return scale @ total[order]
 
 

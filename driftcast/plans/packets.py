@@ -54,7 +54,16 @@ def mulberry_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", draw.alias("draw"), (20 + 60 * draw).alias("join_s"), B.lcg(F.col("o_orderkey")).alias("lcg"))
 
 
-@query("BIT-10")
+def _draw_sql(seed: str, n: int) -> str:
+    """A draw in SQL, as a chain of scalar subqueries."""
+    a = f"(SELECT ({seed} + {_M(str(n), '1831565813')}) & 4294967295 AS a)"
+    t = f"(SELECT a, {_M('xor(a, a >> 15)', 'a | 1')} AS t FROM {a})"
+    u = f"(SELECT xor(t, (t + {_M('xor(t, t >> 7)', 't | 61')}) & 4294967295) AS u FROM {t})"
+    return f"(SELECT xor(u, u >> 14) / 4294967296.0::DOUBLE FROM {u})"
+
+
+@query("BIT-10", sql=f"""WITH d AS (SELECT o_orderpriority, {_draw_sql('o_orderkey', 1)} AS u, {_draw_sql('o_orderkey', 2)} AS v FROM orders),
+g AS (SELECT o_orderpriority, sqrt(-2 * ln(u + 1e-12::DOUBLE)) * cos(2 * pi() * v) AS g FROM d) SELECT o_orderpriority, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS sd FROM g GROUP BY 1""")
 def gauss_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of normal draws per seed group."""
     g = B.gauss(B.mulberry32(F.col("o_orderkey"), F.lit(1)), B.mulberry32(F.col("o_orderkey"), F.lit(2)))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from driftcast.functions import bits as B
 from driftcast.functions import blocks as K
+from driftcast.functions.images import homography
+from driftcast.functions.transforms import wavelet_matrix
 from driftcast.operators import pictures as P
 from driftcast.operators.aggregates import reach
 from driftcast.operators.windows import last_wins
@@ -117,7 +119,15 @@ def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy("vec_id", "bits").agg(F.round(F.avg((F.col("v") - F.col("r")) ** 2), 6).alias("mse"), F.round(ssim, 6).alias("ssim")).withColumn("total_bits", F.col("bits") * 64)
 
 
-@query("MTH-08", "MTH-09", "COD-06")
+def _lifting_sql() -> str:
+    """The wavelet of 64 samples as place, sample, weight: even places hold the low band."""
+    m = wavelet_matrix(64)
+    return ", ".join(f"({2 * r if r < 32 else 2 * (r - 32) + 1}, {j}, {float(m[r, j])!r}::DOUBLE)" for r in range(64) for j in range(64) if abs(m[r, j]) > 1e-15)
+
+
+@query("MTH-09", "COD-06", sql=f"""WITH m(i, j, c) AS (VALUES {_lifting_sql()}), p AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE * 127 AS x FROM embeddings),
+w AS (SELECT vec_id, i, sum(c * x) AS v FROM p JOIN m USING (j) GROUP BY ALL)
+SELECT vec_id, i::INTEGER AS i, round(v, 6) AS v, (sign(v) * floor(abs(v) / 4 + CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0.33 END))::BIGINT AS level FROM w""")
 def wavelet_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One level of the wavelet of each vector, quantised with a dead zone."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", "i", (F.col("v").cast("double") * 127).alias("v"))
@@ -125,7 +135,10 @@ def wavelet_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("vec_id", "i", F.round("v", 6).alias("v"), (F.signum("v") * F.floor(F.abs(F.col("v")) / 4 + F.when(F.col("i") % 2 == 0, 0.5).otherwise(0.33))).cast("long").alias("level"))
 
 
-@query("AGG-25")
+@query("AGG-25", sql="""WITH RECURSIVE n AS (SELECT label, round(x * 16)::INTEGER AS s, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
+h AS (SELECT label, list_sort(list(n)) AS l, (CASE WHEN count(*) = 1 THEN sum(n) ELSE 0 END)::BIGINT AS total, count(*) AS symbols FROM n GROUP BY label UNION ALL
+ SELECT label, list_sort(list_append(l[3:], l[1] + l[2])), total + l[1] + l[2], symbols FROM h WHERE len(l) > 1)
+SELECT label, total AS bits, 12 * symbols AS table_bits FROM h WHERE len(l) = 1""")
 def huffman_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits of each group's symbols in a Huffman code, and of the code's table."""
     import pandas as pd
@@ -145,7 +158,7 @@ def huffman_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"label": [pdf["label"].iloc[0]], "bits": [int(total)], "table_bits": [12 * len(pdf)]})
 
     x = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x"))
-    n = x.groupBy("label", F.round(F.col("x") * 16).cast("int").alias("s")).agg(F.count("*").alias("n"))  # a row per symbol, not per sample
+    n = x.groupBy("label", F.round(F.col("x").cast("double") * 16).cast("int").alias("s")).agg(F.count("*").alias("n"))  # a row per symbol, not per sample
     return n.groupBy("label").applyInPandas(build, "label int, bits long, table_bits long")
 
 
@@ -181,12 +194,20 @@ def picture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.score_planes(planes, n, n).join(native, "id").select(F.col("id").alias("step"), "psnr", F.round("ssim", 6).alias("ssim"), F.round("msssim", 6).alias("msssim"))
 
 
-@query("MTH-15")
+#: Corners of a board, and where they are seen.
+_BOARD = ([(0, 0), (1, 0), (1, 1), (0, 1)], [(10, 12), (205, 30), (190, 170), (22, 150)])
+
+
+def _projected_sql() -> str:
+    h = homography(*_BOARD)
+    at = lambda r: f"{float(h[r, 0])!r}::DOUBLE * u + {float(h[r, 1])!r}::DOUBLE * v + {float(h[r, 2])!r}::DOUBLE"
+    return f"SELECT p_partkey, round(({at(0)}) / ({at(2)}), 6) AS x, round(({at(1)}) / ({at(2)}), 6) AS y FROM (SELECT p_partkey, p_partkey % 97 / 97.0::DOUBLE AS u, p_size / 51.0::DOUBLE AS v FROM part)"
+
+
+@query("MTH-15", sql=_projected_sql())
 def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a board seen at an angle, mapped to its plane: the map is solved once, points stay in Spark."""
-    from driftcast.functions.images import homography
-
-    h = homography([(0, 0), (1, 0), (1, 1), (0, 1)], [(10, 12), (205, 30), (190, 170), (22, 150)])
+    h = homography(*_BOARD)
     u, v = F.col("p_partkey") % 97 / 97, F.col("p_size") / 51
     w = float(h[2, 0]) * u + float(h[2, 1]) * v + float(h[2, 2])
     at = lambda r: F.round((float(h[r, 0]) * u + float(h[r, 1]) * v + float(h[r, 2])) / w, 6)
@@ -205,7 +226,11 @@ def weighted_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("u * tot >= hi - l_quantity and u * tot < hi").select("stream", "u", "l_orderkey", "l_linenumber")
 
 
-@query("MTH-23")
+@query("MTH-23", sql="""WITH g AS (SELECT l_suppkey AS stream, l_quantity::INTEGER AS packet, round(avg(l_discount), 6) AS gain FROM lineitem GROUP BY ALL),
+n AS (SELECT *, row_number() OVER w AS k, sum(gain) OVER w AS run FROM g WINDOW w AS (PARTITION BY stream ORDER BY packet)),
+p AS (SELECT a.stream, a.k AS lo, b.k AS hi, (b.run - a.run + a.gain) / (b.k - a.k + 1) AS m FROM n a JOIN n b ON a.stream = b.stream AND a.k <= b.k),
+t AS (SELECT n.stream, n.k, lo, max(m) AS m FROM n JOIN p ON n.stream = p.stream AND lo <= n.k AND hi >= n.k GROUP BY ALL)
+SELECT n.stream, packet, gain, round(min(m), 6) AS pooled FROM t JOIN n ON n.stream = t.stream AND n.k = t.k GROUP BY ALL""")
 def pooled_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean gains of a stream's packets, neighbours pooled until they never rise."""
     import pandas as pd
@@ -222,7 +247,7 @@ def pooled_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pdf
 
     g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("stream"), F.col("l_quantity").cast("int").alias("packet")).agg(F.round(F.avg("l_discount"), 6).alias("gain"))  # 50 packets a stream
-    return g.groupBy("stream").applyInPandas(pool, "stream long, packet int, gain double, pooled double")
+    return g.groupBy("stream").applyInPandas(pool, "stream long, packet int, gain double, pooled double").withColumn("pooled", F.round("pooled", 6))
 
 
 @query("CHN-09", "EVL-21")
@@ -317,7 +342,9 @@ def adaptive_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(u, start, step)["bits"].alias("bits"))
 
 
-@query("SET-08")
+@query("SET-08", sql=f"""WITH RECURSIVE {PX}, b AS (SELECT vec_id, y, x, y * 8 + x AS i FROM p WHERE v > 140),
+r AS (SELECT vec_id, i, i AS j FROM b UNION SELECT r.vec_id, r.i, n.i FROM r JOIN b o ON o.vec_id = r.vec_id AND o.i = r.j JOIN b n ON n.vec_id = o.vec_id AND abs(n.y - o.y) <= 1 AND abs(n.x - o.x) <= 1),
+l AS (SELECT vec_id, i, min(j) AS part FROM r GROUP BY ALL) SELECT vec_id, part::INTEGER AS part, count(*) AS size, min(i % 8)::INTEGER AS x0, max(i % 8)::INTEGER AS x1, min(i // 8) AS y0, max(i // 8) AS y1 FROM l GROUP BY vec_id, part""")
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected bright parts of each picture, with their sizes and boxes."""
     def run(batches):

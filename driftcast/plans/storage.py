@@ -60,7 +60,14 @@ def datagram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", D.datagram_count(F.col("q.l_quantity"), 60).alias("datagrams"))
 
 
-@query("UDF-01", "UDF-02", "COD-04", "RQC-01", "RQC-06")
+@query("UDF-01", "UDF-02", "COD-04", "RQC-01", sql="""WITH p AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE * 127 + 128 AS v FROM embeddings),
+w AS (SELECT u, x, (CASE WHEN u = 0 THEN sqrt(1 / 8.0) ELSE 0.5 END) * cos((2 * x + 1) * u * pi() / 16) AS c FROM range(8) a(u), range(8) b(x)),
+r AS (SELECT vec_id, i // 8 AS y, u, sum((v - 128) * c) AS s FROM p JOIN w ON x = i % 8 GROUP BY ALL), f AS (SELECT vec_id, w.u AS cv, r.u AS cu, sum(s * c) AS s FROM r JOIN w ON x = y GROUP BY vec_id, w.u, r.u),
+q AS (SELECT vec_id, cv, cu, greatest(-127, least(127, floor(s / (4 + cu + cv) + 0.5))) * (4 + cu + cv) AS s FROM f),
+b AS (SELECT vec_id, cv, x, sum(s * c) AS s FROM q JOIN w ON u = cu GROUP BY ALL), d AS (SELECT vec_id, w.x AS y, b.x AS x, sum(s * c) + 128 AS r FROM b JOIN w ON u = cv GROUP BY vec_id, w.x, b.x),
+e AS (SELECT 'dct' AS codec, p.vec_id, avg(pow(v - r, 2)) AS mse, 512 AS bits FROM p JOIN d ON d.vec_id = p.vec_id AND d.y = i // 8 AND d.x = i % 8 GROUP BY p.vec_id UNION ALL
+ SELECT 'raw' || k, vec_id, avg(pow(v - (greatest(0, least((1 << k) - 1, floor(v / 256 * (1 << k)))) + 0.5) * (256.0::DOUBLE / (1 << k)), 2)), 64 * k FROM p, (SELECT unnest([4, 5, 8])::INTEGER AS k) GROUP BY k, vec_id)
+SELECT codec, round(avg(bits), 3) AS bits, round(avg(CASE WHEN mse = 0 THEN 99 ELSE 10 * log10(65025 / mse) END), 4) AS psnr FROM e GROUP BY codec""")
 def codec_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits and quality of each registered codec."""
     return C.rate_quality(K.blocks(table(spark, sf_dir, "embeddings"), 128.0))

@@ -23,7 +23,7 @@ def lifted(x):
     for k, a in enumerate(T.LIFTING):
         for i in range(1 - k % 2, n, 2):
             x[i] += a * (x[mirror(i - 1)] + x[mirror(i + 1)])
-    return [v / T.SCALE for v in x[::2]] + [v * T.SCALE for v in x[1::2]]
+    return [v * T.SCALE for v in x[::2]] + [v / T.SCALE for v in x[1::2]]
 
 
 def test_wavelet_matrix_against_lifting():
@@ -32,6 +32,7 @@ def test_wavelet_matrix_against_lifting():
         x = rnd.normal(size=n)
         assert np.allclose(T.wavelet_matrix(n) @ x, lifted(x))
     assert np.allclose(T.wavelet_matrix(8)[4:] @ np.ones(8), 0, atol=1e-6)  # flat samples have no details
+    assert np.allclose(T.wavelet_matrix(8)[:4] @ np.ones(8), 2 ** 0.5, atol=1e-5)
     block = rnd.normal(size=(8, 8))
     want = block.copy()
     for n in (8, 4, 2):
