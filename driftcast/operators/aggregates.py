@@ -28,8 +28,9 @@ def log_auc(df: DataFrame, group: list[str], t: str, value: str) -> DataFrame:
 def upper_percentile(x: str, p: float) -> Column:
     """Sorted value number floor(p * n), from 0, or the last.
 
-    A discrete percentile a hair above p is that value; it counts equal values before the
-    shuffle, so a group is never gathered as a list of its rows.
+    A discrete percentile a hair above p is that value. It counts equal values before the
+    shuffle; the task of a group holds each of its distinct values once, which for measures of
+    fine grain is about one a row, so groups are meant to be of a size that a task can hold.
     """
     return F.expr(f"percentile_disc({min(1.0, p + 1e-12)!r}D) within group (order by `{x}`)")
 

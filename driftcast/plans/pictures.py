@@ -306,7 +306,7 @@ def shape_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 59 + 16).alias("bits"))
 
 
-@query("UDF-02", sql=f"""WITH {R}, a AS (SELECT image, codec, t AS mark, list_sort(list(DISTINCT seed % 16)) AS state FROM r GROUP BY ALL), d AS (SELECT DISTINCT state FROM a), q AS (SELECT state, list_sum(list_transform(state, lambda s: s * s))::BIGINT AS score FROM d)
+@query("SET-03", sql=f"""WITH {R}, a AS (SELECT image, codec, t AS mark, list_sort(list(DISTINCT seed % 16)) AS state FROM r GROUP BY ALL), d AS (SELECT DISTINCT state FROM a), q AS (SELECT state, list_sum(list_transform(state, lambda s: s * s))::BIGINT AS score FROM d)
 SELECT image, codec, mark, sha1(array_to_string(a.state, ',')) AS state, score FROM a JOIN q ON a.state = q.state""")
 def memoised_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A costly score computed once for each distinct state and joined back."""
