@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,9 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder; the loop ends only when a round changes nothing, which takes about the
     logarithm of the longest path in rounds.
     """
-    cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    cur = written(cur, "links")
-    mark = _digest(cur)
+    cur, mark = _digested(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while mark[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -87,8 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = large.join(small, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        cur = written(step.filter("u <> v").distinct(), "links")
-        now = _digest(cur)
+        cur, now = _digested(step.filter("u <> v").distinct())
         if now == mark:
             break
         mark = now
@@ -96,5 +93,9 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _digested(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, with their number and the sum of their hashes, observed while they are written."""
+    seen = Observation()
+    total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "links")
+    return out, (seen.get["n"], seen.get["total"])

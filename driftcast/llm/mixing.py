@@ -62,14 +62,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"),
                        F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").alias("key"), *extra)
     rows = rows.withColumn("bucket", F.floor(F.col("key") / F.lit((1 << 48) // buckets)).cast("int"))
-    sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
+    # Words are counted once; the sums, the cut and, if no columns are kept, the result follow from these few bytes a row.
+    light = written(rows.select("doc_id", "source", "size", "key", "bucket"), "mix-sizes")
+    sums = written(light.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
     per_source = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0)
     per_source = per_source.withColumn("whole", whole.cast("long"))
     rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + F.lit(0.5))
     per_source = per_source.withColumn("rest", F.least(rest.cast("long"), F.col("source_size")))
     ends = written(_crossing(sums, per_source.select("source", "rest"), "bucket"), "mix-ends")
-    near = rows.select("source", "bucket", "key", "size").join(
+    near = light.select("source", "bucket", "key", "size").join(
         ends.select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), F.col("room").alias("rest")),
         F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
     keys = near.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plan = per_source.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
         F.col("source").alias("p_source"), "source_size", "target", "whole", "cut_key", "room", "cut_size")
     # One row per source, written: its size is known to the planner, which broadcasts it only if small.
-    got = rows.join(written(plan, "mix-plan"), F.col("source").eqNullSafe(F.col("p_source")))
+    got = (rows if keep else light).join(written(plan, "mix-plan"), F.col("source").eqNullSafe(F.col("p_source")))
     part = (F.when(F.col("key") < F.col("cut_key"), F.col("size"))
             .when(F.col("key") == F.col("cut_key"), F.expr("size * room div cut_size")).otherwise(F.lit(0)))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("whole") + part).alias("taken"),

@@ -642,3 +642,20 @@ def test_batches_are_cut_without_a_session_setting(spark):
     got = map_batches(df, run, "n long, size long", 100_000).collect()
     assert sum(r["n"] for r in got) == 3001 and all(r["size"] <= 100_000 or r["n"] == 1 for r in got)
     assert {k: v for k, v in spark.conf.getAll.items() if "arrow" in k.lower()} == before
+
+
+@pytest.mark.parametrize("name", ["op2_decontamination", "op4_line_dedup", "op6_mixing"])
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    from driftcast.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    got = c.execute(ORACLES[name])
+    cols = [x[0] for x in got.description]
+    want = sorted(tuple(map(str, r)) for r in got.fetchall())
+    rows_ = QUERIES[name](spark, sf).collect()
+    assert want and sorted(tuple(str(r[k]) for k in cols) for r in rows_) == want

@@ -1,12 +1,18 @@
 """The pipeline's stages and its run, against their operators' brute-force rules."""
 
 import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from driftcast.llm import language_id
 from driftcast.llm.common import written
 
 from .conftest import CLASHES, ITEM, rows
-from .test_operators import brute_components, brute_simhash, table
+from .test_operators import brute_components, brute_simhash, low, table
 
 
 def test_stages_keep_columns_and_bear_odd_rows(spark, clashing, empty, benchmark, tmp_path):
@@ -27,18 +33,89 @@ def test_one_of_each_group_stays(spark, docs, tmp_path):
     assert sorted(got) == sorted({ids[r] for r in roots})
 
 
-def test_run(spark, docs, benchmark, tmp_path):
+def cut(text, items):
+    """The text without windows of the items, cut again until none is left; None if over half of its words are in windows."""
+    first = True
+    while True:
+        at = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))]
+        words, hit = [low(text)[x:y] for x, y in at], set()
+        for item in items:
+            n = min(10, len(item))
+            windows = {tuple(item[k:k + n]) for k in range(len(item) - n + 1)}
+            for j in range(len(words) - n + 1):
+                if tuple(words[j:j + n]) in windows:
+                    hit.update(range(j, j + n))
+        if not hit:
+            return text
+        if first and len(hit) > len(words) / 2:
+            return None
+        first, out, k, done = False, [], 0, 0
+        while k < len(words):
+            if k in hit:
+                end = k
+                while end + 1 in hit:
+                    end += 1
+                out.append(text[done:at[k][0]])
+                done, k = at[end][1], end
+            k += 1
+        text = "".join(out) + text[done:]
+
+
+def test_run_against_plain_loops(spark, docs, benchmark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = table(corpus_pipeline.run(spark, str(tmp_path)))
-    step, seen = docs, []
+    stages, steps = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        step = written(stage(spark, step, str(tmp_path)), name)
-        seen.append(step.count())
-    kept = table(step)
-    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in kept) and {1, 3, 6, 7} <= {r["doc_id"] for r in kept} | {1, 3, 6, 7}
-    assert not any(ITEM.upper() in r["text"] for r in kept) and not {2, 4, 5, 9, 10} & {r["doc_id"] for r in kept}
-    assert sum(len(re.findall(r"\S+", r["text"])) for r in kept) > 0 and step.filter("text is null").count() == 0
+        stages = written(stage(spark, stages, str(tmp_path)), name)
+        steps[name] = [tuple(r) for r in stages.collect()]
+    key = lambda r: repr(tuple(r))
+    # Language: the classifier, one text after another.
+    tools = language_id.Compressors(language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"), 5, 0))))
+    want = [d for d in rows() if not tools.classify(d[1])[2]]
+    assert sorted(steps["language_id"], key=key) == sorted(want, key=key) and {1, 3, 6, 7} <= {d[0] for d in want} and not {4, 5, 9, 10} & {d[0] for d in want}
+    # Near copies: of all pairs of exact similarity, the smallest id of each group.
+    root, _ = five_word_groups([d[1] for d in want])
+    best = {}
+    for r, d in zip(root, want):
+        if r not in best or (d[0] is None, d[0] or 0) < (best[r][0] is None, best[r][0] or 0):
+            best[r] = d
+    want = list(best.values())
+    assert sorted(steps["near_copies"], key=key) == sorted(want, key=key) and len(want) < len(best) + 1 and 2 not in {d[0] for d in want}
+    # Benchmark passages: cut by windows.
+    items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(r["text"])) for r in benchmark.collect() if r["item_id"] and r["text"]]
+    new = [(d, cut(d[1], items)) for d in want]
+    want = [d if t == d[1] else (d[0], t, d[2], d[3], len(t)) for d, t in new if t is not None]
+    assert sorted(steps["decontamination"], key=key) == sorted(want, key=key) and any(d[0] == 7 and ITEM.upper() not in d[1] for d in want)
+    # Mixing: each source's words against targets by repeated sharing.
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total, taken = {}, {}
+    for d in want:
+        total[d[3]] = total.get(d[3], 0) + size(d[1])
+    for d in steps["mixing"]:
+        taken[d[3]] = taken.get(d[3], 0) + size(d[1])
+        assert any(w[0] == d[0] and w[1].startswith(d[1]) for w in want)
+    names = sorted((x for x in total if x is not None)) + [None] * (None in total)
+    weight, fixed = {x: k % 3 + 1 for k, x in enumerate(names)}, {}
+    while True:
+        free = [x for x in names if x not in fixed]
+        rest = sum(total.values()) - sum(fixed.values())
+        level = {x: rest * weight[x] / sum(weight[y] for y in free) for x in free}
+        over = [x for x in free if level[x] > 3 * total[x]]
+        if not over:
+            break
+        fixed |= {x: 3 * total[x] for x in over}
+    assert all(abs(taken.get(x, 0) - (fixed | level)[x]) <= 1 for x in names)
+    # Token files: the tokenizer, in ascending order of ids.
+    from tokenizers import Tokenizer
+
+    t, got, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), table(corpus_pipeline.run(spark, str(tmp_path))), 0
+    left = [(d[0], t.encode(d[1], add_special_tokens=False).ids + [2]) for d in steps["mixing"]]
+    assert len(got) == len(left)
+    for r in sorted(got, key=lambda r: r["start"]):
+        mine = next(x for x in left if x[0] == r["doc_id"] and zlib.crc32(np.array(x[1], "<u4").tobytes()) == r["ids_crc32"])
+        left.remove(mine)
+        assert (r["start"], r["n_tokens"]) == (start, len(mine[1]))
+        start += len(mine[1])
 
 
 def test_queries_are_registered():
