@@ -238,3 +238,55 @@ def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = got.select(F.lit(label).alias("label"), "name", "n", F.lit(int(made)).alias("made"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+_SCORE = "round(CASE WHEN avg(pow({0}, 2)) = 0 THEN 99 ELSE 10 * log10(65025 / avg(pow({0}, 2))) END, 6)"
+
+
+@query("EVL-09", "EVL-11", sql=f"""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, e[i + 1]::DOUBLE * 127 + 128 AS v FROM (SELECT vec_id, embedding AS e, unnest(range(64)) AS i FROM embeddings)),
+q AS (SELECT *, floor(v / step + 0.5) * step AS c FROM p, (SELECT unnest([2, 8, 32])::INTEGER AS step)),
+h AS (SELECT vec_id, step, avg(v) - avg(c) AS d FROM q GROUP BY vec_id, step, y // 2, x // 2), s AS (SELECT vec_id, step, {_SCORE.format('d')} AS half FROM h GROUP BY ALL),
+w AS (SELECT vec_id, step, {_SCORE.format('v - c')} AS whole, {_SCORE.format('CASE WHEN y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6 THEN v - c END')} AS crop FROM q GROUP BY ALL)
+SELECT w.vec_id, w.step, whole, crop, half FROM w JOIN s ON w.vec_id = s.vec_id AND w.step = s.step""")
+def region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal-to-noise ratio of quantised pictures as a whole, in a fixed crop, and at half the scale."""
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    p = p.select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), (F.col("e").cast("double") * 127 + 128).alias("v"), F.explode(F.array(*[F.lit(k) for k in (2, 8, 32)])).alias("step"))
+    p = p.withColumn("d", F.col("v") - F.floor(F.col("v") / F.col("step") + 0.5) * F.col("step"))
+    # Boxes of four first: their mean difference is the half scale's, and sums of squares go on to the whole and the crop.
+    inside = F.col("y").between(2, 5) & F.col("x").between(1, 6)
+    square = F.col("d") * F.col("d")
+    box = p.groupBy("vec_id", "step", F.floor(F.col("y") / 2), F.floor(F.col("x") / 2)).agg(
+        F.avg("d").alias("d"), F.sum(square).alias("all"), F.sum(F.when(inside, square)).alias("some"), F.count_if(inside).alias("n"))
+    score = lambda e: F.round(F.when(e == 0, 99.0).otherwise(10 * F.log10(65025 / e)), 6)
+    return box.groupBy("vec_id", "step").agg(score(F.sum("all") / 64).alias("whole"), score(F.sum("some") / F.sum("n")).alias("crop"), score(F.avg(F.col("d") * F.col("d"))).alias("half"))
+
+
+@query("EVL-10", "EVL-17", sql="""WITH s AS (SELECT p_partkey, p_size::DOUBLE AS w, (1 + p_partkey % 40)::DOUBLE AS h FROM part WHERE p_size > 0),
+f AS (SELECT *, least(512 / w, 512 / h) AS k FROM s WHERE abs(w / h - 1) >= 0.02), r AS (SELECT *, greatest(1, floor(w * k + 0.5))::BIGINT AS rw, greatest(1, floor(h * k + 0.5))::BIGINT AS rh FROM f)
+SELECT p_partkey, (512 - rw) // 2 AS x0, (512 - rh) // 2 AS y0, rw, rh, round(1 - rw * rh / 262144.0::DOUBLE, 6) AS padded, round(greatest(w / h, h / w), 6) AS stretch FROM r""")
+def letterbox_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where pictures that are not square lie in a square canvas, what of it is padding, and how far stretching would distort them."""
+    s = table(spark, sf_dir, "part").filter("p_size > 0").select("p_partkey", F.col("p_size").cast("double").alias("w"), (1 + F.col("p_partkey") % 40).cast("double").alias("h"))
+    s = s.filter(F.abs(F.col("w") / F.col("h") - 1) >= 0.02).withColumn("k", F.least(512 / F.col("w"), 512 / F.col("h")))
+    side = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) * F.col("k") + 0.5))
+    r = s.withColumn("rw", side("w")).withColumn("rh", side("h"))
+    edge = lambda c: F.floor((512 - F.col(c)) / 2)
+    return r.select("p_partkey", edge("rw").alias("x0"), edge("rh").alias("y0"), "rw", "rh", F.round(1 - F.col("rw") * F.col("rh") / 262144, 6).alias("padded"),
+                    F.round(F.greatest(F.col("w") / F.col("h"), F.col("h") / F.col("w")), 6).alias("stretch"))
+
+
+@query("EVL-17", sql="""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, e[i + 1]::DOUBLE * 127 + 128 AS v FROM (SELECT vec_id, embedding AS e, unnest(range(64)) AS i FROM embeddings)),
+b AS (SELECT vec_id, y // 2 AS gy, x // 2 AS gx, floor(avg(v) + 0.5) AS m FROM p GROUP BY ALL)
+SELECT p.vec_id, round(avg(m) - avg(v), 6) AS shift, round(CASE WHEN avg(pow(v - m, 2)) = 0 THEN 99 ELSE 10 * log10(65025 / avg(pow(v - m, 2))) END, 6) AS psnr
+FROM p JOIN b ON p.vec_id = b.vec_id AND y // 2 = gy AND x // 2 = gx GROUP BY p.vec_id""")
+def downscale_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far halving a picture by rounded boxes shifts its mean, and the error of the boxes against the samples."""
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    p = p.select("vec_id", F.floor(F.col("i") / 16).alias("by"), F.floor(F.col("i") % 8 / 2).alias("bx"), (F.col("e").cast("double") * 127 + 128).alias("v"))
+    b = p.groupBy("vec_id", "by", "bx").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.collect_list("v").alias("four"))  # four samples
+    m = F.floor(F.col("s") / 4 + 0.5)
+    error = F.aggregate("four", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m")))
+    b = b.withColumn("m", m).withColumn("error", error)
+    mse = F.sum("error") / 64
+    return b.groupBy("vec_id").agg(F.round(F.avg("m") - F.sum("s") / 64, 6).alias("shift"), F.round(F.when(mse == 0, 99.0).otherwise(10 * F.log10(65025 / mse)), 6).alias("psnr"))

@@ -100,3 +100,23 @@ def cell_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = samples(K.blocks(table(spark, sf_dir, "embeddings"), 128.0), "vec_id", "block", 8)
     p = p.join(F.broadcast(cells.select(F.col("c").alias("cy"), F.col("s").alias("y"))), "y").join(F.broadcast(cells.select(F.col("c").alias("cx"), F.col("s").alias("x"))), "x")
     return p.groupBy("vec_id", "cy", "cx").agg((F.avg("v") > 128).alias("bit"))
+
+
+@query("SNK-03", sql="SELECT l_returnflag AS codec, l_linestatus AS policy, count(*) AS n FROM lineitem GROUP BY ALL")
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small aggregate as a table in Markdown, read again."""
+    path = f"{shared_dir(spark, 'report')}/report.md"
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("codec"), F.col("l_linestatus").alias("policy")).agg(F.count("*").alias("n"))
+    logs.write_text("# Rows by codec and policy\n\n" + logs.markdown(rows.orderBy("codec", "policy")) + "\n", path)
+    cells = logs.markdown_rows(spark, path).filter(F.col("cells")[0] != "codec")
+    return cells.select(F.col("cells")[0].alias("codec"), F.col("cells")[1].alias("policy"), F.col("cells")[2].cast("long").alias("n"))
+
+
+@query("SNK-04", sql="SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def history_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history file that a newer one takes the place of: the ten dearest orders, after those of one day."""
+    path = f"{shared_dir(spark, 'history')}/history.json"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    logs.replace_history(rows.limit(3), path)
+    logs.replace_history(rows.limit(10), path)
+    return logs.json_folder(spark, path, "o_orderkey long, o_totalprice double")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from urllib.parse import quote
 
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,3 +86,28 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
         raise ValueError(f"a report has {limit} rows at most")
     line = lambda xs: "| " + " | ".join("-" if x is None else str(x) for x in xs) + " |"
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])
+
+
+def write_text(text: str, path: str) -> None:
+    """Puts a small text into one file in place of what was there: written beside it, then renamed, so readers see the old or the new one."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    mine = f"{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(mine) as out:
+        out.write(text.encode())
+    fs.move(mine, name)
+
+
+def replace_history(df: DataFrame, path: str, limit: int = 10) -> None:
+    """A history of at most limit rows as one JSON file in place of the old one; more rows are an error."""
+    rows = df.limit(limit + 1).toJSON().collect()
+    if len(rows) > limit:
+        raise ValueError(f"a history has {limit} rows at most")
+    write_text("[" + ",\n".join(rows) + "]\n", path)
+
+
+def markdown_rows(spark: SparkSession, path: str) -> DataFrame:
+    """cells of each row of a table in Markdown, without its head."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter(F.startswith("value", F.lit("|")) & ~F.startswith("value", F.lit("| ---")))
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\| ?| ?\|$", ""), r" \| "), F.trim)
+    return lines.select(cells.alias("cells"))

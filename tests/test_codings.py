@@ -115,3 +115,19 @@ def test_schedules_against_plain_rules(spark):
                 else:
                     assert r["d"] == (few + j % (rest + 1) if j % (rest + 1) < rest else j // (rest + 1) % few)
         assert {r["t"] for r in got} == set(range(n))
+
+
+def test_histories_are_replaced_and_bounded(spark, tmp_path):
+    import pytest
+
+    from driftcast.sources import logs
+
+    path = f"file://{tmp_path}/a/history.json"
+    for n in (3, 10):
+        logs.replace_history(spark.range(n), path)
+        assert logs.json_folder(spark, path, "id long").count() == n
+    with pytest.raises(ValueError):
+        logs.replace_history(spark.range(11), path)
+    assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")] == ["history.json"]
+    logs.write_text(logs.markdown(spark.createDataFrame([("a b", None), ("c", 2)], "x string, y int")), f"file://{tmp_path}/r.md")
+    assert [r["cells"] for r in logs.markdown_rows(spark, f"file://{tmp_path}/r.md").collect()] == [["x", "y"], ["a b", "-"], ["c", "2"]]
