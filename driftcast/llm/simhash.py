@@ -172,7 +172,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = 1024) -> DataFrame
     hot = per_tile.groupBy("band", "value").agg(
         F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("count") / tile).cast("int")))).alias("chunks"))
     hot = hot.filter(F.col("n") > tile).drop("n")  # a map of at most 65 counts
-    marked = rows.join(hot, ["band", "value"], "left")
+    # A large bucket's one row is repeated for each salt, so that its nodes meet it in as many places.
+    salts = 16
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marked = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(hot, ["band", "value", "salt"], "left")
     one = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("c"), F.lit(-1).alias("q"), F.lit(0).alias("d"), F.lit(2).alias("side")))
     many = F.expr(f"""
         flatten(transform(filter(map_keys(chunks), q -> abs(q - pop) <= {radius}), q ->
