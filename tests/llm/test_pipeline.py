@@ -11,7 +11,7 @@ import corpus_pipeline
 from driftcast.llm import language_id
 from driftcast.llm.common import written
 
-from .conftest import CLASHES, ITEM, rows
+from .conftest import CLASHES, DOCS, EN, ITEM, rows
 from .test_operators import brute_components, brute_simhash, low, table
 
 
@@ -61,7 +61,9 @@ def cut(text, items):
         text = "".join(out) + text[done:]
 
 
-def test_run_against_plain_loops(spark, docs, benchmark, tmp_path):
+def test_run_against_plain_loops(spark, benchmark, tmp_path):
+    data = rows() + [(50, f"{EN} before it. {ITEM.upper()}! And after it the cat and the dog were in the house by the river again.", "en", "b", 9)]
+    docs = spark.createDataFrame(data, DOCS)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
     stages, steps = docs, {}
@@ -71,8 +73,9 @@ def test_run_against_plain_loops(spark, docs, benchmark, tmp_path):
     key = lambda r: repr(tuple(r))
     # Language: the classifier, one text after another.
     tools = language_id.Compressors(language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"), 5, 0))))
-    want = [d for d in rows() if not tools.classify(d[1])[2]]
-    assert sorted(steps["language_id"], key=key) == sorted(want, key=key) and {1, 3, 6, 7} <= {d[0] for d in want} and not {4, 5, 9, 10} & {d[0] for d in want}
+    want = [d for d in data if not tools.classify(d[1])[2]]
+    assert sorted(steps["language_id"], key=key) == sorted(want, key=key)
+    assert {1, 3, 6, 50} <= {d[0] for d in want} and not {4, 5, 9, 10} & {d[0] for d in want}
     # Near copies: of all pairs of exact similarity, the smallest id of each group.
     root, _ = five_word_groups([d[1] for d in want])
     best = {}
@@ -85,7 +88,7 @@ def test_run_against_plain_loops(spark, docs, benchmark, tmp_path):
     items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(r["text"])) for r in benchmark.collect() if r["item_id"] and r["text"]]
     new = [(d, cut(d[1], items)) for d in want]
     want = [d if t == d[1] else (d[0], t, d[2], d[3], len(t)) for d, t in new if t is not None]
-    assert sorted(steps["decontamination"], key=key) == sorted(want, key=key) and any(d[0] == 7 and ITEM.upper() not in d[1] for d in want)
+    assert sorted(steps["decontamination"], key=key) == sorted(want, key=key) and any(d[0] == 50 and ITEM.upper() not in d[1] and d[1].startswith(EN) for d in want)
     # Mixing: each source's words against targets by repeated sharing.
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     total, taken = {}, {}
