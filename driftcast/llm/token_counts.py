@@ -94,6 +94,15 @@ def _unpacked(data: bytes):
     return pickle.loads(zstandard.decompress(data))
 
 
+def _planes(places: np.ndarray) -> np.ndarray:
+    """Differences of places as four planes of bytes, which compress far better than the numbers."""
+    return np.diff(places, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _places(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.T.copy().view(np.int32).ravel(), dtype=np.int64)
+
+
 def frequencies(src: DataFrame, model_file: str, buckets: int) -> DataFrame:
     """unit, bucket, data: the pre-tokens of documents (doc_id, text), in units of some megabytes of text.
 
@@ -120,7 +129,7 @@ def frequencies(src: DataFrame, model_file: str, buckets: int) -> DataFrame:
             pair, freq = np.unique(doc * n + place[coded.indices.to_numpy()], return_counts=True)
             bounds = np.searchsorted(pair, np.arange(len(texts) + 1) * n)
             sizes = np.array([len(t.encode()) for t in texts], np.int64)
-            rows = [(-1, _packed(b.column(0).to_pylist(), sizes, bounds, (pair % n).astype(np.int32), freq.astype(np.int32)))]
+            rows = [(-1, _packed(b.column(0).to_pylist(), sizes, bounds, _planes(pair % n), freq.astype(np.int32)))]
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
             rows += [(int(bucket[order[lo]]), _packed([distinct[i] for i in order[lo:hi]])) for lo, hi in pairwise(cuts.tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -171,9 +180,9 @@ def count_tokens(df: DataFrame, model_file: str, doc_id: str = "doc_id", text: s
 
     def summed(t: pa.Table) -> pa.Table:
         rows = sorted(zip(t["bucket"].to_pylist(), t["data"].to_pylist()))
-        ids, sizes, bounds, place, freq = _unpacked(rows[0][1])
+        ids, sizes, bounds, planes, freq = _unpacked(rows[0][1])
         pieces = np.concatenate([np.zeros(0, np.int64), *(_unpacked(data)[0] for _, data in rows[1:])]).astype(np.int64)
-        sums = np.concatenate(([0], np.cumsum(pieces[place] * freq)))[bounds]
+        sums = np.concatenate(([0], np.cumsum(pieces[_places(planes)] * freq)))[bounds]
         n_tokens = np.diff(sums)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes), "n_tokens": pa.array(n_tokens), "over_limit": pa.array(n_tokens > limit)})
 
