@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftcast.llm import decontamination, html_text, language_id, line_dedup, mixing, simhash, spotsigs, token_counts, token_files, toxicity
+from driftcast.llm import decontamination, html_text, language_id, line_dedup, mixing, quality, simhash, spotsigs, token_counts, token_files, toxicity
 from driftcast.llm.common import table
 
 
@@ -71,9 +71,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether the quality rules keep it."""
+    return quality.clean(table(spark, sf_dir, "documents")).drop("n_kept_lines", "clean_text")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_decontamination, op3_token_counts, op4_line_dedup, op5_html_text,
-    op6_mixing, op7_toxicity, op8_spotsigs, op9_token_files, op10_simhash)}
+    op6_mixing, op7_toxicity, op8_spotsigs, op9_token_files, op10_simhash, op13_quality_rules)}
 
 ORACLES = {
     "op2_decontamination": r"""
@@ -113,4 +118,5 @@ b AS (SELECT d.doc_id, size, source_size, target, whole, rest,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM b""",
+    "op13_quality_rules": quality.SQL,
 }
