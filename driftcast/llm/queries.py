@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftcast.llm import collocations, decontamination, html_text, language_id, line_dedup, mixing, quality, simhash, spotsigs, token_counts, token_files, toxicity
+from driftcast.llm import collocations, decontamination, html_text, language_id, line_dedup, mixing, periods, quality, simhash, spotsigs, token_counts, token_files, toxicity
 from driftcast.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, one in ten of which is made periodic."""
+    return periods.digest(periods.runs(periods.made_periodic(table(spark, sf_dir, "documents"))))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of two and three words of every language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -83,7 +88,7 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_decontamination, op3_token_counts, op4_line_dedup, op5_html_text,
-    op6_mixing, op7_toxicity, op8_spotsigs, op9_token_files, op10_simhash, op12_collocations, op13_quality_rules)}
+    op6_mixing, op7_toxicity, op8_spotsigs, op9_token_files, op10_simhash, op11_periodic_runs, op12_collocations, op13_quality_rules)}
 
 ORACLES = {
     "op2_decontamination": r"""
@@ -123,6 +128,7 @@ b AS (SELECT d.doc_id, size, source_size, target, whole, rest,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM b""",
+    "op11_periodic_runs": periods.SQL,
     "op12_collocations": collocations.SQL,
     "op13_quality_rules": quality.SQL,
 }
