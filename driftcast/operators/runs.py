@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, cycle
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,60 +105,66 @@ def packets(levels: DataFrame, key: str, column: str, cap: int, layout: RunLayou
     return rows.select(key, "packet", "p.*")
 
 
-def _parsed(payload: str, lay: RunLayout) -> Iterator[tuple[int, int]]:
-    """Positions and levels of one packet; what is cut off at its end is left out."""
-    at = 0
-
-    def take(n: int) -> int:
-        nonlocal at
-        if at + n > len(payload):
-            raise EOFError
-        at += n
-        return int(payload[at - n:at] or "0", 2)
-
-    def golomb(order: int) -> int:
-        zeros = 0
-        while take(1) == 0:
-            zeros += 1
-        return ((1 << (zeros + order)) | take(zeros + order)) - (1 << order)
-
-    def signed(u: int) -> int:
-        return (u + 1) // 2 if u % 2 else -(u // 2)
-
-    try:
-        group = take(lay.group_bits)
-        place = lay.starts[group] + (take(lay.index_bits(group)) << lay.aligns[group])
-        last, padding = 0, place >= lay.dense
-        while place < lay.total:
-            if place < lay.dense:
-                last += signed(golomb(lay.first_order))
-                yield place, last
-                place, padding = place + 1, False
-                continue
-            run = golomb(lay.run_order)
-            level = signed(golomb(lay.level_order))
-            if place + run >= lay.total:
-                return
-            if not padding:  # zeros between two levels of one packet are its own; those before its first level are not
-                yield from ((k, 0) for k in range(place, place + run))
-            yield place + run, level
-            place, padding = place + run + 1, False
-    except (EOFError, IndexError):
-        return
-
-
-def decoded(received: DataFrame, key: str, layout: RunLayout | None = None) -> DataFrame:
-    """key, position, level of what received packets say (key, payload), whatever their order and however often they came.
-
-    Packets of one picture agree where they overlap, so the greatest value of a position is its value.
+def _codes(payload: str, at: int, orders: Iterable[int]) -> Iterator[int]:
+    """Values of the Exp-Golomb codes of the given orders from a place on, until one is cut off."""
+    for order in orders:
+        one = payload.find("1", at)
+        end = 2 * one - at + order + 1
+        if one < 0 or end > len(payload):
+            return
+        yield int(payload[one:end], 2) - (1 << order)
+        at = end
+
+
+def _unfolded(values: np.ndarray) -> np.ndarray:
+    return np.where(values % 2 == 1, (values + 1) // 2, -(values // 2))
+
+
+def packet_values(payload: str, lay: RunLayout) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and levels that one packet states; what is cut off at its end is left out.
+
+    First all codes are read; then dense levels are running sums of differences, sparse positions running sums of
+    runs, and the zeros that a packet states are the positions up to its last level that no level has. Runs
+    before the first level of a packet that begins beyond the dense part state nothing.
+    """
+    none = np.zeros(0, np.int64)
+    head = lay.group_bits
+    group = int(payload[:head], 2) if len(payload) >= head else len(lay.starts)
+    if group >= len(lay.starts) or len(payload) < head + lay.index_bits(group):
+        return none, none
+    index = int("0" + payload[head:head + lay.index_bits(group)], 2)
+    place = lay.starts[group] + (index << lay.aligns[group])
+    first = max(0, lay.dense - place)
+    found = list(_codes(payload, head + lay.index_bits(group), chain([lay.first_order] * first, cycle((lay.run_order, lay.level_order)))))
+    dense = np.cumsum(_unfolded(np.array(found[:first], np.int64)))
+    pairs = np.array(found[first:], np.int64)[: max(0, len(found) - first) // 2 * 2].reshape(-1, 2)
+    at = max(place, lay.dense) + np.cumsum(pairs[:, 0] + 1) - 1
+    inside = at < lay.total
+    at, levels = at[inside], _unfolded(pairs[inside, 1])
+    zeros = none
+    if len(at):
+        zeros = np.setdiff1d(np.arange(lay.dense if first else at[0], at[-1]), at, assume_unique=True)
+    return np.concatenate((place + np.arange(len(dense)), at, zeros)), np.concatenate((dense, levels, np.zeros(len(zeros), np.int64)))
+
+
+def decoded(received: DataFrame, key: str, layout: RunLayout | None = None, arrival: str | None = None) -> DataFrame:
+    """key, position, level of what received packets (key, payload) say, however often they came.
+
+    With a column of their arrival the last packet that states a position wins, so a clean packet repairs what a
+    corrupted one has left; packets of equal arrival go by their payload. Without it packets must agree, as those of one
+    picture do; a position on which they do not is decided by the greatest payload.
     """
     lay = layout or RunLayout()
+    when = F.col(arrival).cast("long") if arrival else F.lit(0).cast("long")
 
     def run(frames):
         for f in frames:
-            rows = [(k, p, v) for k, payload in zip(f[key], f["payload"]) for p, v in _parsed(payload, lay)]
-            yield pd.DataFrame(rows, columns=[key, "position", "level"]).astype({"position": "int32", "level": "int64"})
+            each = [packet_values(p, lay) for p in f["payload"]]
+            n = [len(p) for p, _ in each]
+            yield pd.DataFrame({key: f[key].repeat(n).to_numpy(), "position": np.concatenate([p for p, _ in each]), "level": np.concatenate([v for _, v in each]),
+                                "payload": f["payload"].repeat(n).to_numpy(), "arrival": f["_arrival"].repeat(n).to_numpy()}).astype({"position": "int32"})
 
     kind = received.schema[key].dataType.simpleString()
-    got = received.select(key, "payload").filter("payload is not null").distinct().mapInPandas(run, f"`{key}` {kind}, position int, level long")
-    return got.groupBy(key, "position").agg(F.max_by("level", F.abs("level")).alias("level"))
+    got = received.select(key, "payload", when.alias("_arrival")).filter("payload is not null").groupBy(key, "payload").agg(F.max("_arrival").alias("_arrival"))
+    got = got.mapInPandas(run, f"`{key}` {kind}, position int, level long, payload string, arrival long")
+    return got.groupBy(key, "position").agg(F.max_by("level", F.struct("arrival", "payload")).alias("level"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,28 +228,39 @@ def weighted_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("u * tot >= hi - l_quantity and u * tot < hi").select("stream", "u", "l_orderkey", "l_linenumber")
 
 
-@query("MTH-23", sql="""WITH g AS (SELECT l_suppkey AS stream, l_quantity::INTEGER AS packet, round(avg(l_discount), 6) AS gain FROM lineitem GROUP BY ALL),
-n AS (SELECT *, row_number() OVER w AS k, sum(gain) OVER w AS run FROM g WINDOW w AS (PARTITION BY stream ORDER BY packet)),
-p AS (SELECT a.stream, a.k AS lo, b.k AS hi, (b.run - a.run + a.gain) / (b.k - a.k + 1) AS m FROM n a JOIN n b ON a.stream = b.stream AND a.k <= b.k),
+#: A common multiple of all pool sizes: means of up to 50 gains are whole multiples of its inverse.
+_COMMON = math.lcm(*range(1, 51))
+
+
+@query("MTH-23", sql=f"""WITH c AS (SELECT l_suppkey AS stream, l_quantity::INTEGER AS packet, sum(round(l_discount * 100)::BIGINT)::BIGINT AS s, count(*) AS n FROM lineitem GROUP BY ALL),
+g AS (SELECT stream, packet, (20000 * s + n) // (2 * n) AS gain FROM c), n AS (SELECT *, row_number() OVER w AS k, sum(gain) OVER w AS run FROM g WINDOW w AS (PARTITION BY stream ORDER BY packet)),
+p AS (SELECT a.stream, a.k AS lo, b.k AS hi, (b.run - a.run + a.gain)::HUGEINT * ({_COMMON}::HUGEINT // (b.k - a.k + 1)) AS m FROM n a JOIN n b ON a.stream = b.stream AND a.k <= b.k),
 t AS (SELECT n.stream, n.k, lo, max(m) AS m FROM n JOIN p ON n.stream = p.stream AND lo <= n.k AND hi >= n.k GROUP BY ALL)
-SELECT n.stream, packet, gain, round(min(m), 6) AS pooled FROM t JOIN n ON n.stream = t.stream AND n.k = t.k GROUP BY ALL""")
+SELECT n.stream, packet, gain / 1000000.0::DOUBLE AS gain, ((2 * min(m) + {_COMMON}::HUGEINT) // (2 * {_COMMON}::HUGEINT))::BIGINT / 1000000.0::DOUBLE AS pooled FROM t JOIN n ON n.stream = t.stream AND n.k = t.k GROUP BY ALL""")
 def pooled_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean gains of a stream's packets, neighbours pooled until they never rise."""
+    """Mean gains of a stream's packets, neighbours pooled until they never rise, in whole millionths throughout.
+
+    Halves round up once, at the end; pools are compared by cross multiplication, so no sum depends on an order.
+    """
     import pandas as pd
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("packet")
-        pools: list[list[float]] = []
-        for g in pdf["gain"]:
-            pools.append([g, 1])
-            while len(pools) > 1 and pools[-1][0] / pools[-1][1] > pools[-2][0] / pools[-2][1]:
-                s, n = pools.pop()
-                pools[-1] = [pools[-1][0] + s, pools[-1][1] + n]
-        pdf["pooled"] = [s / n for s, n in pools for _ in range(int(n))]
+        pools: list[tuple[int, int]] = []
+        for g in pdf["gain"].tolist():
+            total, size = g, 1
+            while pools and total * pools[-1][1] > pools[-1][0] * size:
+                t, n = pools.pop()
+                total, size = total + t, size + n
+            pools.append((total, size))
+        pdf["pooled"] = [(2 * t + n) // (2 * n) for t, n in pools for _ in range(n)]
         return pdf
 
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("stream"), F.col("l_quantity").cast("int").alias("packet")).agg(F.round(F.avg("l_discount"), 6).alias("gain"))  # 50 packets a stream
-    return g.groupBy("stream").applyInPandas(pool, "stream long, packet int, gain double, pooled double").withColumn("pooled", F.round("pooled", 6))
+    cents = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("stream"), F.col("l_quantity").cast("int").alias("packet")).agg(
+        F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("s"), F.count("*").alias("n"))  # 50 packets a stream
+    g = cents.select("stream", "packet", F.expr("(20000 * s + n) div (2 * n)").alias("gain"))
+    got = g.groupBy("stream").applyInPandas(pool, "stream long, packet int, gain long, pooled long")
+    return got.select("stream", "packet", (F.col("gain") / 1000000).alias("gain"), (F.col("pooled") / 1000000).alias("pooled"))
 
 
 @query("CHN-09", "EVL-21")

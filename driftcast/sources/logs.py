@@ -79,12 +79,31 @@ def latest(df: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
     return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
 
+#: What a cell writes as character references, so that it is one cell of one line and no null.
+_REFERENCES = {"&": "&#38;", "|": "&#124;", "\n": "&#10;", "\r": "&#13;"}
+
+
+def _cell(x: object) -> str:
+    if x is None:
+        return "-"
+    text = "".join(_REFERENCES.get(c, c) for c in str(x))
+    if text == "-":
+        return "&#45;"
+    inner = text.strip()
+    blanks = lambda part: "".join(f"&#{ord(c)};" for c in part)
+    lead = len(text) - len(text.lstrip())
+    return blanks(text[:lead]) + inner + blanks(text[lead + len(inner):])
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small aggregate as a table in Markdown; over limit rows it is an error."""
+    """A small aggregate as a table in Markdown; over limit rows it is an error.
+
+    Null is -; bars, ampersands, line ends, blanks at the ends and a lone - are character references.
+    """
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"a report has {limit} rows at most")
-    line = lambda xs: "| " + " | ".join("-" if x is None else str(x) for x in xs) + " |"
+    line = lambda xs: "| " + " | ".join(map(_cell, xs)) + " |"
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])
 
 
@@ -107,7 +126,16 @@ def replace_history(df: DataFrame, path: str, limit: int = 10) -> None:
 
 
 def markdown_rows(spark: SparkSession, path: str) -> DataFrame:
-    """cells of each row of a table in Markdown, without its head."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter(F.startswith("value", F.lit("|")) & ~F.startswith("value", F.lit("| ---")))
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\| ?| ?\|$", ""), r" \| "), F.trim)
-    return lines.select(cells.alias("cells"))
+    """cells of each row of the tables in a report, without their heads: null for -, character references decoded."""
+    lines = spark.read.text(path, wholetext=True).select(F.transform(F.split("value", "\r?\n"), lambda x: F.btrim(x)).alias("lines"))
+    rule = lambda x: x.rlike(r"^\|( *:?-{3,}:? *\|)+$")
+    body = F.filter("lines", lambda x, i: F.startswith(x, F.lit("|")) & ~rule(x) & ~F.coalesce(rule(F.get("lines", i + 1)), F.lit(False)))
+    rows = lines.select(F.explode(body).alias("line"))
+    parts = F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|")
+
+    def decoded(cell):
+        for c, reference in {"|": "&#124;", "\n": "&#10;", "\r": "&#13;", "-": "&#45;", " ": "&#32;", "\t": "&#9;", "&": "&#38;"}.items():  # the ampersand last
+            cell = F.replace(cell, F.lit(reference), F.lit(c))
+        return cell
+
+    return rows.select(F.transform(parts, lambda c: F.when(F.btrim(c) != "-", decoded(F.btrim(c)))).alias("cells"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftcast.functions import blocks as K
 from driftcast.functions import transforms as T
 from driftcast.operators import runs
+from driftcast.sources import logs
 
 
 def test_quality_steps():
@@ -70,6 +71,19 @@ def test_packets_decode_alike_in_any_order_and_more_than_once(spark):
         assert all(dict(data)[r["id"]][r["position"]] == r["level"] for r in some) and (some or cap == 400)
 
 
+def test_a_clean_packet_repairs_what_a_corrupted_one_left(spark):
+    """The last packet that arrives wins, whatever the size of its values."""
+    z = [40, 38, 41, 39] + [0, 7, 0, 0, -2] + [0] * 55
+    clean = runs.packets(spark.createDataFrame([(1, z)], "id long, z array<long>"), "id", "z", 400).first()["payload"]
+    wrong = runs.packets(spark.createDataFrame([(1, [900, -900, 0, 0] + [5, 700, 3, 0, 90] + [0] * 55)], "id long, z array<long>"), "id", "z", 400).first()["payload"]
+    for order, want in (([wrong, clean], z), ([clean, wrong, clean], z)):
+        df = spark.createDataFrame([(1, p, k) for k, p in enumerate(order)], "id long, payload string, k int")
+        got = {r["position"]: r["level"] for r in runs.decoded(df, "id", arrival="k").collect()}
+        assert [got.get(p, 0) for p in range(9)] == want[:9]
+    last = spark.createDataFrame([(1, clean, 0), (1, wrong, 5)], "id long, payload string, k int")
+    assert {r["position"]: r["level"] for r in runs.decoded(last, "id", arrival="k").collect()}[0] == 900
+
+
 def test_cut_packets_and_empty_tables(spark):
     df = spark.createDataFrame([(1, [5, -3, 0, 2] + [0] * 60)], "id long, z array<long>")
     units = runs.packets(df, "id", "z", 64)
@@ -80,7 +94,6 @@ def test_cut_packets_and_empty_tables(spark):
 
 
 def test_results_are_made_once_for_each_label(spark, tmp_path):
-    from driftcast.sources import logs
 
     calls = []
 
@@ -120,7 +133,6 @@ def test_schedules_against_plain_rules(spark):
 def test_histories_are_replaced_and_bounded(spark, tmp_path):
     import pytest
 
-    from driftcast.sources import logs
 
     path = f"file://{tmp_path}/a/history.json"
     for n in (3, 10):
@@ -130,4 +142,12 @@ def test_histories_are_replaced_and_bounded(spark, tmp_path):
         logs.replace_history(spark.range(11), path)
     assert [p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")] == ["history.json"]
     logs.write_text(logs.markdown(spark.createDataFrame([("a b", None), ("c", 2)], "x string, y int")), f"file://{tmp_path}/r.md")
-    assert [r["cells"] for r in logs.markdown_rows(spark, f"file://{tmp_path}/r.md").collect()] == [["x", "y"], ["a b", "-"], ["c", "2"]]
+    assert [r["cells"] for r in logs.markdown_rows(spark, f"file://{tmp_path}/r.md").collect()] == [["a b", None], ["c", "2"]]
+
+
+def test_cells_of_reports_come_back_whole(spark, tmp_path):
+    rows = [("b | c", "x"), ("-", None), (None, "- -"), ("0110", "1221"), ("2002", "&#124;"), ("a\nb\r", " pad\t"), ("", "---"), ("&amp;", "|"), ("| --- | --- |", ":---")]
+    df = spark.createDataFrame(rows, "p string, `q | r` string")
+    logs.write_text("# Head\n\n" + logs.markdown(df) + "\n\ntext\n\n" + logs.markdown(df.limit(1)) + "\n", f"file://{tmp_path}/all.md")
+    got = [tuple(r["cells"]) for r in logs.markdown_rows(spark, f"file://{tmp_path}/all.md").collect()]
+    assert got == rows + rows[:1]
