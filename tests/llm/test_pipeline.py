@@ -176,3 +176,70 @@ def test_near_copies_keep_rows_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
     got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (1, b), (None, c), (2, d)], key=repr)
+
+
+def families(seed, count, size, edits, shared):
+    """Versions of a text: each pair of twins shares some edits, so only twins are similar enough while all versions are near."""
+    import random
+
+    r = random.Random(seed)
+    texts = []
+    for f in range(count):
+        base = [f"w{f}x{r.randrange(10**6)}" for _ in range(804)]
+        for twin in range(size // 2):
+            places = r.sample(range(5, 799, 7), shared + 2 * (edits - shared))
+            both, own = places[:shared], (places[shared:edits], places[edits:])
+            for k in (0, 1):
+                words = list(base)
+                for p in [*both, *own[k]]:
+                    words[p] = f"e{f}t{twin}p{p}" if p in both else f"e{f}t{twin}k{k}p{p}"
+                texts.append(" ".join(words))
+    return texts
+
+
+def test_no_link_is_lost_among_versions_of_a_text(spark):
+    """Every pair of twins is one group although each has many nearer SimHashes that fail the exact test."""
+    from driftcast.llm import similar
+
+    texts = families(1, 3, 120, 12, 4) + families(2, 4, 20, 10, 5)
+    sets = [similar.shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if similar.jaccard(sets[i], sets[j]) >= 0.8:
+                near += 1
+                parent[root(j)] = root(i)
+    got = {r["doc_id"]: r["group"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert near >= 180 and len({root(i) for i in parent}) > 100
+    names = {}
+    for i in range(len(texts)):
+        assert names.setdefault(root(i), got[i]) == got[i]
+    assert len(set(names.values())) == len(names)
+
+
+def test_nearest_pairs_against_all_pairs():
+    import numpy as np
+
+    from driftcast.llm import similar
+
+    rnd = np.random.default_rng(5)
+    fp = rnd.integers(0, 2, (4, 90), np.uint64) * np.uint64(2**63 + 5) + rnd.integers(0, 2, (4, 90), np.uint64)
+    root, size = rnd.integers(0, 6, 90), rnd.integers(50, 80, 90)
+    gap = np.bitwise_count(fp[:, :, None] ^ fp[:, None, :]).sum(axis=0)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if gap[i, j] <= 4 and root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9}
+    seen, most = set(), 1
+    while True:
+        failed = np.array(sorted(seen | {(j, i) for i, j in seen}) or np.zeros((0, 2)), np.int64).T
+        got = set(zip(*(x.tolist() for x in similar.nearest_pairs(fp, root, size, 4, 0.8, most, (failed[0], failed[1]), strip=300))))
+        assert not got & seen
+        if not got:
+            break
+        seen, most = seen | got, most * 2
+    assert seen == want
