@@ -63,6 +63,21 @@ def wavelet_2d(side: int = 8, levels: int = 3) -> np.ndarray:
     return total
 
 
+@cache
+def haar_2d(side: int = 8, levels: int = 2) -> np.ndarray:
+    """Rows of an orthonormal Haar basis over the samples of a square block: sums and differences of pairs, the low quarter again for each level."""
+    one = np.eye(side)
+    for level in range(levels):
+        n = side >> level
+        step = np.eye(side)
+        step[:n, :n] = 0
+        for k in range(n // 2):
+            step[k, 2 * k:2 * k + 2] = 0.5**0.5
+            step[n // 2 + k, 2 * k:2 * k + 2] = 0.5**0.5, -(0.5**0.5)
+        one = step @ one
+    return np.kron(one, one)
+
+
 def apply_matrix(df: DataFrame, column: str, matrix: np.ndarray, out: str) -> DataFrame:
     """df with out, the product of a matrix and the array in a column; a batch is one matrix product.
 

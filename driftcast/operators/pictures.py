@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftcast.functions.transforms import LIFTING, SCALE
+
 
 def samples(blocks: DataFrame, key: str, block: str, width: int) -> DataFrame:
     """key, y, x, v of every sample of blocks kept in rows."""
@@ -47,20 +49,20 @@ def inside_ellipse(px: Column, py: Column) -> Column:
     return u * u / (F.col("rx") * F.col("rx")) + v * v / (F.col("ry") * F.col("ry")) <= 1
 
 
-def render(shapes: DataFrame, key: str, size: int, background: float = 128.0) -> DataFrame:
-    """key, y, x, v of pictures of ellipses laid over each other in the order of ord.
-
-    A shape is dealt to the pixels of its own bounding box, so the work is the shapes' area;
-    each pixel folds what covers it in order.
-    """
+def covered(shapes: DataFrame, size: int) -> DataFrame:
+    """shapes with each pixel (y, x) that an ellipse covers: a shape is dealt to the pixels of its own bounding box, so the work is the shapes' area."""
     reach = F.greatest("rx", "ry") + 1
 
     def span(c: str) -> Column:
         return F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) - reach)).cast("long"), F.least(F.lit(size - 1), F.ceil(F.col(c) + reach)).cast("long"))
 
     near = shapes.filter((F.col("cx") + reach >= 0) & (F.col("cy") + reach >= 0) & (F.col("cx") - reach < size) & (F.col("cy") - reach < size))
-    cover = near.withColumn("y", F.explode(span("cy"))).withColumn("x", F.explode(span("cx"))).filter(inside_ellipse(F.col("x"), F.col("y")))
-    layers = cover.groupBy(key, "y", "x").agg(F.array_sort(F.collect_list(F.struct("ord", "colour", "alpha"))).alias("l"))
+    return near.withColumn("y", F.explode(span("cy"))).withColumn("x", F.explode(span("cx"))).filter(inside_ellipse(F.col("x"), F.col("y")))
+
+
+def render(shapes: DataFrame, key: str, size: int, background: float = 128.0) -> DataFrame:
+    """key, y, x, v of pictures of ellipses laid over each other in the order of ord; each pixel folds what covers it in order."""
+    layers = covered(shapes, size).groupBy(key, "y", "x").agg(F.array_sort(F.collect_list(F.struct("ord", "colour", "alpha"))).alias("l"))
     laid = F.aggregate("l", F.lit(background), lambda v, s: v * (1 - s["alpha"]) + s["colour"] * s["alpha"])
     return layers.select(key, "y", "x", laid.alias("v"))
 
@@ -79,11 +81,11 @@ def lifting(df: DataFrame, key: str, place: str, value: str, n: int) -> DataFram
     """
     w = Window.partitionBy(key).orderBy(place)
     cur = df.select(key, place, F.col(value).alias("_v"))
-    for parity, a in ((1, -1.586134342), (0, -0.05298011854), (1, 0.8829110762), (0, 0.4435068522)):
+    for parity, a in zip((1, 0, 1, 0), LIFTING):
         before, after = F.lag("_v").over(w), F.lead("_v").over(w)
         around = F.coalesce(before, after) + F.coalesce(after, before)
         cur = cur.select(key, place, F.when(F.col(place) % 2 == parity, F.col("_v") + a * around).otherwise(F.col("_v")).alias("_v"))
-    scale = 1.149604398
+    scale = SCALE
     return cur.select(key, place, F.when(F.col(place) % 2 == 1, F.col("_v") / scale).otherwise(F.col("_v") * scale).alias(value))
 
 

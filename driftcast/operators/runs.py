@@ -62,6 +62,31 @@ class RunLayout:
         return F.concat(B.to_bits(group, self.group_bits), code)
 
 
+def greedy_fill(codes: str, cap: int, most: int | None = None) -> Column:
+    """Packets (first, symbols, payload) of an array of symbols (at, more, own): as many a packet as fit cap bits, and most at most.
+
+    own is a symbol's code at the start of a packet, more its code after the one before it. A symbol that does not fit
+    an empty packet is an error.
+    """
+    empty = F.lit(None).cast("struct<first:int,symbols:int,payload:string>")
+    start = F.struct(F.array().cast("array<struct<first:int,symbols:int,payload:string>>").alias("done"), empty.alias("cur"))
+
+    def step(state: Column, s: Column) -> Column:
+        cur = state["cur"]
+        fits = cur.isNotNull() & (F.length(cur["payload"]) + F.length(s["more"]) <= cap)
+        fits = fits & (cur["symbols"] < most) if most else fits
+        checked = F.when(F.length(s["own"]) <= cap, s["own"]).otherwise(F.raise_error(F.lit("a symbol does not fit an empty packet")))
+        new = F.struct(s["at"].alias("first"), F.lit(1).alias("symbols"), checked.alias("payload"))
+        same = F.struct(cur["first"].alias("first"), (cur["symbols"] + 1).alias("symbols"), F.concat(cur["payload"], s["more"]).alias("payload"))
+        done = F.when(fits | cur.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(cur)))
+        return F.struct(done.alias("done"), F.when(fits, same).otherwise(new).alias("cur"))
+
+    def close(state: Column) -> Column:
+        return F.when(state["cur"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["cur"])))
+
+    return F.aggregate(codes, start, step, close)
+
+
 def packets(levels: DataFrame, key: str, column: str, cap: int, layout: RunLayout | None = None) -> DataFrame:
     """key, packet, first, symbols, payload: the levels of each row of an array as packets of cap bits at most.
 
@@ -85,23 +110,8 @@ def packets(levels: DataFrame, key: str, column: str, cap: int, layout: RunLayou
         return F.struct(s["at"].alias("at"), code(s, p["at"] + 1, p["v"]).alias("more"),
                         F.concat(lay.header(s["at"]), code(s, lay.aligned(s["at"]), F.lit(0).cast("long"))).alias("own"))
 
-    empty = F.lit(None).cast("struct<first:int,symbols:int,payload:string>")
-    start = F.struct(F.array().cast("array<struct<first:int,symbols:int,payload:string>>").alias("done"), empty.alias("cur"))
-
-    def step(state: Column, s: Column) -> Column:
-        cur = state["cur"]
-        fits = cur.isNotNull() & (F.length(cur["payload"]) + F.length(s["more"]) <= cap)
-        checked = F.when(F.length(s["own"]) <= cap, s["own"]).otherwise(F.raise_error(F.lit("a symbol does not fit an empty packet")))
-        new = F.struct(s["at"].alias("first"), F.lit(1).alias("symbols"), checked.alias("payload"))
-        same = F.struct(cur["first"].alias("first"), (cur["symbols"] + 1).alias("symbols"), F.concat(cur["payload"], s["more"]).alias("payload"))
-        done = F.when(fits | cur.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(cur)))
-        return F.struct(done.alias("done"), F.when(fits, same).otherwise(new).alias("cur"))
-
-    def close(state: Column) -> Column:
-        return F.when(state["cur"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["cur"])))
-
     rows = levels.select(key, symbols.alias("_symbols")).select(key, F.zip_with("_symbols", before, codes).alias("_codes"))
-    rows = rows.select(key, F.posexplode(F.aggregate("_codes", start, step, close)).alias("packet", "p"))
+    rows = rows.select(key, F.posexplode(greedy_fill("_codes", cap)).alias("packet", "p"))
     return rows.select(key, "packet", "p.*")
 
 
