@@ -153,6 +153,8 @@ class Automata:
 
     folder: str
     blocks: tuple[int, ...]
+    #: Text that is scanned at once: every block is read for every batch.
+    batch_bytes: int = 16 << 20
 
     def each(self) -> Iterator[SuffixAutomaton]:
         """One automaton after another; a process keeps the last one that it read."""
@@ -174,29 +176,24 @@ class Automata:
                 found, ids = tool.scan(words(t))
                 if found:
                     spans[i] = merged(spans[i] + found)
-                    items[i].update(tool.ids[k] for k in ids)
+                    items[i].update(tool.ids[k] for k in ids if tool.ids[k] is not None)
         return spans, items
 
-    @property
-    def batch_bytes(self) -> int:
-        """Text that is scanned at once: with several blocks more, as each is read for every batch."""
-        return 4 << 20 if len(self.blocks) < 2 else 32 << 20
-
 
 #: The automaton that this process holds, and the name of its file.
 _HELD: dict = {}
 
 
 def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
-             block_bytes: int = 2 << 20, window: int = WINDOW) -> Automata:
+             block_bytes: int = 2 << 20, window: int = WINDOW, batch_bytes: int = 16 << 20) -> Automata:
     """Builds an automaton for each block of about block_bytes of item text, each in a task of its own.
 
     Items are dealt to blocks by a hash; a task builds the automaton of a block and writes it
     under its attempt's name, then under its final one. So neither the driver nor a worker holds
     more than one block, and documents are read once, whatever the size of the benchmark. Null
-    texts are empty; rows with null ids are left out.
+    texts are empty. Items with null ids hit like any other, but no list of items has them.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("item_id is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     folder = shared_dir(benchmark.sparkSession, "automata")
 
@@ -204,7 +201,7 @@ def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
         from pyspark import TaskContext
 
         block = t["block"][0].as_py()
-        rows = sorted(zip(t["item_id"].to_pylist(), t["text"].to_pylist()))
+        rows = sorted(zip(t["item_id"].to_pylist(), t["text"].to_pylist()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
         data = pickle.dumps(SuffixAutomaton([(i, words(x)) for i, x in rows], window), protocol=5)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
@@ -218,7 +215,7 @@ def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(total // block_bytes + 1)))
     done = dealt.groupBy("block").applyInArrow(save, "block long").collect()  # a number for each block
-    return Automata(folder, tuple(sorted(r["block"] for r in done)))
+    return Automata(folder, tuple(sorted(r["block"] for r in done)), batch_bytes)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -227,7 +224,7 @@ def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     The words of the whole text, of any length, stream through each automaton, which tracks the
     longest match; a word in any window of an item (an item of fewer words is one window) is hit.
     Documents are read once. Null and empty texts have no words; an empty benchmark hits nothing;
-    rows that repeat an item id count as one in n_items. The digest is that of the sorted item
+    rows that repeat an item id count as one in n_items, items without an id as none. The digest is that of the sorted item
     ids, comma-joined.
     """
     tools = automata(benchmark, **settings)

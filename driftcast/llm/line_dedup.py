@@ -100,13 +100,13 @@ class LineIndex:
 def line_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """d, t, line, h1, h2: two hashes of the key of every line whose key has min_chars code points or more.
 
-    d is the doc_id (null: the last), t a hash of the text, as rows may share an id, and line counts from 0.
+    The second starts from another seed, so keys that the first confuses are not confused by it too. d is the doc_id (null: the last), t a hash of the text, as rows may share an id, and line counts from 0.
     """
     key = F.translate(F.btrim(F.col("line_text"), F.lit(SPACE)), _UPPER, _LOWER)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text).alias("t"),
                        F.posexplode(F.split(F.col(text), "\n")).alias("line", "line_text"))
     rows = rows.select("d", "t", "line", key.alias("key")).filter(F.char_length("key") >= min_chars)
-    return rows.select("d", "t", "line", F.xxhash64("key").alias("h1"), F.xxhash64(F.concat("key", F.lit("\x01"))).alias("h2"))
+    return rows.select("d", "t", "line", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def build_index(lines: DataFrame, folder: str, shards: int) -> None:

@@ -29,6 +29,17 @@ _BYTE = {b: chr(b) for b in range(256)} | {b: chr(0x100 + k) for k, b in enumera
 _BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if c != 0xF7}
 
 
+#: Texts on which ids by words are tried before a tokenizer is used so.
+_PROBES = ["", " ", "The cat SAT on the mat", "a.b, c;d:e! f?g", "don't x's", "  two  blanks ", "line\nend\n\n", "\ttab\x0b", "É ü ÑAndÚ ß", "漢字 kana", "1 22 333 a1b2", "x_y-z (q) [r]", "naïve café.",
+           "<|x|> a", "\u200b \u00a0 \u3000", "İstanbul ǅ ﬁ", "end.", "...", "a\0b", "🙂 ok"]
+
+
+def by_words(tokenizer) -> bool:
+    """Whether no token of the vocabulary can cross what texts are split at: a space within, or a letter and the mark after it."""
+    space, crossing = _BYTE[0x20], re.compile("[a-z][.,;:!?]")
+    return not any(space in t[1:] or " " in t.strip() or crossing.search(t) for t in tokenizer.get_vocab(with_added_tokens=False))
+
+
 class WordEncoder:
     """Token ids of whole texts, through ids remembered for single words.
 
@@ -36,11 +47,14 @@ class WordEncoder:
     no token crosses, so the ids of a text are those of its words one after another. Arrow
     splits a batch into words and numbers the distinct ones; only words not seen before are
     encoded. All are forgotten when they pass max_chars. Texts with the beginning of a special
-    token, whose case matters, are encoded whole.
+    token, whose case matters, are encoded whole. What this presumes of a tokenizer is checked when it is
+    loaded, by its vocabulary and by texts; all texts of one that is otherwise are encoded whole.
     """
 
     def __init__(self, tokenizer, max_chars: int = 3 << 20):
-        self.tokenizer, self.max_chars = tokenizer, max_chars
+        self.tokenizer, self.max_chars, self.whole = tokenizer, max_chars, False
+        self.forget()
+        self.whole = not by_words(tokenizer) or any(self.encode(pa.array([t]))[0].tolist() != tokenizer.encode(t, add_special_tokens=False).ids for t in _PROBES)
         self.forget()
 
     def forget(self):
@@ -88,6 +102,8 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the number of each (null: empty)."""
         texts = pc.fill_null(texts, "")
+        if self.whole:
+            return self._ids(texts.to_pylist())
         marked = pc.match_substring(texts, "<|")
         special = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
         plain = pc.ascii_lower(texts.filter(pc.invert(marked)))
