@@ -49,6 +49,18 @@ def bundles(df: DataFrame, key: str, values: str, prefix: str = "/remote/paramet
     return df.select(key, values).mapInPandas(run, f"{key} long, data binary")
 
 
+def addressed(df: DataFrame, keep: list[str], address: Column, value: str) -> DataFrame:
+    """keep and data: a bundle of one message for each row, to an address of its own."""
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keep].copy()
+            out["data"] = [bundle([(a, int(v))]) for a, v in zip(pdf["_address"], pdf["_value"])]
+            yield out
+
+    rows = df.select(*keep, address.alias("_address"), F.col(value).alias("_value"))
+    return rows.mapInPandas(run, ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep], "data binary"]))
+
+
 def messages(df: DataFrame, key: str, data: str = "data") -> DataFrame:
     """key, address, value of every message."""
     def run(batches):
