@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,11 @@ _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^'
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
+#: Names of other languages that say the same as a name of the labelled table.
+SAME = {
+    "werbung": "ad", "anzeige": "ad", "publicidad": "ad", "anuncio": "ad", "publicite": "ad", "kommentar": "comment", "kommentare": "comments",
+    "comentario": "comment", "comentarios": "comments", "commentaire": "comment", "commentaires": "comments", "fusszeile": "footer", "kopfzeile": "header",
+    "seitenleiste": "sidebar", "navegacion": "navigation", "verwandt": "related", "relacionados": "related", "suche": "search", "hinweis": "notice", "aviso": "notice"}
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
             "heading", "item", "in_article", "frame", "name_inside", "name_outside")
 
@@ -40,6 +46,16 @@ class Names(dict):
         return sum(self.get(w, 0.0) for w in words)
 
 
+@dataclass(eq=False)
+class Element:
+    """A named container: its names, its words that are not linked, whether it holds a heading of the first level, and whether it is the page's main part."""
+
+    names: frozenset[str]
+    words: int = 0
+    headed: bool = False
+    main: bool = False
+
+
 @dataclass
 class Block:
     """A flat text block: its text, counts of its words, what it stands in, and the label of a training page."""
@@ -51,8 +67,8 @@ class Block:
     item: int
     in_article: int
     frame: int
-    inside: tuple[frozenset[str], ...]
-    outside: tuple[frozenset[str], ...]
+    inside: tuple[Element, ...]
+    outside: tuple[Element, ...]
     label: int = 0
 
 
@@ -63,8 +79,8 @@ class _Place:
     tag: str = ""
     in_article: int = 0
     frame: int = 0
-    inside: tuple[frozenset[str], ...] = ()
-    outside: tuple[frozenset[str], ...] = ()
+    inside: tuple[Element, ...] = ()
+    outside: tuple[Element, ...] = ()
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -72,17 +88,17 @@ def _attributes(rest: str) -> dict[str, str]:
 
 
 def _names(attrs: dict[str, str]) -> frozenset[str]:
-    return frozenset(w for k in ("class", "id", "role") if k in attrs for w in _WORD.findall(attrs[k].lower()))
+    return frozenset(SAME.get(w, w) for k in ("class", "id", "role") if k in attrs for w in _WORD.findall(attrs[k].lower()))
 
 
 def _entered(at: _Place, tag: str, attrs: dict[str, str]) -> _Place:
     """The place inside an element. An article's names come anew: those around it are outside."""
-    names = _names(attrs)
+    names = (Element(found),) if (found := _names(attrs)) else ()
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     frame = int(at.frame or hidden or tag in FRAME and not (tag == "header" and at.in_article))
     if tag in ("article", "main") and not at.in_article:
-        return _Place(tag, 1, frame, (names,) if names else (), at.outside + at.inside)
-    return _Place(tag, at.in_article, frame, (*at.inside, names) if names else at.inside, at.outside)
+        return _Place(tag, 1, frame, names, at.outside + at.inside)
+    return _Place(tag, at.in_article, frame, at.inside + names, at.outside)
 
 
 def markup(page: str):
@@ -134,7 +150,8 @@ def blocks(page: str, label: str | None = None) -> list[Block]:
 
     A block ends where a block element starts or ends. Its text is that of the page without
     markup, with character references decoded and runs of white space as one space. Elements
-    left open end with what encloses them.
+    left open end with what encloses them. An element that holds a first-level heading and half or more of the words that are
+    not linked is the page's main part, whatever its names say.
     """
     out: list[Block] = []
     stack: list[_Place] = [_Place()]
@@ -142,13 +159,18 @@ def blocks(page: str, label: str | None = None) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     link = False
-    own, heading, item, mark = stack[0], 0, 0, 0
+    own, heading, item, mark, top, total = stack[0], 0, 0, 0, False, 0
 
     def flush():
+        nonlocal total
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append(Block(text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()) if linked else 0,
-                             heading, item, own.in_article, own.frame, own.inside, own.outside, mark))
+            words, of_links = text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()) if linked else 0
+            out.append(Block(text, words, of_links, heading, item, own.in_article, own.frame, own.inside, own.outside, mark))
+            total += max(0, words - of_links)
+            for e in own.inside + own.outside:
+                e.words += max(0, words - of_links)
+                e.headed = e.headed or top
         parts.clear()
         linked.clear()
 
@@ -163,7 +185,7 @@ def blocks(page: str, label: str | None = None) -> list[Block]:
             parts.append(" ")
         elif tag in CONTAINERS:
             flush()
-            link, heading, item, mark = False, 0, 0, 0
+            link, heading, item, mark, top = False, 0, 0, 0, False
             if not close:
                 if not rest.endswith("/"):
                     stack.append(_entered(stack[-1], tag, _attributes(rest)))
@@ -176,11 +198,14 @@ def blocks(page: str, label: str | None = None) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             link, own, mark = False, stack[-1], 0
-            heading, item = int(not close and tag[0] == "h" and tag[1:].isdigit()), int(not close and tag == "li")
+            heading, item, top = int(not close and tag[0] == "h" and tag[1:].isdigit()), int(not close and tag == "li"), not close and tag == "h1"
             if not close and (attrs := _attributes(rest)):
                 own = _entered(own, tag, attrs)
                 mark = int(label is not None and label in attrs)
     flush()
+    for b in out:
+        for e in b.inside + b.outside:
+            e.main = e.headed and 2 * e.words >= total
     return out
 
 
@@ -191,10 +216,13 @@ def features(found: list[Block], names: Names) -> np.ndarray:
     before, after = np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
     memo: dict[tuple, float] = {(): 0.0}
 
-    def least(around: tuple[frozenset[str], ...]) -> float:
-        """The lowest of the elements' log odds, as one sidebar makes a sidebar of all in it; the highest if none is below 0."""
+    def least(around: tuple[Element, ...]) -> float:
+        """The lowest of the elements' log odds, as one sidebar makes a sidebar of all in it; the highest if none is below 0.
+
+        Names that speak against the page's main part count nothing: what an article is called does not outvote its text.
+        """
         if around not in memo:
-            each = [names.of(w) for w in around]
+            each = [max(0.0, names.of(e.names)) if e.main else names.of(e.names) for e in around]
             memo[around] = min(each) if min(each) < 0 else max(each)
         return memo[around]
 
@@ -336,7 +364,7 @@ def learnt_names(pages: list[list[Block]], least: int = 3) -> Names:
     seen = (Counter(), Counter())
     for found in pages:
         for b in found:
-            seen[b.label].update({w for names in b.inside + b.outside for w in names})
+            seen[b.label].update({w for e in b.inside + b.outside for w in e.names})
     n = [sum(b.label == y for found in pages for b in found) for y in (0, 1)]
     return Names({w: math.log((seen[1][w] + 0.5) / (n[1] + 1) / ((seen[0][w] + 0.5) / (n[0] + 1))) for w in sorted(seen[0] | seen[1]) if seen[0][w] + seen[1][w] >= least})
 
@@ -350,8 +378,10 @@ class Extractor:
 
     @classmethod
     def fit(cls, pages: list[str] | None = None) -> Extractor:
-        """Learns from pages whose main blocks carry data-main (by default those of the labelled table)."""
-        found = [blocks(p, "data-main") for p in pages or labelled_pages()]
+        """Learns from pages whose main blocks carry data-main (by default those of the labelled table, once in a process)."""
+        if pages is None:
+            return _of_the_table()
+        found = [blocks(p, "data-main") for p in pages]
         names = learnt_names(found)
         return cls(names, grow(np.concatenate([features(b, names) for b in found]), np.array([b.label for bs in found for b in bs], float)))
 
@@ -365,12 +395,17 @@ class Extractor:
         return "\n".join(b.text for b, take in zip(found, self.main(found)) if take)
 
 
+@cache
+def _of_the_table() -> Extractor:
+    return Extractor.fit(labelled_pages())
+
+
 def extract(pages: DataFrame, column: str = "html", extractor: Extractor | None = None) -> DataFrame:
     """pages with text (main text) and n_chars (its code points) from each whole page.
 
     The extractor is learnt from the labelled table, unless one is given. Null and empty pages
-    give empty text; pages of any length and any malformed markup give what can be read. Columns
-    named text and n_chars are replaced; others stay; repeated rows are kept.
+    give empty text; pages of any length and any malformed markup give what can be read. A block of which the tree
+    is undecided (a share of one half) is main text. Columns named text and n_chars are replaced; others stay; repeated rows are kept.
     """
     pages = pages.drop("text", "n_chars")
     tool = extractor or Extractor.fit()

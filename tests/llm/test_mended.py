@@ -39,3 +39,22 @@ def test_hashes_of_lines_are_independent(spark):
     assert len({r["h1"] for r in got}) == len({r["h2"] for r in got}) == len(keys)
     continued = spark.createDataFrame([(k,) for k in keys], "key string").select(F.xxhash64(F.concat("key", F.lit("\x01"))).alias("h")).collect()
     assert not {r["h2"] for r in got} & {r["h"] for r in continued}
+
+
+def test_an_articles_names_do_not_outvote_its_text():
+    from driftcast.llm import html_text
+
+    tool = html_text.Extractor.fit()
+    assert tool is html_text.Extractor.fit()  # learnt once
+    text = ["How the old river bridge came down in the winter", *(" ".join(f"{w} of the long storm" for w in ("night", "house", "field", "water", "light", "stone")) + f" on day {k}." for k in range(2))]
+    body = f"<h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p>"
+    frame = '<nav class="menu"><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>', '<footer class="footer"><p>All rights reserved by the house.</p></footer>'
+    for name in ("ad-hoc-report", "related-work", "notice-to-readers", "latest-news-article", "reply-to-critics", "banner-story"):
+        for tag in ("article", "div", "section"):
+            page = f'<html><body>{frame[0]}<{tag} class="{name}">{body}</{tag}>{frame[1]}</body></html>'
+            assert tool.text(page) == "\n".join(text), (name, tag)
+    for name in ("werbung", "kommentare", "publicidad", "comentarios", "advert", "comments"):
+        page = f'<html><body><article class="post">{body}</article><div class="{name}"><p>Buy this very good new car of the year for little money now.</p></div></body></html>'
+        assert tool.text(page) == "\n".join(text), name
+    many = "".join(f"<div class=comment><p>{text[1]} says reader number {k}.</p></div>" for k in range(9))
+    assert tool.text(f'<html><body><article class="post">{body}</article><section class="comments">{many}</section></body></html>') == "\n".join(text)
