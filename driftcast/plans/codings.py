@@ -202,14 +202,13 @@ def trained_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise AssertionError("no rounds")
 
 
-@query("SRC-03", sql="""WITH s AS (SELECT event_id AS seq, epoch_us(ts) / 1000.0::DOUBLE AS unix, event_type AS kind, value FROM events)
-SELECT seq::INTEGER AS seq, unix AS "sendStartMs" FROM s WHERE kind = 'view' UNION ALL SELECT seq::INTEGER, unix FROM s WHERE kind = 'click' AND value > 100""")
+@query("SRC-03", sql="""SELECT event_id::INTEGER AS seq, epoch_us(ts) / 1000.0::DOUBLE AS "sendStartMs" FROM events""")
 def joined_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Send logs of two sessions, each file with a time base of its own, read together on the wall clock."""
     s = sightings(spark, sf_dir)
     paths = []
-    for kind, base in (("view", 0.0), ("click", 5e5)):
-        rows = s.filter((F.col("kind") == kind) & ((F.col("kind") != "click") | (F.col("value") > 100)))
+    for kind, base in (("even", 0.0), ("odd", 5e5)):
+        rows = s.filter(F.coalesce(F.pmod("epoch", F.lit(2)), F.lit(0)) == int(kind == "odd"))
         log = rows.select(F.col("seq").cast("int"), F.lit(1).alias("mode"), F.col("epoch").cast("int").alias("epoch"), F.lit(100).alias("holdMs"), (F.col("time_ms") - base).alias("sendStartMs"),
                           (F.col("time_ms") - base + 3).alias("sendEndMs"), F.col("time_ms").alias("unixMs"), F.lit(1).alias("bundle"), F.lit("asc").alias("order"), F.lit(0).alias("msgDelay"))
         paths.append(shared_dir(spark, f"log-{kind}"))

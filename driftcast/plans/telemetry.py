@@ -259,11 +259,11 @@ def packet_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sightings(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey"), "left").select("seq", F.col("n_nationkey").alias("unit"))
 
 
-@query("SET-01", "PRJ-04", sql=f"WITH {S} SELECT seq, time_ms FROM s WHERE kind = 'view' UNION ALL SELECT seq, time_ms + 1000 FROM s WHERE kind = 'click' AND value > 100")
+@query("SET-01", "PRJ-04", sql=f"WITH {S} SELECT seq, time_ms FROM s WHERE board = 'local' UNION ALL SELECT seq, time_ms + 1000 FROM s WHERE board = 'remote' AND NOT zero")
 def log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several logs on one clock."""
+    """The logs of both boards on one clock; remote frames that are empty are not visible."""
     s = sightings(spark, sf_dir)
-    return s.filter("kind = 'view'").select("seq", "time_ms").unionByName(s.filter("kind = 'click' and value > 100").select("seq", (F.col("time_ms") + 1000).alias("time_ms")))
+    return s.filter("board = 'local'").select("seq", "time_ms").unionByName(s.filter("board = 'remote' and not zero").select("seq", (F.col("time_ms") + 1000).alias("time_ms")))
 
 
 RECEIVER = f"""WITH {S}, n AS (SELECT *, (CASE WHEN zero THEN 0 ELSE 1 + k % 3 END) AS session FROM s),
