@@ -124,10 +124,11 @@ def association(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 def _index(texts: list[Counter], toxic: np.ndarray, ids: np.ndarray, share: float, k: int, half: float = 25.0) -> Examples:
     """Index of all terms of all examples, and the calibration of votes.
 
-    A term weighs its inverse document frequency times g / (g + half), where g is the G statistic
-    of its occurrence against the class (and a thousandth at least, so that no term is without
+    A term weighs its inverse document frequency times the square of g / (g + half), where g is the G statistic
+    of its occurrence against the class (and of a thousandth, which is a millionth, at least, so that no term is without
     weight): terms that tell the classes apart lead the cosine, and texts that have none of them
-    are still near those that they share words with. share is the share of toxic rows among all
+    are still near those that they share words with. So the cosine is not that of plain TF-IDF. Equal cosines go to the
+    example that comes first in the index; texts of any length are scored whole. share is the share of toxic rows among all
     labelled rows. Examples lie in the order of their heaviest terms, so that blocks differ.
     """
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())

@@ -224,7 +224,7 @@ def test_no_link_is_lost_among_versions_of_a_text(spark):
     assert len(set(names.values())) == len(names)
 
 
-def test_nearest_pairs_against_all_pairs():
+def test_near_pairs_and_exact_tests_against_loops():
     import numpy as np
 
     from driftcast.llm import similar
@@ -234,12 +234,10 @@ def test_nearest_pairs_against_all_pairs():
     root, size = rnd.integers(0, 6, 90), rnd.integers(50, 80, 90)
     gap = np.bitwise_count(fp[:, :, None] ^ fp[:, None, :]).sum(axis=0)
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if gap[i, j] <= 4 and root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9}
-    seen, most = set(), 1
-    while True:
-        failed = np.array(sorted(seen | {(j, i) for i, j in seen}) or np.zeros((0, 2)), np.int64).T
-        got = set(zip(*(x.tolist() for x in similar.nearest_pairs(fp, root, size, 4, 0.8, most, (failed[0], failed[1]), strip=300))))
-        assert not got & seen
-        if not got:
-            break
-        seen, most = seen | got, most * 2
-    assert seen == want
+    got = [p for i, j in similar.near_to(fp, root, size, 4, 0.8, strip=300) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want
+    sets = [np.unique(rnd.choice(np.arange(70, dtype=np.uint64), rnd.integers(0, 60))) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    for some in (slice(None), slice(0, 50)):
+        exact = [similar.jaccard(sets[x], sets[y]) >= 0.3 for x, y in zip(i[some], j[some])]
+        assert similar.similar_pairs(sets, i[some], j[some], 0.3, columns=16).tolist() == exact and any(exact)
