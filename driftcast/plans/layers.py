@@ -78,6 +78,14 @@ def coded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STACK = SHAPES.replace("p_brand AS picture", "p_partkey // 64 AS picture").replace("0.5::DOUBLE AS alpha", "[0.25, 0.5, 0.75, 1.0][p_partkey % 4 + 1]::DOUBLE AS alpha")
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of pictures of 64, of four opacities."""
+    return table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / 64).alias("picture"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") * 37 % 320 / 10).alias("cx"), (F.col("p_partkey") * 91 % 320 / 10).alias("cy"),
+        (F.lit(1.0) + F.col("p_size") % 7).alias("rx"), (F.lit(1.5) + F.col("p_size") % 4).alias("ry"), (F.col("p_partkey") % 16 / 16 * F.pi()).alias("angle"),
+        (F.col("p_partkey") * 13 % 256).cast("double").alias("colour"), F.element_at(F.array(*[F.lit(a) for a in (0.25, 0.5, 0.75, 1.0)]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("alpha"))
+
+
 @query("MTH-21", "COD-10", sql=f"""WITH {_STACK}, c AS (SELECT picture, ord, colour, alpha, y, x, (x + 0.5 - cx) * cos(angle) + (y + 0.5 - cy) * sin(angle) AS u, (y + 0.5 - cy) * cos(angle) - (x + 0.5 - cx) * sin(angle) AS v, rx, ry
 FROM s, range(32) a(y), range(32) b(x)), k AS (SELECT picture, y, x, list({{'o': ord, 'c': colour, 'a': alpha}} ORDER BY ord) AS cs FROM c WHERE u * u / (rx * rx) + v * v / (ry * ry) <= 1 GROUP BY ALL),
 e AS (SELECT picture, cs, unnest(range(1, len(cs) + 1)) AS i FROM k),
@@ -87,14 +95,31 @@ r AS (SELECT picture, cs[i].o AS ord, list_reduce(list_concat([1.0::DOUBLE], lis
 SELECT picture, ord, count(*) AS pixels, round(sum(passed), 5) AS passed, round(sum(before), 4) AS before, round(sum(without), 4) AS without FROM r GROUP BY ALL""")
 def suffix_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each shape of a stack: its pixels, what later shapes let through, and the light before it and without it."""
-    p = table(spark, sf_dir, "part").select(
-        F.floor(F.col("p_partkey") / 64).alias("picture"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") * 37 % 320 / 10).alias("cx"), (F.col("p_partkey") * 91 % 320 / 10).alias("cy"),
-        (F.lit(1.0) + F.col("p_size") % 7).alias("rx"), (F.lit(1.5) + F.col("p_size") % 4).alias("ry"), (F.col("p_partkey") % 16 / 16 * F.pi()).alias("angle"),
-        (F.col("p_partkey") * 13 % 256).cast("double").alias("colour"), F.element_at(F.array(*[F.lit(a) for a in (0.25, 0.5, 0.75, 1.0)]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("alpha"))
+    p = _shapes(spark, sf_dir)
     rows = L.suffixes(L.covered(p, 32), ["picture", "y", "x"], "ord", "colour", "alpha")
     return rows.groupBy("picture", "ord").agg(F.count("*").alias("pixels"), F.round(F.sum("passed"), 5).alias("passed"), F.round(F.sum("before"), 4).alias("before"), F.round(F.sum("without"), 4).alias("without"))
 
 
+#: Shapes of a rate point, and bits of a picture's head and of a shape.
+POINTS, HEAD_BITS, SHAPE_BITS = (4, 16, 48), 16, 59
+
+
+@query("EVL-23", sql=f"""WITH {_STACK}, c AS (SELECT picture, ord, colour, alpha, y, x, (x + 0.5 - cx) * cos(angle) + (y + 0.5 - cy) * sin(angle) AS u, (y + 0.5 - cy) * cos(angle) - (x + 0.5 - cx) * sin(angle) AS v, rx, ry
+FROM s, range(32) a(y), range(32) b(x)), k AS (SELECT picture, y, x, list({{'o': ord, 'c': colour, 'a': alpha}} ORDER BY ord) AS cs FROM c WHERE u * u / (rx * rx) + v * v / (ry * ry) <= 1 GROUP BY ALL),
+n AS (SELECT unnest({list(POINTS)})::INTEGER AS shapes),
+r AS (SELECT picture, shapes, list_reduce(list_concat([{{'o': 0::BIGINT, 'c': 128.0::DOUBLE, 'a': 1.0::DOUBLE}}], list_filter(cs, lambda z: z.o % 64 < shapes)), lambda a, b: {{'o': 0::BIGINT, 'c': a.c * (1 - b.a) + b.c * b.a, 'a': 1.0::DOUBLE}}).c AS part,
+ list_reduce(list_concat([{{'o': 0::BIGINT, 'c': 128.0::DOUBLE, 'a': 1.0::DOUBLE}}], cs), lambda a, b: {{'o': 0::BIGINT, 'c': a.c * (1 - b.a) + b.c * b.a, 'a': 1.0::DOUBLE}}).c AS whole FROM k, n)
+SELECT picture, shapes, ({HEAD_BITS} + {SHAPE_BITS} * shapes)::INTEGER AS bits, round(sum(pow(part - whole, 2)) / 1024, 4) AS error FROM r GROUP BY picture, shapes""")
+def shape_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate points of pictures of shapes: bits of the first shapes, and how far their render is from that of all."""
+    rows = L.covered(_shapes(spark, sf_dir), 32).groupBy("picture", "y", "x").agg(F.array_sort(F.collect_list(F.struct("ord", "colour", "alpha"))).alias("s"))
+    laid = lambda s: F.aggregate(s, F.lit(128.0), lambda v, z: v * (1 - z["alpha"]) + z["colour"] * z["alpha"])
+    point = lambda n: F.struct(F.lit(n).alias("shapes"), laid(F.filter("s", lambda z: z["ord"] % 64 < n)).alias("some"))
+    each = rows.select("picture", laid("s").alias("whole"), F.inline(F.array(*[point(n) for n in POINTS])))
+    error = F.round(F.sum((F.col("some") - F.col("whole")) * (F.col("some") - F.col("whole"))) / 1024, 4)
+    return each.groupBy("picture", "shapes").agg(error.alias("error")).select("picture", "shapes", (HEAD_BITS + SHAPE_BITS * F.col("shapes")).alias("bits"), "error")
+
+
 MARKS = (1, 2, 5, 10, 20, 40, 60)
 
 

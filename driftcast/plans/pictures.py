@@ -313,12 +313,6 @@ def readable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min(F.when(F.col("l_discount") >= 0.08, F.col("l_linenumber"))).alias("fewest"), F.round(F.avg(F.when(F.col("l_discount") >= 0.05, 1.0).otherwise(0.0)), 6).alias("readable"), F.round(F.avg("l_quantity"), 6).alias("received"))
 
 
-@query("EVL-23", sql="SELECT p_partkey, (p_size * 59 + 16)::INTEGER AS bits FROM part")
-def shape_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits of a picture of so many shapes."""
-    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 59 + 16).alias("bits"))
-
-
 @query("SET-03", sql=f"""WITH {R}, a AS (SELECT image, codec, t AS mark, list_sort(list(DISTINCT seed % 16)) AS state FROM r GROUP BY ALL), d AS (SELECT DISTINCT state FROM a), q AS (SELECT state, list_sum(list_transform(state, lambda s: s * s))::BIGINT AS score FROM d)
 SELECT image, codec, mark, sha1(array_to_string(a.state, ',')) AS state, score FROM a JOIN q ON a.state = q.state""")
 def memoised_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
