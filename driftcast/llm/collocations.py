@@ -13,14 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftcast.llm.common import partitions, written
+from driftcast.llm.common import written
 
 #: Where texts are cut, and what parts words within a piece.
 CUTS = r"[.,;:!?\x0A-\x0D]"
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_GRAMS = pa.schema([("gram", pa.string()), ("f", pa.int64())])
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+_GRAMS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("gram", pa.string()), ("f", pa.int64())])
 
 
 def pieces(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -38,70 +37,59 @@ def pieces(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return rows.groupBy("lang", plain.alias("piece")).agg(F.count(F.lit(1)).alias("m"))
 
 
-def chunk_grams(texts: pa.Array, times: np.ndarray, longest: int, buckets: int) -> Iterator[tuple[int, int, bytes, int]]:
-    """(words k, bucket, packed grams with counts, sum of counts) of pieces of one language that occur times times.
+def language_grams(texts: pa.Array, times: np.ndarray, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(grams, counts, 64-bit hashes) for 1 to longest words, of pieces of one language that occur times times.
 
     Words get codes in the order of their bytes, so sorted codes are sorted grams, which pack well. A gram of k words
     is known by the place of its first k - 1 words among the grams of k - 1 and its last word.
     """
     lists = pc.split_pattern(texts, " ")
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    piece = np.repeat(np.arange(len(lists)), np.diff(ends))
+    piece = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy().astype(np.int64)))
     flat = lists.flatten().dictionary_encode()
     order = pc.sort_indices(flat.dictionary).to_numpy()
     words = flat.dictionary.take(pa.array(order))
     code = np.empty(len(order), np.int64)
     code[order] = np.arange(len(order))
-    code = code[flat.indices.to_numpy()]
+    own = code = code[flat.indices.to_numpy()]
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))
-    weight, n = times[piece].astype(np.float64), len(code)
-    grams, own, mixed = words, code, hashes
-    for k in range(1, longest + 1):
-        if k > 1:
-            # Places i whose gram of k words ends in the same piece.
-            start = np.flatnonzero(piece[k - 1:] == piece[: n - k + 1]) if n >= k else np.zeros(0, np.int64)
-            if not len(start):
-                return
-            key, inverse = np.unique(own[start] * len(words) + code[start + k - 1], return_inverse=True)
-            before, last = np.divmod(key, len(words))
-            grams = pc.binary_join_element_wise(grams.take(pa.array(before)), words.take(pa.array(last)), " ")
-            mixed = (mixed[before] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[last] + (mixed[before] >> np.uint64(29)))
-            own = np.full(n, -1)
-            own[start] = inverse
-            count = np.bincount(inverse, weight[start], len(key)).astype(np.int64)
-        else:
-            count = np.bincount(code, weight, len(words)).astype(np.int64)
-        bucket = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) != 0, [True])))
-        dealt, counts = grams.take(pa.array(by)), count[by]
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            batch = pa.record_batch([dealt.slice(lo, hi - lo), pa.array(counts[lo:hi])], schema=_GRAMS)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _GRAMS, options=_ZSTD) as out:
-                out.write_batch(batch)
-            yield k, int(bucket[by[lo]]), sink.getvalue().to_pybytes(), int(counts[lo:hi].sum())
-
-
-def dealt_grams(rows: DataFrame, longest: int, buckets: int, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """bucket, lang, k, grams, total: the grams of pieces, summed within chunks of about chunk_bytes and packed for their bucket."""
-    schema = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("k", pa.int32()), ("grams", pa.binary()), ("total", pa.int64())])
+    weight, n, grams, mixed = times[piece].astype(np.float64), len(code), words, hashes
+    yield grams, np.bincount(code, weight, len(words)).astype(np.int64), mixed
+    for k in range(2, longest + 1):
+        # Places whose gram of k words ends in the same piece.
+        start = np.flatnonzero(piece[k - 1:] == piece[: n - k + 1]) if n >= k else np.zeros(0, np.int64)
+        if not len(start):
+            return
+        key, inverse = np.unique(own[start] * len(words) + code[start + k - 1], return_inverse=True)
+        before, last = np.divmod(key, len(words))
+        grams = pc.binary_join_element_wise(grams.take(pa.array(before)), words.take(pa.array(last)), " ")
+        mixed = (mixed[before] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[last] + (mixed[before] >> np.uint64(29)))
+        own = np.full(n, -1)
+        own[start] = inverse
+        yield grams, np.bincount(inverse, weight[start], len(key)).astype(np.int64), mixed
+
+
+def dealt_grams(rows: DataFrame, longest: int, buckets: int, chunk_bytes: int = 6 << 20) -> DataFrame:
+    """bucket, grams: the grams of pieces, summed within chunks of about chunk_bytes; a chunk packs one row for each bucket."""
+    schema = pa.schema([("bucket", pa.int32()), ("grams", pa.binary())])
 
     def of_chunk(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         langs = t["lang"].combine_chunks().dictionary_encode()
-        at = langs.indices.to_numpy()
+        at, parts = langs.indices.to_numpy(), []
         for c, lang in enumerate(langs.dictionary.to_pylist()):
             mine = t.filter(pa.array(at == c)) if len(langs.dictionary) > 1 else t
-            out, size = [], 0
-            for k, bucket, packed, total in chunk_grams(mine["piece"].combine_chunks(), mine["m"].to_numpy(), longest, buckets):
-                out.append((bucket, lang, k, packed, total))
-                size += len(packed)
-                if size > 1 << 20:
-                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+            for k, (grams, counts, mixed) in enumerate(language_grams(mine["piece"].combine_chunks(), mine["m"].to_numpy(), longest), 1):
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(grams)), pa.repeat(pa.scalar(k, pa.int32()), len(grams)), grams, pa.array(counts)]
+                parts.append((pa.table(columns, schema=_GRAMS), ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int32)))
+        bucket = np.concatenate([b for _, b in parts])
+        by = np.argsort(bucket, kind="stable")
+        dealt, bucket = pa.concat_tables([x for x, _ in parts]).take(pa.array(by)).combine_chunks(), bucket[by]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _GRAMS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(dealt.slice(lo, hi - lo))
+            yield pa.record_batch([pa.array([bucket[lo]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
 
     def run(batches):
         held, size = [], 0
@@ -114,28 +102,21 @@ def dealt_grams(rows: DataFrame, longest: int, buckets: int, chunk_bytes: int =
         if held:
             yield from of_chunk(held)
 
-    return rows.select("lang", "piece", "m").mapInArrow(run, "bucket int, lang string, k int, grams binary, total long")
+    return rows.select("lang", "piece", "m").mapInArrow(run, "bucket int, grams binary")
 
 
-def counted(dealt: DataFrame, buckets: int, least: int, memory: str = "300MB") -> DataFrame:
+def counted(dealt: DataFrame, buckets: int, least: int, memory: str = "220MB") -> DataFrame:
     """lang, k, gram, f of every gram that occurs least times or more, counted out of core by duckdb, one bucket after another.
 
-    A row whose gram is null has a language's number of words in the bucket. A task's buckets come one after another;
-    duckdb spills what goes beyond memory to a folder of the task, which is removed when the task ends.
+    Rows whose gram is null have a language's number of words in the task's buckets. duckdb spills what goes beyond memory to a
+    folder of the task, which is removed when the task ends; a task that is lost is run again from the shuffled grams.
     """
-    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("gram", pa.string()), ("f", pa.int64())])
-    read = pa.schema([("lang", pa.string()), ("k", pa.int32()), *_GRAMS])
 
     def run(batches):
         import duckdb
 
-        def rows():
-            for b in batches:
-                for bucket, lang, k, packed, total in zip(*(c.to_pylist() for c in b.columns)):
-                    yield bucket, lang, k, packed, total
-
-        source, folder = rows(), tempfile.mkdtemp(prefix="grams-")
-        words: dict[str, int] = {}
+        source = ((bucket, packed) for b in batches for bucket, packed in zip(b.column(0).to_pylist(), b.column(1)))
+        folder, words = tempfile.mkdtemp(prefix="grams-"), {}
         try:
             con = duckdb.connect(":memory:", config={"memory_limit": memory, "temp_directory": folder, "threads": 1, "preserve_insertion_order": False})
             ahead = next(source, None)
@@ -145,30 +126,27 @@ def counted(dealt: DataFrame, buckets: int, least: int, memory: str = "300MB") -
                 def of_bucket():
                     nonlocal ahead
                     while ahead is not None and ahead[0] == bucket:
-                        _, lang, k, packed, total = ahead
-                        if k == 1:
-                            words[lang] = words.get(lang, 0) + total
-                        for x in pa.ipc.open_stream(packed):
-                            yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(x)), pa.repeat(pa.scalar(k, pa.int32()), len(x)), *x.columns], schema=read)
+                        for x in pa.ipc.open_stream(ahead[1].as_buffer()):
+                            single = pa.table(x).filter(pc.equal(x["k"], 1)).group_by("lang").aggregate([("f", "sum")])
+                            for lang, total in zip(single["lang"].to_pylist(), single["f_sum"].to_pylist()):
+                                words[lang] = words.get(lang, 0) + total
+                            yield x
                         ahead = next(source, None)
 
-                reader = pa.RecordBatchReader.from_batches(read, of_bucket())  # noqa: F841  read by name below
+                reader = pa.RecordBatchReader.from_batches(_GRAMS, of_bucket())  # noqa: F841  read by name below
                 found = con.sql(f"SELECT lang, k, gram, sum(f)::BIGINT AS f FROM reader GROUP BY ALL HAVING sum(f) >= {int(least)}").to_arrow_reader(10_000)
-                for x in found:
-                    yield x.cast(schema)
+                yield from (x.cast(_GRAMS) for x in found)
             con.close()
         finally:
             shutil.rmtree(folder, ignore_errors=True)
         if words:
-            yield pa.record_batch([pa.array(list(words)), pa.array([1] * len(words), pa.int32()), pa.nulls(len(words), pa.string()), pa.array(list(words.values()))], schema=schema)
+            yield pa.record_batch([pa.array(list(words)), pa.array([1] * len(words), pa.int32()), pa.nulls(len(words), pa.string()), pa.array(list(words.values()))], schema=_GRAMS)
 
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = dealt.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(run, "lang string, k int, gram string, f long")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "lang string, k int, gram string, f long")
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, share: int = SHARE, top: int = TOP,
-                 bucket_bytes: int = 16 << 20) -> DataFrame:
+                 bucket_bytes: int = 8 << 20, fewest_buckets: int = 12) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best top phrases of 2 to longest words that occur least times or more.
 
     a, l and r are the occurrences of the phrase, of its first part and of the rest where the cut scores least (ties: the
@@ -181,8 +159,8 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", longest:
     ranking sees top rows of each slice. Order is by score, occurrences, then the bytes of the phrase, so there are no ties.
     Null texts have no pieces, null languages are `und`; empty tables give no rows. Other columns play no part.
     """
-    spark = df.sparkSession
-    buckets = partitions(df, text, bucket_bytes)
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    buckets = max(fewest_buckets, -(-size // bucket_bytes))
     grams = written(counted(dealt_grams(pieces(df, text, lang), longest, buckets), buckets, least), "gram-counts")
     words = grams.filter("gram is null").groupBy("lang").agg(F.sum("f").alias("n"))
     known = grams.filter("gram is not null")
