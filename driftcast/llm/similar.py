@@ -1,10 +1,12 @@
 """Groups of texts of similar five-word shingle sets by SimHash: tiles of exclusive-or and bit counts, confirmed by exact Jaccard.
 
-The general form of the SimHash operator, for a similarity instead of a few bits: at Jaccard 0.8 about a seventh of the bits differ, more than
-bands of equal bits can find, so texts meet in buckets of equal smallest hashes; there their SimHashes are compared as in simhash."""
+The general form of the SimHash operator, for a similarity instead of a few bits: as there, bands of the SimHash's bits make the buckets in
+which texts meet, tiles of a bucket are compared by exclusive-or and bit counts within a radius, and nothing else brings two texts together.
+At Jaccard 0.8 about a seventh of the bits differ, so bands are short and many."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,10 @@ from driftcast.llm.simhash import radius_of, wide_simhash
 WORDS, LEAST, SEED = 5, 0.8, 42
 #: 64-bit words of a SimHash.
 WIDE = 4
-#: A pair of Jaccard 0.8 shares none of 20 bands of 5 hashes in 4 of 10,000 cases.
-BANDS, ROWS = 20, 5
-_DRAW = np.random.default_rng(SEED)
-_TIMES = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+#: Share of pairs of the least similarity that no band may bring together, by calculation; nodes that share a bucket by chance, at most about.
+LOST, CROWD = 1e-4, 1024
+#: Standard deviations of differing bits beyond the mean that are still compared: the bits of sets of four or five shingles differ more than those of large ones.
+SLACK = 6.0
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -43,15 +44,31 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, ends[words - 1:].tolist())), np.uint64, len(starts)))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each band: equal where the smallest hashes of a band's draws are equal."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(found), 4096):
-        low = np.minimum(low, (found[at:at + 4096, None] * _TIMES + _PLUS).min(axis=0))
-    bands = low.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(bands)], np.uint64).view(np.int64)
+def band_width(nodes: int, least: int = 8) -> int:
+    """Bits of a band, so that about CROWD of so many nodes agree on them by chance; short tables have least."""
+    return max(least, math.ceil(math.log2(max(1, nodes) / CROWD)))
+
+
+def band_count(width: int, similarity: float = LEAST, lost: float = LOST) -> int:
+    """Bands of width bits, on one of which all but a share lost of the pairs of a similarity agree."""
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
+    return math.ceil(math.log(lost) / math.log1p(-agree))
+
+
+def band_keys(fp: np.ndarray, width: int, bands: int) -> np.ndarray:
+    """The band's number and its bits as one key, for each row of fp (WIDE words) and each band.
+
+    The first bands are neighbouring bits; when no bits are left, the bits are shuffled by a seed and cut into bands again.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 8 * WIDE), axis=1, bitorder="little").astype(np.int64)
+    draw, order, each = np.random.default_rng(SEED), np.arange(64 * WIDE), 64 * WIDE // width
+    out = np.empty((len(fp), bands), np.int64)
+    for k in range(bands):
+        if k and k % each == 0:
+            order = draw.permutation(64 * WIDE)
+        some = order[k % each * width:(k % each + 1) * width]
+        out[:, k] = (k << width) + bits[:, some] @ (1 << np.arange(width))
+    return out
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -61,23 +78,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash (null for a null text), node (hash of the shingle set), size of the set, its SimHash fp and band keys of every row."""
+    """doc_id, text_hash (null for a null text), node (hash of the shingle set), size of the set and its SimHash fp of every row."""
 
     def run(batches):
         for b in batches:
-            ids, hashes, nodes, sizes, fps, keys = b.column(0), b.column(1), [], [], [], []
+            ids, hashes, nodes, sizes, fps = b.column(0), b.column(1), [], [], []
             for t in b.column(2).to_pylist():
                 found = shingles(t)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
                 fps.append(wide_simhash(found, WIDE).view(np.int64))
-                keys.append(band_keys(found))
             yield pa.RecordBatch.from_arrays(
-                [ids, hashes, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "node", "size", "fp", "keys"])
+                [ids, hashes, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "size", "fp"])
 
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("text_hash"), F.col(text).alias("text"))
-    return map_batches(src, run, "doc_id long, text_hash long, node long, size long, fp array<long>, keys array<long>")
+    return map_batches(src, run, "doc_id long, text_hash long, node long, size long, fp array<long>")
 
 
 def _sets(df: DataFrame, text: str) -> DataFrame:
@@ -105,19 +121,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFr
     return map_batches(both, run, "a long, b long")
 
 
-def near_to(fp: np.ndarray, root: np.ndarray, size: np.ndarray, radius: int, least: float, strip: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_to(fp: np.ndarray, root: np.ndarray, size: np.ndarray, radius: int, least: float, strip: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Strips of index pairs i < j of nodes (columns of fp) within the radius whose roots differ and whose sizes allow least."""
     n = fp.shape[1]
     step = max(1, strip // max(1, n))
     for at in range(0, n - 1, step):
-        rows = np.arange(at, min(n - 1, at + step))
-        gap = np.zeros((len(rows), n), np.int16)
-        for word in fp:
-            gap += np.bitwise_count(word[rows][:, None] ^ word[None, :])
-        low, high = np.minimum(size[rows][:, None], size[None, :]), np.maximum(size[rows][:, None], size[None, :])
-        near = (gap <= radius) & (root[rows][:, None] != root[None, :]) & (low >= least * high - 1e-9) & (np.arange(n)[None, :] > rows[:, None])
-        i, j = np.nonzero(near)
-        yield rows[i], j
+        rows = slice(at, min(n - 1, at + step))
+        # All words but the last for every pair (at most 192 bits), the rest for those that are still within the radius.
+        gap = sum(np.bitwise_count(word[rows, None] ^ word[None, at:]) for word in fp[:3])
+        i, j = np.nonzero(gap <= radius)
+        more = j > i
+        i, j = i[more], j[more]
+        bits = gap[i, j].astype(np.int64)
+        i, j = i + at, j + at
+        for word in fp[3:]:
+            bits += np.bitwise_count(word[i] ^ word[j])
+        near = (bits <= radius) & (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        yield i[near], j[near]
 
 
 def similar_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: float, columns: int = 2048) -> np.ndarray:
@@ -144,28 +164,53 @@ def similar_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: f
     return both / np.maximum(1, size[i] + size[j] - both) >= least
 
 
-def tiles(rows: DataFrame, tile: int = 1024) -> DataFrame:
-    """group, node, size, root, fp of rows (key, node, size, fp, root, n), for each group of a tile that a node is dealt to.
+def bands(nodes: DataFrame, width: int, count: int) -> DataFrame:
+    """key, node, size, f0 to f3 of nodes (node, size, fp), for each of count bands of the SimHash's bits."""
 
-    n: rows of the bucket. Buckets of more than tile rows are cut into chunks by a hash, and each pair of chunks is a group
-    of its own, so no bucket has to fit one task.
+    def run(batches):
+        for b in batches:
+            fp = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1).view(np.uint64)
+            keys = band_keys(fp, width, count)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, count), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([lists, *b.columns], names=["keys", *b.schema.names])
+
+    words = [F.col("fp")[k].alias(f"f{k}") for k in range(WIDE)]
+    rows = map_batches(nodes.filter("size > 0").select("node", F.col("size").cast("int").alias("size"), *words), run, f"keys array<long>, node long, size int, {', '.join(f'f{k} long' for k in range(WIDE))}")
+    return rows.select(F.explode("keys").alias("key"), "node", "size", *[f"f{k}" for k in range(WIDE)])
+
+
+def tiles(nodes: DataFrame, least: float = LEAST, tile: int = 2048) -> DataFrame:
+    """group, node, size, f0 to f3 of nodes (node, size, fp), for each group that a node is dealt to: the nodes that share a band's bits.
+
+    Buckets of more than tile nodes are cut into chunks by a hash, and each pair of chunks is a group of its own, so no bucket
+    has to fit one task. The list of those buckets has a row for each tile nodes at least.
     """
-    m = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("node"), m).cast("int")
-    each = F.transform(F.sequence(F.lit(0), m - 1), lambda o: F.struct(F.least(mine, o).alias("c"), F.greatest(mine, o).alias("d")))
-    count = rows.agg(F.coalesce(F.sum(m), F.lit(0))).first()[0]  # rows that are dealt
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // 500_000))
-    dealt = rows.withColumn("t", F.explode(each)).select(F.xxhash64("key", "t.c", "t.d").alias("group"), "node", "size", "root", *[F.col("fp")[k].alias(f"f{k}") for k in range(WIDE)])
-    return dealt.repartition(parts, "group").sortWithinPartitions("group")
+    spark, salts = nodes.sparkSession, 16
+    n = nodes.count()
+    width = band_width(n)
+    count = band_count(width, least)
+    rows = bands(nodes, width, count)
+    large = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).withColumn("m", F.ceil(F.col("n") / tile).cast("int")), "large-buckets")
+    more = large.agg(F.coalesce(F.sum(F.col("n") * (F.col("m") - 1)), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n * count + more) // 500_000))
+    large = large.select("key", "m", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(large, ["key", "salt"], "left")
+    mine = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("m")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.xxhash64("key", F.least(mine, o), F.greatest(mine, o)))
+    groups = F.explode(F.when(F.col("m").isNull(), F.array(F.xxhash64("key"))).otherwise(each))
+    return rows.select(groups.alias("group"), "node", "size", *[f"f{k}" for k in range(WIDE)]).repartition(parts, "group").sortWithinPartitions("group")
 
 
 def with_near(dealt: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of tiles whose node is near another of its group: a candidate for a link to another root."""
-    radius = radius_of(least, 64 * WIDE)
+    """The rows of tiles (sorted by group) whose node is near another of its group that has another root: a candidate for a link.
+
+    Without a column root every node is one of its own.
+    """
+    radius, rooted = radius_of(least, 64 * WIDE, SLACK), "root" in dealt.columns
 
     def run(batches):
         for t in whole_groups(batches, "group", 50_000):
-            group, root, size = (t[c].to_numpy() for c in ("group", "root", "size"))
+            group, root, size = (t[c].to_numpy() for c in ("group", "root" if rooted else "node", "size"))
             fp = np.stack([t[f"f{k}"].to_numpy().view(np.uint64) for k in range(WIDE)])
             cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))).tolist()
             some = np.zeros(len(group), bool)
@@ -182,7 +227,7 @@ def tile_links(dealt: DataFrame, least: float = LEAST) -> DataFrame:
 
     Every near pair of a group is tested exactly, in its task; a link that earlier ones of the group imply stays behind, so fewer links than nodes leave it.
     """
-    radius = radius_of(least, 64 * WIDE)
+    radius = radius_of(least, 64 * WIDE, SLACK)
 
     def of_group(t: pa.Table) -> pa.RecordBatch | None:
         node, root, size = (t[c].to_numpy() for c in ("node", "root", "size"))
@@ -215,23 +260,24 @@ def tile_links(dealt: DataFrame, least: float = LEAST) -> DataFrame:
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """doc_id, text_hash and group of every row: linked are texts whose five-word Jaccard is least or more.
 
-    Rows of one shingle set are one node, so copies make no pairs among themselves. Nodes that share a band meet
-    in a bucket. A bucket's nodes are compared first with its smallest; where nodes of a bucket are then in
-    several groups, tiles of the bucket are compared. Nodes that are near one of another group go with their shingle sets
-    to the tiles where they are, and every near pair is tested exactly there; so every pair that shares a bucket and is within
-    the radius is linked if it is similar. Texts without words are one group. Pairs make no rows, however many are near.
+    Rows of one shingle set are one node, so copies make no pairs among themselves. Nodes that agree on a band of their
+    SimHash's bits meet in a bucket, whose tiles are compared by exclusive-or and bit counts; nodes within the radius of
+    another stay. A tile's are compared first with its smallest; where nodes of a tile are then in several groups, those near
+    one of another group get their shingle sets, and every near pair is tested exactly in the tile. So every pair
+    that shares a bucket and is within the radius is linked if it is similar; LOST bounds the pairs that share none. Texts
+    without words are one group. Pairs make no rows, however many are near.
     """
     rows = written(signatures(df, doc_id, text), "signatures")
-    radius = radius_of(least, 64 * WIDE)
-    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    dealt = nodes.select("node", "size", "fp", F.explode("keys").alias("key"))
-    low = dealt.groupBy("key").agg(F.min_by(F.struct("node", "size", "fp"), "node").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    shared = written(dealt.join(low.hint("merge"), "key").select("key", "node", "size", "fp", "low", "n"), "buckets")
-
+    radius = radius_of(least, 64 * WIDE, SLACK)
+    nodes = written(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp")), "nodes")
+    shared = written(with_near(tiles(nodes, least), least), "near-nodes")
+    words = [f"f{k}" for k in range(WIDE)]
+    low = shared.groupBy("group").agg(F.min_by(F.struct("node", "size", *words), "node").alias("low"))
+    met = shared.join(low.hint("merge"), "group").filter(F.col("node") != F.col("low.node"))
     alike = F.least("size", "low.size") >= F.greatest("size", "low.size") * F.lit(least - 1e-9)
-    gap = sum((F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("low.fp")[k])) for k in range(WIDE)), F.lit(0))
-    first = shared.filter((F.col("node") != F.col("low.node")) & alike & (gap <= radius))
-    first = written(first.select(F.greatest("node", "low.node").alias("b"), F.least("node", "low.node").alias("a")).distinct(), "near-pairs")
+    gap = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"low.{f}"))) for f in words), F.lit(0))
+    first = met.filter(alike & (gap <= radius)).select(F.greatest("node", "low.node").alias("b"), F.least("node", "low.node").alias("a"))
+    first = written(first.distinct(), "near-pairs")
     ids = rows.groupBy("node").agg(F.min(F.struct(F.col("text_hash").alias("h"), F.col("doc_id").alias("d"))).alias("one"))
     own = df.select(F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_id"), F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("_hash"))
 
@@ -244,9 +290,10 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
 
     links = written(confirmed(first, sets(first), least), "near-links")
     part = written(components(links), "near-parts")
-    label = shared.join(part.hint("merge"), "node", "left").select("key", "node", "size", "fp", "n", F.coalesce("root", "node").alias("root"))
-    mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    found = written(with_near(tiles(label.join(mixed.hint("merge"), "key")), least), "near-found")
+    label = shared.join(part.hint("merge"), "node", "left").select("group", "node", "size", *words, F.coalesce("root", "node").alias("root"))
+    mixed = label.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("group")
+    apart = label.join(mixed.hint("merge"), "group").repartition("group").sortWithinPartitions("group")
+    found = written(with_near(apart, least), "near-found")
     if found.take(1):
         more = tile_links(found.join(sets(found.select(F.col("node").alias("a"), F.col("node").alias("b"))).hint("merge"), "node"), least)
         part = components(links.unionByName(written(more.distinct(), "more-links")))

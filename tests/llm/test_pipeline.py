@@ -242,3 +242,42 @@ def test_near_pairs_and_exact_tests_against_loops():
     for some in (slice(None), slice(0, 50)):
         exact = [similar.jaccard(sets[x], sets[y]) >= 0.3 for x, y in zip(i[some], j[some])]
         assert similar.similar_pairs(sets, i[some], j[some], 0.3, columns=16).tolist() == exact and any(exact)
+
+
+def test_nodes_meet_by_bands_of_their_simhash(spark):
+    """The pairs of the tiles are those that agree on a band of the SimHash's bits, also where buckets are cut; no other hash of the text plays a part."""
+    from driftcast.llm import similar
+
+    rnd = np.random.default_rng(6)
+    fp = np.repeat(rnd.integers(0, 1 << 63, (30, 4), np.uint64) * np.uint64(2) + np.uint64(1), 4, axis=0)
+    fp ^= np.bitwise_or.reduce([np.uint64(1) << rnd.integers(0, 64, fp.shape, np.uint64) for _ in range(10)])
+    count = similar.band_count(8)
+    parts = fp.view(np.uint8)[:, :count]
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if (parts[i] == parts[j]).any()}
+    assert 180 <= len(want) < 120 * 119 / 2
+    nodes = spark.createDataFrame([(i, 50, [int(v) for v in f.view(np.int64)]) for i, f in enumerate(fp)] + [(500, 0, [0] * 4)], "node long, size long, fp array<long>")
+    for tile in (2048, 3):
+        met = {}
+        for r in similar.tiles(nodes, tile=tile).collect():
+            met.setdefault(r["group"], set()).add(r["node"])
+        assert {(i, j) for g in met.values() for i in g for j in g if i < j} == want
+        assert tile > 3 or sum(map(len, met.values())) > count * len(fp)
+    keys = similar.band_keys(fp[:3], 13, 40)  # more bands than there are disjoint ones
+    assert len(np.unique(keys >> 13)) == 40 and (keys[0] != keys[1]).any() and (similar.band_keys(fp[:1], 13, 40) == keys[:1]).all()
+
+
+def test_bands_of_bits_bring_similar_sets_together():
+    """All but about LOST of the pairs of the least similarity share a band and are within the radius; small sets, too."""
+    from driftcast.llm import similar
+    from driftcast.llm.simhash import radius_of, wide_simhash
+
+    rnd = np.random.default_rng(7)
+    radius = radius_of(similar.LEAST, 64 * similar.WIDE, similar.SLACK)
+    for own, both in ((0, 4), (1, 8), (25, 200)):  # Jaccard 0.8
+        lost = 0
+        for _ in range(400):
+            h = rnd.integers(0, 1 << 63, both + max(1, 2 * own), np.uint64)
+            a, b = wide_simhash(h[:both + own]), wide_simhash(np.concatenate([h[:both], h[both + own:]]))
+            keys = similar.band_keys(np.stack([a, b]), 8, similar.band_count(8))
+            lost += not ((keys[0] == keys[1]).any() and int(np.bitwise_count(a ^ b).sum()) <= radius)
+        assert lost <= 2
