@@ -99,17 +99,22 @@ def dealt_grams(rows: DataFrame, longest: int, buckets: int, chunk_bytes: int =
             if size >= chunk_bytes:
                 yield from of_chunk(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()  # the worker stays for later tasks
         if held:
             yield from of_chunk(held)
+        held = []
+        pa.default_memory_pool().release_unused()
 
     return rows.select("lang", "piece", "m").mapInArrow(run, "bucket int, grams binary")
 
 
-def counted(dealt: DataFrame, buckets: int, least: int, memory: str = "220MB") -> DataFrame:
+def counted(dealt: DataFrame, buckets: int, least: int, memory: str = "100MB", slice_bytes: int = 6 << 20) -> DataFrame:
     """lang, k, gram, f of every gram that occurs least times or more, counted out of core by duckdb, one bucket after another.
 
-    Rows whose gram is null have a language's number of words in the task's buckets. duckdb spills what goes beyond memory to a
-    folder of the task, which is removed when the task ends; a task that is lost is run again from the shuffled grams.
+    A bucket of more than slice_bytes of packed grams is counted in slices by a hash of the gram, so that the groups of one
+    slice are in memory at a time; each slice unpacks the bucket again. Rows whose gram is null have a language's number of words in the
+    task's buckets. duckdb spills what goes beyond memory to a folder of the task, which is removed when the task ends; a
+    task that is lost is run again from the shuffled grams.
     """
 
     def run(batches):
@@ -117,26 +122,37 @@ def counted(dealt: DataFrame, buckets: int, least: int, memory: str = "220MB") -
 
         source = ((bucket, packed) for b in batches for bucket, packed in zip(b.column(0).to_pylist(), b.column(1)))
         folder, words = tempfile.mkdtemp(prefix="grams-"), {}
-        try:
-            con = duckdb.connect(":memory:", config={"memory_limit": memory, "temp_directory": folder, "threads": 1, "preserve_insertion_order": False})
-            ahead = next(source, None)
-            while ahead is not None:
-                bucket = ahead[0]
-
-                def of_bucket():
-                    nonlocal ahead
-                    while ahead is not None and ahead[0] == bucket:
-                        for x in pa.ipc.open_stream(ahead[1].as_buffer()):
-                            single = pa.table(x).filter(pc.equal(x["k"], 1)).group_by("lang").aggregate([("f", "sum")])
-                            for lang, total in zip(single["lang"].to_pylist(), single["f_sum"].to_pylist()):
-                                words[lang] = words.get(lang, 0) + total
-                            yield x
-                        ahead = next(source, None)
-
-                reader = pa.RecordBatchReader.from_batches(_GRAMS, of_bucket())  # noqa: F841  read by name below
-                found = con.sql(f"SELECT lang, k, gram, sum(f)::BIGINT AS f FROM reader GROUP BY ALL HAVING sum(f) >= {int(least)}").to_arrow_reader(10_000)
+
+        def unpacked(held: list[pa.BinaryScalar], first: bool) -> Iterator[pa.RecordBatch]:
+            for packed in held:
+                for x in pa.ipc.open_stream(packed.as_buffer()):
+                    if first:
+                        single = pa.table(x).filter(pc.equal(x["k"], 1)).group_by("lang").aggregate([("f", "sum")])
+                        for lang, total in zip(single["lang"].to_pylist(), single["f_sum"].to_pylist()):
+                            words[lang] = words.get(lang, 0) + total
+                    yield x
+
+        def of_bucket(held: list[pa.BinaryScalar]) -> Iterator[pa.RecordBatch]:
+            slices = -(-sum(len(x.as_buffer()) for x in held) // slice_bytes)
+            for k in range(slices):
+                con = duckdb.connect(":memory:", config={"memory_limit": memory, "temp_directory": folder, "threads": 1, "preserve_insertion_order": False})
+                reader = pa.RecordBatchReader.from_batches(_GRAMS, unpacked(held, k == 0))  # noqa: F841  read by name below
+                mine = f"WHERE hash(gram) % {slices} = {k}" if slices > 1 else ""
+                found = con.sql(f"SELECT lang, k, gram, sum(f)::BIGINT AS f FROM reader {mine} GROUP BY ALL HAVING sum(f) >= {int(least)}").to_arrow_reader(10_000)
                 yield from (x.cast(_GRAMS) for x in found)
-            con.close()
+                con.close()
+                pa.default_memory_pool().release_unused()
+
+        try:
+            held, last = [], None
+            for bucket, packed in source:
+                if held and bucket != last:
+                    yield from of_bucket(held)
+                    held = []
+                held.append(packed)
+                last = bucket
+            if held:
+                yield from of_bucket(held)
         finally:
             shutil.rmtree(folder, ignore_errors=True)
         if words:

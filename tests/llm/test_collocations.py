@@ -60,6 +60,10 @@ def test_many_buckets_and_small_chunks_give_the_same(spark, monkeypatch):
     assert spark_rows(df, bucket_bytes=500, fewest_buckets=1) == plain(data)
     small = collocations.dealt_grams(collocations.pieces(df), 3, 7, chunk_bytes=100)
     got = {(r["lang"], r["gram"]): r["f"] for r in collocations.counted(small, 7, 10, memory="64MB").collect() if r["gram"] is not None}
+    sliced = collocations.counted(small, 7, 10, slice_bytes=200).collect()  # each bucket in many slices, of which one is in memory
+    assert {(r["lang"], r["gram"]): r["f"] for r in sliced if r["gram"] is not None} == got and len([r for r in sliced if r["gram"] is not None]) == len(got)
+    total = lambda rows: sum(r["f"] for r in rows if r["gram"] is None)
+    assert total(sliced) == total(collocations.counted(small, 7, 10).collect())
     whole = collocations.dealt_grams(collocations.pieces(df), 3, 1)
     assert got and got == {(r["lang"], r["gram"]): r["f"] for r in collocations.counted(whole, 1, 10).collect() if r["gram"] is not None}
 
