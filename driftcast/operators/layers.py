@@ -2,34 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 from driftcast.functions import transforms as T
 from driftcast.operators.pictures import covered  # noqa: F401
 
 
+def stack_scan(at: np.ndarray, colour: pa.Array, alpha: pa.Array, background: float) -> list[pa.Array]:
+    """before, after and passed of the layers of whole stacks, one after another; at: a layer's place in its stack, from 1.
+
+    All stacks take a step at once, so there are as many steps as the deepest has layers. What a null colour or opacity tells is null.
+    """
+    c, a = (x.to_numpy(zero_copy_only=False) for x in (colour, alpha))
+    no_a = alpha.is_null().to_numpy(zero_copy_only=False)
+    no = no_a | colour.is_null().to_numpy(zero_copy_only=False)
+    n = len(at)
+    before, after, passed = np.full(n, float(background)), np.zeros(n), np.ones(n)
+    lost = [np.zeros(n, bool) for _ in range(3)]
+    ends = np.append(np.flatnonzero(at == 1)[1:], n)
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # 1 for the last layer of a stack
+
+    def steps(place: np.ndarray) -> Iterator[np.ndarray]:
+        order = np.argsort(place, kind="stable")
+        return iter(np.split(order, np.flatnonzero(np.diff(place[order])) + 1)[1:])
+
+    for k in steps(at):
+        j = k - 1
+        before[k] = before[j] * (1 - a[j]) + c[j] * a[j]
+        lost[0][k] = lost[0][j] | no[j]
+    for k in steps(left):
+        j = k + 1
+        after[k], passed[k] = after[j] + passed[j] * c[j] * a[j], passed[j] * (1 - a[j])
+        lost[1][k], lost[2][k] = lost[1][j] | no[j], lost[2][j] | no_a[j]
+    return [pa.array(x, mask=m) for x, m in zip((before, after, passed), lost)]
+
+
 def suffixes(cover: DataFrame, keys: list[str], order: str, colour: str, alpha: str, background: float = 128.0) -> DataFrame:
     """keys, order, before, after, passed, without of each shape that covers a pixel (keys).
 
     Laying shapes over each other is a product of pairs (light, share that passes), which is associative: so one scan
     forward gives the light before every shape and one backward what the shapes after it add (after) and let
     through (passed). The pixel without the shape is before * passed + after; opaque shapes need no division.
-    A pixel's shapes are gathered, in their order.
+    Pixels are shuffled and sorted by Spark; a batch of whole ones is scanned at once. One pixel's shapes are gathered.
     """
-    stack = cover.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(colour).cast("double").alias("c"), F.col(alpha).cast("double").alias("a")))).alias("_s"))
-    last = lambda acc: F.element_at(acc, -1)
-    before = F.aggregate("_s", F.array(F.lit(background)), lambda acc, s: F.concat(acc, F.array(last(acc) * (1 - s["a"]) + s["c"] * s["a"])))
-    start = F.array(F.struct(F.lit(0.0).alias("after"), F.lit(1.0).alias("passed")))
-    after = F.aggregate(F.reverse("_s"), start, lambda acc, s: F.concat(acc, F.array(F.struct(
-        (last(acc)["after"] + last(acc)["passed"] * s["c"] * s["a"]).alias("after"), (last(acc)["passed"] * (1 - s["a"])).alias("passed")))))
-    rows = stack.withColumn("_before", before).withColumn("_after", F.reverse(after))
-    rows = rows.select(*keys, F.explode(F.zip_with(F.col("_s.ord"), F.transform("_before", lambda b, i: F.struct(b.alias("b"), F.get("_after", i + 1).alias("x"))),
-                                                   lambda o, z: F.struct(o.alias("ord"), z["b"].alias("before"), z["x"]["after"].alias("after"), z["x"]["passed"].alias("passed")))).alias("z"))
-    rows = rows.filter(F.col("z.ord").isNotNull())  # the scan forward has one entry more than there are shapes
-    return rows.select(*keys, F.col("z.ord").alias(order), "z.before", "z.after", "z.passed", (F.col("z.before") * F.col("z.passed") + F.col("z.after")).alias("without"))
+    c, a = F.col(colour).cast("double").alias("_c"), F.col(alpha).cast("double").alias("_a")
+    rows = cover.select(*keys, order, c, a).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "_c", "_a")))
+    names, told = [*keys, order], ["before", "after", "passed"]
+    schema = D.StructType([rows.schema[k] for k in names] + [D.StructField(k, D.DoubleType()) for k in told])
+
+    def scanned(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        if t.num_rows:
+            one = t.to_batches()[0]
+            found = stack_scan(one["_at"].to_numpy(), one["_c"], one["_a"], background)
+            yield pa.RecordBatch.from_arrays([*(one[k] for k in names), *found], names=[*names, *told])
+
+    def run(batches):
+        held = []
+        for b in batches:
+            starts = np.flatnonzero(b["_at"].to_numpy() == 1)
+            if len(starts):  # the last pixel may go on in the next batch
+                cut = int(starts[-1])
+                yield from scanned([*held, b.slice(0, cut)])
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield from scanned(held)
+
+    got = rows.mapInArrow(run, schema).filter(F.col(order).isNotNull())
+    return got.select(*names, *told, (F.col("before") * F.col("passed") + F.col("after")).alias("without"))
 
 
 def states_at_marks(first: DataFrame, keys: list[str], unit: str, time: str, marks: tuple[float, ...]) -> DataFrame:

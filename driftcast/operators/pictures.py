@@ -42,22 +42,21 @@ def ancestors_fill(known: DataFrame, keys: list[str], width: int, levels: int =
     return found.groupBy(*keys, "y", "x").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("s"))).alias("v"))
 
 
-def inside_ellipse(px: Column, py: Column) -> Column:
-    """Whether the centre of a pixel lies in the ellipse cx, cy, rx, ry, angle of the row."""
-    dx, dy, c, s = px + 0.5 - F.col("cx"), py + 0.5 - F.col("cy"), F.cos("angle"), F.sin("angle")
-    u, v = dx * c + dy * s, dy * c - dx * s
-    return u * u / (F.col("rx") * F.col("rx")) + v * v / (F.col("ry") * F.col("ry")) <= 1
-
-
 def covered(shapes: DataFrame, size: int) -> DataFrame:
     """shapes with each pixel (y, x) that an ellipse covers: a shape is dealt to the pixels of its own bounding box, so the work is the shapes' area."""
-    reach = F.greatest("rx", "ry") + 1
-
-    def span(c: str) -> Column:
-        return F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) - reach)).cast("long"), F.least(F.lit(size - 1), F.ceil(F.col(c) + reach)).cast("long"))
-
-    near = shapes.filter((F.col("cx") + reach >= 0) & (F.col("cy") + reach >= 0) & (F.col("cx") - reach < size) & (F.col("cy") - reach < size))
-    return near.withColumn("y", F.explode(span("cy"))).withColumn("x", F.explode(span("cx"))).filter(inside_ellipse(F.col("x"), F.col("y")))
+    turned = shapes.withColumn("_cos", F.cos("angle")).withColumn("_sin", F.sin("angle"))  # once for a shape, not for each pixel
+    half = lambda along, across: F.sqrt(F.pow(F.col("rx") * F.col(along), F.lit(2)) + F.pow(F.col("ry") * F.col(across), F.lit(2))) + 0.51
+    turned = turned.withColumn("_w", half("_cos", "_sin")).withColumn("_h", half("_sin", "_cos"))
+
+    def span(c: str, reach: str) -> Column:
+        return F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) - F.col(reach))).cast("long"), F.least(F.lit(size - 1), F.ceil(F.col(c) + F.col(reach))).cast("long"))
+
+    near = turned.filter((F.col("cx") + F.col("_w") >= 0) & (F.col("cy") + F.col("_h") >= 0) & (F.col("cx") - F.col("_w") < size) & (F.col("cy") - F.col("_h") < size))
+    each = near.withColumn("y", F.explode(span("cy", "_h"))).withColumn("x", F.explode(span("cx", "_w")))
+    dx, dy = F.col("x") + 0.5 - F.col("cx"), F.col("y") + 0.5 - F.col("cy")
+    u, v = dx * F.col("_cos") + dy * F.col("_sin"), dy * F.col("_cos") - dx * F.col("_sin")
+    inside = each.filter(u * u / (F.col("rx") * F.col("rx")) + v * v / (F.col("ry") * F.col("ry")) <= 1)
+    return inside.drop("_cos", "_sin", "_w", "_h")
 
 
 def render(shapes: DataFrame, key: str, size: int, background: float = 128.0) -> DataFrame:

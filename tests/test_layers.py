@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,55 @@ def test_without_a_shape_is_the_render_without_it(spark):
                 assert math.isclose(row["without"], left.get((p, y, x), 128.0), abs_tol=1e-9)
 
 
+def test_stacks_are_scanned_at_once_across_batches(spark):
+    """Stacks of all depths, longer than a batch, with nulls, against a loop; one step for all stacks of a batch."""
+    r = random.Random(8)
+    rows = [(k, o, r.uniform(0, 255) if o % 11 else None if k == 3 else 7.0, r.choice([0.0, 0.25, 1.0]) if o % 13 else None if k == 4 else 0.5) for k in range(40) for o in range(r.choice([1, 2, 3, 60]))] + [(None, 2, 9.0, 0.5), (None, 1, 5.0, 1.0), (2, None, 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "k int, o int, c double, a double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(x["k"], x["o"]): x for x in L.suffixes(df, ["k"], "o", "c", "a").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) - 1 and (2, None) not in got
+    over = lambda v, s: None if v is None or s[2] is None or s[3] is None else v * (1 - s[3]) + s[2] * s[3]
+    for key in {x[0] for x in rows}:
+        mine = sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0))
+        for i, s in enumerate(mine):
+            light, after, passed = 128.0, 0.0, 1.0
+            for z in mine[:i]:
+                light = over(light, z)
+            for z in reversed(mine[i + 1:]):
+                after = None if after is None or passed is None or z[2] is None or z[3] is None else after + passed * z[2] * z[3]
+                passed = None if passed is None or z[3] is None else passed * (1 - z[3])
+            if s[1] is not None:
+                x = got[key, s[1]]
+                without = None if None in (light, after, passed) else light * passed + after
+                assert (x["before"], x["after"], x["passed"], x["without"]) == (light, after, passed, without)
+    at = np.concatenate([np.arange(1, 4), np.arange(1, 2), np.arange(1, 3)])
+    alpha, colour = pa.array([0.5] * 6), pa.array([10.0, 20.0, 30.0, 40.0, 50.0, 60.0])
+    assert [x.to_pylist() for x in L.stack_scan(at, colour, alpha, 0.0)] == [[0, 5, 12.5, 0, 0, 25], [20, 15, 0, 0, 30, 0], [0.25, 0.5, 1, 1, 0.5, 1]]
+    assert L.suffixes(df.limit(0), ["k"], "o", "c", "a").collect() == []
+
+
+def test_boxes_of_turned_ellipses_lose_no_pixel(spark):
+    r = random.Random(10)
+    shapes = [(k, r.uniform(-9, 21), r.uniform(-9, 21), r.uniform(0.1, 9), r.uniform(0.1, 9), r.choice([0.0, math.pi / 2, r.uniform(-4, 4)])) for k in range(150)] + [(900, 6.5, 6.5, 3.0, 1.0, 0.0)]
+    df = spark.createDataFrame(shapes, "ord int, cx double, cy double, rx double, ry double, angle double")
+    got = P.covered(df, 12)
+    assert got.columns == [*df.columns, "y", "x"]
+    want = set()
+    for o, cx, cy, rx, ry, t in shapes:
+        for y in range(12):
+            for x in range(12):
+                u, v = (x + 0.5 - cx) * math.cos(t) + (y + 0.5 - cy) * math.sin(t), (y + 0.5 - cy) * math.cos(t) - (x + 0.5 - cx) * math.sin(t)
+                if u * u / (rx * rx) + v * v / (ry * ry) <= 1:
+                    want.add((o, y, x))
+    rows = [(x["ord"], x["y"], x["x"]) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and {(900, 6, 3), (900, 6, 9)} <= want
+
+
 def test_states_are_scored_once_and_right(spark):
     r = random.Random(4)
     arrivals = [(w, u, r.choice([0.5, 1.0, 2.5, 7.0, 30.0])) for w in range(30) for u in r.sample(range(4), r.randrange(0, 5))] + [(99, 1, None)]
